@@ -41,10 +41,14 @@ def qid_number(qid: Column) -> Column:
 def truthy(claims: Column, prop: str) -> Column:
     """Claims of a property that count: the preferred ones if any, else all that are not
     deprecated. A missing rank is normal; a missing property gives an empty array."""
-    kept = F.filter(claims[prop], lambda c: ~c["rank"].eqNullSafe("deprecated"))
-    preferred = F.filter(kept, lambda c: c["rank"].eqNullSafe("preferred"))
+    found = claims[prop]
+
+    def preferred(c: Column) -> Column:
+        return c["rank"].eqNullSafe("preferred")
+
     return F.coalesce(
-        F.when(F.size(preferred) > 0, preferred).otherwise(kept), F.filter(claims[prop], lambda c: F.lit(False)),
+        F.when(F.exists(found, preferred), F.filter(found, preferred))
+        .otherwise(F.filter(found, lambda c: ~c["rank"].eqNullSafe("deprecated"))),
         F.array(),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from kbcurate.functions import claims as C
 from kbcurate.schemas import RELATION_TYPES
@@ -28,21 +28,21 @@ def label_rows(entities: DataFrame) -> DataFrame:
 
 def truthy_claims(entities: DataFrame, props: list[str]) -> DataFrame:
     """One row per truthy claim of the given properties."""
-    per_prop = [
-        F.transform(
-            C.truthy(F.col("claims"), p),
-            lambda c, p=p: F.struct(
-                F.lit(p).alias("prop"), c["id"].alias("statement_id"),
+
+    def rows(prop: str) -> Column:
+        return F.transform(
+            C.truthy(F.col("claims"), prop),
+            lambda c: F.struct(
+                F.lit(prop).alias("prop"), c["id"].alias("statement_id"),
                 F.coalesce(c["rank"], F.lit("normal")).alias("rank"),
                 C.claim_entity(c).alias("value_id"), C.claim_date(c).alias("date"),
                 C.claim_value(c).alias("value"),
                 c["qualifiers"].alias("qualifiers_json"), c["references"].alias("references_json"),
             ),
         )
-        for p in props
-    ]
+
     return entities.select(
-        F.col("id").alias("entity_id"), F.explode(F.concat(*per_prop)).alias("c")
+        F.col("id").alias("entity_id"), F.explode(F.concat(*[rows(p) for p in props])).alias("c")
     ).select("entity_id", "c.*")
 
 
@@ -55,12 +55,23 @@ def class_rows(entities: DataFrame) -> DataFrame:
 
 def extract_relations(entities: DataFrame) -> DataFrame:
     """One row per truthy claim of the tracked types; claims lacking item or id are skipped."""
-    rows = truthy_claims(entities, RELATION_TYPES)
-    return rows.where(F.col("value_id").isNotNull() & F.col("statement_id").isNotNull()).select(
-        F.col("value_id").alias("parent_entity_id"),
-        F.col("entity_id").alias("child_entity_id"),
-        F.col("prop").alias("relation_type"),
-        "statement_id",
+
+    def rows(relation: str) -> Column:
+        return F.transform(
+            C.truthy(F.col("claims"), relation),
+            lambda c: F.struct(
+                C.claim_entity(c).alias("parent_entity_id"),
+                F.lit(relation).alias("relation_type"), c["id"].alias("statement_id"),
+            ),
+        )
+
+    return (
+        entities.select(
+            F.col("id").alias("child_entity_id"),
+            F.explode(F.concat(*[rows(r) for r in RELATION_TYPES])).alias("r"),
+        )
+        .select("r.parent_entity_id", "child_entity_id", "r.relation_type", "r.statement_id")
+        .where(F.col("parent_entity_id").isNotNull() & F.col("statement_id").isNotNull())
     )
 
 

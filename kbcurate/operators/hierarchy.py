@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kbcurate.schemas import INSTANCE_OF, SUBCLASS_OF
-from kbcurate.session import written
+from kbcurate.session import scratch_path, written, written_counted
 
 # A frontier of at most this many ids is broadcast (under 100 MB of ids); a larger one is
 # shuffled, and adaptive execution splits the edges of a hot parent.
 BROADCAST_IDS = 1_000_000
-ROUNDS_PER_CUT = 8
 
 
 def _ids(df: DataFrame) -> DataFrame:
@@ -27,41 +25,39 @@ def descendants(
 
     Only roots that exist as entities start; edges of deleted relations are followed as well.
     Breadth-first: each round joins the new ids with the edges and drops those already seen, so
-    diamonds and cycles end. A round's ids are persisted (one action per round decides whether to
-    go on); every few rounds the lineage is cut by writing to the shared folder.
+    diamonds and cycles end. Every round is one job that writes its ids to the shared folder: the
+    lineage stays one round long whatever the depth, a lost executor costs no earlier round, and
+    the row count observed on the way out decides how the next round joins and when to stop.
     """
+    spark = entities.sparkSession
     if isinstance(roots, DataFrame):
         start = entities.join(_ids(roots), "wikidata_id", "left_semi")
     else:
         start = entities.where(F.col("wikidata_id").isin(list(roots)))
-    pairs = (
+    pairs = written(
         edges.where(F.col("relation_type") == relation)
-        .select("parent_entity_id", F.col("child_entity_id").alias("wikidata_id"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .select("parent_entity_id", F.col("child_entity_id").alias("wikidata_id")),
+        "edges",
     )
-    frontier = _ids(start).distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    held, seen, rounds = [frontier], frontier, 0
-    count = frontier.count()
-    while count:
-        side = frontier.withColumnRenamed("wikidata_id", "parent_entity_id")
+    base = scratch_path(spark, "closure")
+    frontier = _ids(start).distinct()
+    schema = frontier.schema
+    rounds: list[str] = []
+    while True:
+        path = f"{base}/{len(rounds)}"
+        count = written_counted(frontier, path)
+        rounds.append(path)
+        if not count:
+            return spark.read.schema(schema).parquet(*rounds)
+        side = spark.read.schema(schema).parquet(path).withColumnRenamed(
+            "wikidata_id", "parent_entity_id"
+        )
         if count <= BROADCAST_IDS:
             side = F.broadcast(side)
         frontier = (
             pairs.join(side, "parent_entity_id", "left_semi").select("wikidata_id").distinct()
-            .join(seen, "wikidata_id", "left_anti")
-            .persist(StorageLevel.MEMORY_AND_DISK)
+            .join(spark.read.schema(schema).parquet(*rounds), "wikidata_id", "left_anti")
         )
-        count = frontier.count()
-        held.append(frontier)
-        rounds += 1
-        if count:
-            seen = seen.union(frontier)
-            if rounds % ROUNDS_PER_CUT == 0:
-                seen = written(seen, "closure")
-    result = written(seen, "closure")
-    for df in (pairs, *held):
-        df.unpersist()
-    return result
 
 
 def class_set(

@@ -15,7 +15,8 @@ from kbcurate.schemas import (
 )
 from kbcurate.sources.tables import upsert
 
-_CLAIMS = F.col("claims")
+def _claims() -> Column:
+    return F.col("claims")
 
 
 # --- hierarchy ------------------------------------------------------------------------------
@@ -91,28 +92,28 @@ def flat_project_class(spark) -> DataFrame:
 
 def official_website() -> Column:
     """The first truthy website only, even when it has no value."""
-    return C.claim_value(F.get(C.truthy(_CLAIMS, WEBSITE), F.lit(0)))
+    return C.claim_value(F.get(C.truthy(_claims(), WEBSITE), F.lit(0)))
 
 
 def country_rows(entities: DataFrame) -> DataFrame:
     return entities.select(
-        F.col("id").alias("wikidata_id"), C.first_value(_CLAIMS, ISO_CODE).alias("iso_code")
+        F.col("id").alias("wikidata_id"), C.first_value(_claims(), ISO_CODE).alias("iso_code")
     ).where(F.col("iso_code").isNotNull())
 
 
 def language_rows(entities: DataFrame) -> DataFrame:
     return entities.select(
         F.col("id").alias("wikidata_id"),
-        C.first_value(_CLAIMS, ISO_639_1).alias("iso_639_1"),
-        C.first_value(_CLAIMS, ISO_639_2).alias("iso_639_2"),
-        C.first_value(_CLAIMS, ISO_639_3).alias("iso_639_3"),
-        C.first_value(_CLAIMS, WIKIMEDIA_CODE).alias("wikimedia_code"),
+        C.first_value(_claims(), ISO_639_1).alias("iso_639_1"),
+        C.first_value(_claims(), ISO_639_2).alias("iso_639_2"),
+        C.first_value(_claims(), ISO_639_3).alias("iso_639_3"),
+        C.first_value(_claims(), WIKIMEDIA_CODE).alias("wikimedia_code"),
     )
 
 
 def project_rows(entities: DataFrame) -> DataFrame:
     return (
-        entities.where(~F.array_contains(C.entity_ids(_CLAIMS, "P31"), UMBRELLA_PROJECT))
+        entities.where(~F.array_contains(C.entity_ids(_claims(), "P31"), UMBRELLA_PROJECT))
         .select(F.col("id").alias("wikidata_id"), official_website().alias("official_website"))
         .where(F.col("official_website").contains("wikipedia.org"))
     )
@@ -166,11 +167,11 @@ def import_entities(entities: DataFrame, class_sets: DataFrame) -> EntityImport:
 
 def is_politician(entities: DataFrame, positions: DataFrame) -> DataFrame:
     """Humans whose occupation is politician or who held a known position."""
-    humans = entities.where(F.array_contains(C.entity_ids(_CLAIMS, "P31"), HUMAN))
-    by_occupation = F.array_contains(C.entity_ids(_CLAIMS, OCCUPATION), POLITICIAN)
+    humans = entities.where(F.array_contains(C.entity_ids(_claims(), "P31"), HUMAN))
+    by_occupation = F.array_contains(C.entity_ids(_claims(), OCCUPATION), POLITICIAN)
     held = (
         humans.where(~by_occupation)
-        .select("id", F.explode(C.entity_ids(_CLAIMS, POSITION)).alias("wikidata_id"))
+        .select("id", F.explode(C.entity_ids(_claims(), POSITION)).alias("wikidata_id"))
         .join(positions.select("wikidata_id"), "wikidata_id", "left_semi")
         .select("id")
         .distinct()
@@ -184,11 +185,11 @@ def recent_enough(entities: DataFrame, as_of: Column) -> DataFrame:
 
     def old(prop: str, years: int) -> Column:
         return F.exists(
-            C.truthy(_CLAIMS, prop),
+            C.truthy(_claims(), prop),
             lambda c: F.coalesce(D.over_years_ago(C.claim_date(c), years, as_of), F.lit(False)),
         )
 
-    has_death = F.size(C.truthy(_CLAIMS, DEATH_DATE)) > 0
+    has_death = F.size(C.truthy(_claims(), DEATH_DATE)) > 0
     return entities.where(~F.when(has_death, old(DEATH_DATE, 5)).otherwise(old(BIRTH_DATE, 120)))
 
 

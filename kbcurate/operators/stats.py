@@ -396,12 +396,11 @@ def politician_context(
     kinds = ["existing_wikidata", "existing_wikidata_positions",
              "existing_wikidata_birthplaces", "existing_wikidata_citizenships"]
     gathered = gather(lines, ["politician_id"], F.struct("kind", "text"), "id", "lines", limit)
-    of = {
-        k: F.transform(
-            F.filter("lines", lambda x, k=k: x["kind"] == k), lambda x: x["text"]
-        )
-        for k in kinds
-    }
+
+    def texts(wanted: str) -> Column:
+        return F.transform(F.filter("lines", lambda x: x["kind"] == wanted), lambda x: x["text"])
+
+    of = {k: texts(k) for k in kinds}
     return (
         politicians.join(gathered.withColumnRenamed("politician_id", "id"), "id", "left")
         .select(
