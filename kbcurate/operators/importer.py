@@ -13,6 +13,7 @@ from kbcurate.schemas import (
     ISO_639_1, ISO_639_2, ISO_639_3, ISO_CODE, OCCUPATION, POLITICIAN, POSITION, PROJECT_CLASS,
     UMBRELLA_PROJECT, WEBSITE, WIKIMEDIA_CODE,
 )
+from kbcurate.session import written
 from kbcurate.sources.tables import upsert
 
 def _claims() -> Column:
@@ -150,7 +151,7 @@ class EntityImport:
 
 def import_entities(entities: DataFrame, class_sets: DataFrame) -> EntityImport:
     """Supporting entities: typed tables, plus entity, label and relation rows of all of them."""
-    kinds = classify_entities(entities, class_sets)
+    kinds = written(classify_entities(entities, class_sets), "kinds")
     typed = {}
     accepted = None
     for name, rule in TYPE_ROWS.items():
@@ -213,12 +214,7 @@ def politician_properties(
         "date", D.no_date()
     )
     matched = linked.join(known, ["prop", "value_id"], "left_semi")
-    any_position = positions.limit(1).agg((F.count(F.lit(1)) > 0).alias("some"))
-    unfiltered = (
-        linked.where(F.col("prop") == POSITION)
-        .join(F.broadcast(any_position.where(~F.col("some"))))  # one row at most
-        .drop("some")
-    )
+    unfiltered = linked.where((F.col("prop") == POSITION) & ~positions.limit(1).exists())
     rows = dated.unionByName(matched).unionByName(unfiltered)
     return rows.select(
         F.col("entity_id").alias("wikidata_id"), F.col("prop").alias("type"),

@@ -22,20 +22,13 @@ def _joined(items: list[Column]) -> Column:
 
 
 def _claim(value: Column | None, sid: Column | None, rank: Column | str | None = "normal") -> Column:
-    none = F.lit(None).cast("string")
-    rank = F.lit(rank) if isinstance(rank, str) else none if rank is None else rank
-    snak = none if value is None else _text('"datavalue":', value)
-    return _text(
-        "{",
-        _joined([
-            none if sid is None else _text('"id":"', sid, '"'),
-            _text('"rank":"', rank, '"'),
-            _text('"mainsnak":{', _joined([
-                F.when(snak.isNull(), '"snaktype":"novalue"').otherwise('"snaktype":"value"'), snak,
-            ]), "}"),
-        ]),
-        "}",
-    )
+    snak = F.lit('"snaktype":"novalue"')
+    if value is not None:
+        snak = F.coalesce(_text('"snaktype":"value","datavalue":', value), snak)
+    fields = [] if sid is None else [_text('"id":"', sid, '"')]
+    if rank is not None:
+        fields.append(_text('"rank":"', rank, '"'))
+    return _text("{", _joined([*fields, _text('"mainsnak":{', snak, "}")]), "}")
 
 
 def _item(target: Column | str) -> Column:
@@ -67,21 +60,16 @@ def _line(wid: Column, name: Column, k: Column, claims: dict[str, list[Column]],
         F.when(k % 2 == 1, entry("en", name)),
         F.when(k % 4 == 2, entry("es", name)),
     ])
-    description = F.when(k % 3 == 0, entry("en", _text("about ", name)))
-
     def braces(body: Column) -> Column:
-        return F.when(F.coalesce(body, F.lit("")) == "", "[]").otherwise(_text("{", body, "}"))
-
-    def prop(p: str, items: list[Column]) -> Column:
-        body = _joined(items)
-        return F.when(body != "", _text(f'"{p}":[', body, "]"))
+        return _text("{", body, "}")
 
+    props = [_text(f'"{p}":[', _joined(items), "]") for p, items in claims.items()]
     return _text(
         '{"id":"', wid, '","type":"item","labels":',
-        braces(F.when(k % 20 != 19, labels)),
-        ',"descriptions":', braces(description),
-        ',"sitelinks":', braces(_joined(sites) if sites else F.lit("")),
-        ',"claims":', braces(_joined([prop(p, items) for p, items in claims.items()])), "},",
+        F.when(k % 20 != 19, braces(labels)).otherwise("[]"),
+        ',"descriptions":', F.when(k % 3 == 0, braces(entry("en", _text("about ", name)))).otherwise("[]"),
+        ',"sitelinks":', braces(_joined(sites)) if sites else "[]",
+        ',"claims":', braces(_joined(props)), "},",
     ).alias("value")
 
 

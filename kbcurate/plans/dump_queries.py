@@ -10,7 +10,7 @@ from kbcurate.plans.dump_lines import dump_lines
 from kbcurate.plans.registry import as_of, query
 from kbcurate.plans.views import AS_OF, Catalog
 from kbcurate.schemas import FACT_TYPES, RELATION_TYPES
-from kbcurate.sources.dump import parse_entities
+from kbcurate.sources.dump import entity_table, parse_entities
 from kbcurate.sources.tables import upsert
 
 ROOTS, IGNORED = ["P1"], ["P5"]
@@ -19,7 +19,7 @@ _FACTS = ", ".join(f"'{r}'" for r in FACT_TYPES)
 
 
 def entities(c: Catalog) -> DataFrame:
-    return parse_entities(dump_lines(c))
+    return c.shared("entities", lambda _: entity_table(dump_lines(c)))
 
 
 @query("""
@@ -35,7 +35,7 @@ def parse_entities_query(c: Catalog) -> DataFrame:
     def size(col):
         return F.coalesce(F.when(F.size(col) >= 0, F.size(col)), F.lit(0)).cast("long")
 
-    return entities(c).select(
+    return parse_entities(dump_lines(c)).select(
         "id", size(F.map_keys("labels")).alias("labels"), size(F.map_keys("sitelinks")).alias("sitelinks"),
         size(F.col("claims.P279")).alias("p279"),
     )

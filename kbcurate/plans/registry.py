@@ -17,7 +17,7 @@ def query(oracle: str | None = None):
 
     def wrap(fn: Callable[[Catalog], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Catalog(spark, folder))
+            return fn(Catalog.of(spark, folder))
 
         QUERIES[fn.__name__] = run
         if oracle is not None:

@@ -7,6 +7,7 @@ nations; edges, facts, sources, references, evaluations and extractions follow f
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -389,6 +390,21 @@ class Catalog:
         self.spark, self.folder = spark, folder
         self._seen: dict[str, DataFrame] = {}
 
+    _open: dict[str, Catalog] = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, folder: str) -> Catalog:
+        """The catalog of a folder; its view definitions (plans, not rows) are made once."""
+        found = cls._open.get(folder)
+        if found is None or found.spark is not spark:
+            found = cls._open[folder] = cls(spark, folder)
+        return found
+
+    def shared(self, name: str, make: Callable[[Catalog], DataFrame]) -> DataFrame:
+        if name not in self._seen:
+            self._seen[name] = make(self)
+        return self._seen[name]
+
     def table(self, name: str) -> DataFrame:
         if name not in self._seen:
             self._seen[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from kbcurate.schemas import CLAIM_KEYS, dump_schema
+from kbcurate.session import written
 
 _BLANKS = " \t\r\n"
 
@@ -29,14 +30,21 @@ def parse_entities(
 ) -> DataFrame:
     """Entities of dump lines; lines that are no JSON object with an id are dropped.
 
-    ``rejects``, when given, observes how many lines were read and how many had no id.
+    ``rejects``, when given, observes how many lines were read and how many had no id. The parsed
+    line goes through a generator, past which no filter is pushed: each line is parsed once.
     """
     parsed = clean_lines(lines).select(
-        F.from_json("value", dump_schema(claim_keys)).alias("e")
-    ).select("e.*")
+        F.inline(F.array(F.from_json("value", dump_schema(claim_keys))))
+    )
     usable = F.coalesce(F.col("id"), F.lit("")) != ""
     if rejects is not None:
         parsed = parsed.observe(
             rejects, F.count(F.lit(1)).alias("lines"), F.count_if(~usable).alias("rejected")
         )
     return parsed.where(usable)
+
+
+def entity_table(lines: DataFrame, claim_keys: list[str] = CLAIM_KEYS) -> DataFrame:
+    """Entities of dump lines as a written table. All imports read it several times, and then
+    only the claim columns they use; the text is parsed once."""
+    return written(parse_entities(lines, claim_keys), "entities")
