@@ -1,19 +1,17 @@
 """Imprecise dates as Column functions.
 
-A date is ``struct<time:string, precision:int>``: a signed time string such as
-``+1970-06-00T00:00:00Z`` and a precision from 0 to 14 (6 millennium, 7 century, 8 decade,
-9 year, 10 month, 11 day). Strings are kept because BCE years and ``00`` months do not fit a
-DATE. The sign is dropped when parts are read, so 44 BCE and 44 CE have the same year in every
-comparison but :func:`over_years_ago`.
+A date is a struct of a signed time string such as ``+1970-06-00T00:00:00Z``, a precision from 0
+to 14 (6 millennium, 7 century, 8 decade, 9 year, 10 month, 11 day) and the year, month and day
+read from the string once (month and day null for ``00``). Strings are kept because BCE years and
+``00`` months do not fit a DATE. The sign is dropped when parts are read, so 44 BCE and 44 CE have
+the same year in every comparison but :func:`over_years_ago`.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-DATE_TYPE = "struct<time:string,precision:int>"
+DATE_TYPE = "struct<time:string,precision:int,y:int,m:int,d:int>"
 
 MILLENNIUM, CENTURY, DECADE, YEAR, MONTH, DAY = 6, 7, 8, 9, 10, 11
 
@@ -24,33 +22,38 @@ CALENDAR_MODEL = "http://www.wikidata.org/entity/Q1985727"
 # --- construction and parts -----------------------------------------------------------------
 
 
+def dated(time: Column, precision: Column) -> Column:
+    """The date struct of a signed time string."""
+    digits = F.split(F.substr(F.substring_index(time, "T", 1), F.lit(2)), "-")
+
+    def part(index: int) -> Column:
+        return F.get(digits, F.lit(index)).try_cast("int")
+
+    return F.struct(
+        time.alias("time"), precision.cast("int").alias("precision"), part(0).alias("y"),
+        F.nullif(part(1), F.lit(0)).alias("m"), F.nullif(part(2), F.lit(0)).alias("d"),
+    )
+
+
 def imprecise(time: Column, precision: Column) -> Column:
     """A date from a raw time string and precision; null unless the string carries a sign."""
-    return F.when(
-        time.rlike("^[+-]"),
-        F.struct(time.alias("time"), precision.cast("int").alias("precision")),
-    )
+    return F.when(time.rlike("^[+-]"), dated(time, precision))
 
 
 def no_date() -> Column:
     return F.lit(None).cast(DATE_TYPE)
 
 
-def _digits(d: Column, index: int) -> Column:
-    body = F.substring_index(d["time"], "T", 1)
-    return F.get(F.split(F.substr(body, F.lit(2)), "-"), F.lit(index))
-
-
 def year(d: Column) -> Column:
-    return _digits(d, 0).try_cast("int")
+    return d["y"]
 
 
 def month(d: Column) -> Column:
-    return F.nullif(_digits(d, 1), F.lit("00")).try_cast("int")
+    return d["m"]
 
 
 def day(d: Column) -> Column:
-    return F.nullif(_digits(d, 2), F.lit("00")).try_cast("int")
+    return d["d"]
 
 
 def _p(d: Column) -> Column:
@@ -77,9 +80,7 @@ def parse_date(text: Column) -> Column:
         .when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(F.lit("+"), text, F.lit("-00T00:00:00Z")))
         .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(F.lit("+"), text, F.lit("T00:00:00Z")))
     )
-    return F.when(
-        time.isNotNull(), F.struct(time.alias("time"), text_precision(text).alias("precision"))
-    )
+    return F.when(time.isNotNull(), dated(time, text_precision(text)))
 
 
 def text_precision(text: Column) -> Column:
@@ -98,7 +99,7 @@ def date_from_parts(y: Column, m: Column, d: Column) -> Column:
         F.coalesce(d, F.lit("00")), F.lit("T00:00:00Z"),
     )
     precision = F.when(m.isNull(), YEAR).when(d.isNull(), MONTH).otherwise(DAY)
-    return F.struct(time.alias("time"), precision.alias("precision"))
+    return dated(time, precision)
 
 
 # --- predicates -----------------------------------------------------------------------------
@@ -294,10 +295,7 @@ def best_date(dates: Column, latest: bool) -> Column:
         return F.struct(d["precision"], date_key(d) * sign, d["time"].alias("time"))
 
     best = F.array_max(F.transform(usable, keyed))
-    return F.when(
-        best.isNotNull(),
-        F.struct(best["time"].alias("time"), best["precision"].alias("precision")),
-    )
+    return F.when(best.isNotNull(), dated(best["time"], best["precision"]))
 
 
 def qualifier_dates(qualifiers_json: Column, prop: str) -> Column:
@@ -305,10 +303,7 @@ def qualifier_dates(qualifiers_json: Column, prop: str) -> Column:
     parsed = F.from_json(qualifiers_json, QUALIFIER_DATES)[prop]
     return F.transform(
         parsed,
-        lambda s: F.struct(
-            s["datavalue"]["value"]["time"].alias("time"),
-            s["datavalue"]["value"]["precision"].alias("precision"),
-        ),
+        lambda s: dated(s["datavalue"]["value"]["time"], s["datavalue"]["value"]["precision"]),
     )
 
 
@@ -361,66 +356,59 @@ def term_qualifiers(start: Column, end: Column) -> Column:
 # of them an equality of derived keys: same precision (own keys equal), b finer (a container key of
 # a is among the ancestor keys of b), or a finer (the reverse). Joins use these keys.
 
-_CONTAINERS = (MILLENNIUM, DECADE, YEAR, MONTH, DAY)
-
-
-def _key(tag: str, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(tag), *[c.cast("string") for c in parts])
-
-
-def _bucket(level: int, d: Column) -> Column:
-    return {
-        MILLENNIUM: F.floor((year(d) - 1) / 1000),
-        DECADE: F.floor(year(d) / 10),
-        YEAR: year(d).cast("long"),
-        MONTH: (year(d) * 100 + _month0(d)).cast("long"),
-        DAY: date_key(d),
-    }[level]
-
-
-def own_key(d: Column) -> Column:
-    at_level = (
-        F.when(_p(d) <= YEAR, year(d).cast("long"))
-        .when(_p(d) == MONTH, _bucket(MONTH, d))
-        .otherwise(date_key(d))
+# They are written as SQL text over the name of a date column.
+
+_MONTH_NUMBER = "({d}.y * 100 + coalesce({d}.m, 0))"
+_DAY_NUMBER = "({d}.y * 10000 + coalesce({d}.m, 0) * 100 + coalesce({d}.d, 0))"
+_NO_KEYS = "CAST(array() AS ARRAY<STRING>)"
+_BUCKETS = {
+    MILLENNIUM: "floor(({d}.y - 1) / 1000)",
+    DECADE: "floor({d}.y / 10)",
+    YEAR: "{d}.y",
+    MONTH: _MONTH_NUMBER,
+    DAY: _DAY_NUMBER,
+}
+
+
+def own_key(name: str) -> Column:
+    """The date at its own precision; a mark of its own for no date."""
+    d = f"`{name}`"
+    number = (
+        f"CASE WHEN {d}.precision <= {YEAR} THEN {d}.y "
+        f"WHEN {d}.precision = {MONTH} THEN {_MONTH_NUMBER} ELSE {_DAY_NUMBER} END"
+    ).format(d=d)
+    return F.expr(
+        f"CASE WHEN {d} IS NULL THEN '-' ELSE concat('=', {d}.precision, ':', {number}) END"
     )
-    return F.when(d.isNull(), F.lit("-")).otherwise(_key("=", _p(d), at_level))
 
 
-def ancestor_keys(d: Column) -> Column:
+def ancestor_keys(name: str) -> Column:
     """Keys of every coarser period the date falls in."""
-    none = F.array().cast("array<string>")
-    levels = [
-        F.when(_p(d) > q, F.array(_key(f"<{q}", _bucket(q, d)))).otherwise(none)
-        for q in _CONTAINERS
+    d = f"`{name}`"
+    keys = [
+        f"IF({d}.precision > {q}, concat('<{q}:', {bucket.format(d=d)}), NULL)"
+        for q, bucket in _BUCKETS.items()
+    ] + [
+        f"IF({d}.precision > {CENTURY}, concat('<7y:', {d}.y), NULL)",
+        f"IF({d}.precision > {CENTURY}, concat('<7d:', floor({d}.y / 10)), NULL)",
     ]
-    century = F.when(
-        _p(d) > CENTURY,
-        F.array(_key("<7y", year(d)), _key("<7d", F.floor(year(d) / 10))),
-    ).otherwise(none)
-    keys = F.flatten(F.array(*levels, century))
-    return F.when(d.isNull(), none).otherwise(keys)
+    return F.expr(f"IF({d} IS NULL, {_NO_KEYS}, array_compact(array({', '.join(keys)})))")
 
 
-def container_keys(d: Column) -> Column:
+def container_keys(name: str) -> Column:
     """Keys a finer date shares when it falls in this one. A century may start at any year: it
     is covered by its whole decades and the single years around them."""
-    none = F.array().cast("array<string>")
-    y = year(d)
-    first_decade = F.ceil(y / 10).cast("int")
-    end_decade = F.floor((y + 100) / 10).cast("int")
-    ragged = y % 10 != 0
-    years = F.when(
-        ragged,
-        F.concat(F.sequence(y, first_decade * 10 - 1), F.sequence(end_decade * 10, y + 99)),
-    ).otherwise(F.array().cast("array<int>"))
-    century = F.concat(
-        F.transform(F.sequence(first_decade, end_decade - 1), lambda x: _key("<7d", x)),
-        F.transform(years, lambda x: _key("<7y", x)),
+    d = f"`{name}`"
+    first, end = f"CAST(ceil({d}.y / 10) AS INT)", f"CAST(floor(({d}.y + 100) / 10) AS INT)"
+    decades = f"transform(sequence({first}, {end} - 1), x -> concat('<7d:', x))"
+    years = (
+        f"transform(concat(sequence({d}.y, {first} * 10 - 1), sequence({end} * 10, {d}.y + 99)), "
+        "x -> concat('<7y:', x))"
+    )
+    levels = " ".join(
+        f"WHEN {q} THEN array(concat('<{q}:', {bucket.format(d=d)}))" for q, bucket in _BUCKETS.items()
     )
-    level_keys = reduce(
-        lambda acc, q: acc.when(_p(d) == q, F.array(_key(f"<{q}", _bucket(q, d)))),
-        _CONTAINERS[1:],
-        F.when(_p(d) == MILLENNIUM, F.array(_key("<6", _bucket(MILLENNIUM, d)))),
+    return F.expr(
+        f"CASE {d}.precision {levels} WHEN {CENTURY} THEN "
+        f"concat({decades}, IF({d}.y % 10 = 0, {_NO_KEYS}, {years})) ELSE {_NO_KEYS} END"
     )
-    return F.coalesce(F.when(_p(d) == CENTURY, century), level_keys, none)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Elements whose text is not page text.
@@ -94,12 +97,50 @@ def needle(quote: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(quote, f"[{SPACES}]+", " ")))
 
 
-def quote_pattern(quote: Column) -> Column:
-    """Pattern of a quote in a :func:`quote_stream`: a mark may stand between any two characters,
-    and in place of a space."""
-    escaped = F.regexp_replace(needle(quote), r"([\\.\[\]{}()*+?^$|#&~-])", r"\\$1")
-    spread = F.regexp_replace(escaped, r"(\\.|[^ \\])(?=[^ ])", f"$1{BOUNDARY}?")
-    return F.replace(spread, F.lit(" "), F.lit(f"[ {BOUNDARY}]"))
+def letters(text: Column) -> Column:
+    """Text without spaces and marks; a quote's letters are in a page's if the quote is."""
+    return F.translate(text, f" {BOUNDARY}", "")
+
+
+def _gaps(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the letters, and what stands before each: 0 nothing, 1 a space, 2 a mark."""
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    at = np.flatnonzero((codes != 32) & (codes != 1))
+    before = codes[np.maximum(at - 1, 0)]
+    gaps = np.where(before == 32, 1, np.where(before == 1, 2, 0))
+    return at, gaps
+
+
+def find_quote(stream: str, quote: str) -> tuple[int, int]:
+    """(hits, 1-based place of the first) of a needle in a quote stream. A mark matches a space of
+    the needle or nothing; hits do not overlap."""
+    letters_in = stream.replace(" ", "").replace(BOUNDARY, "")
+    wanted = quote.replace(" ", "")
+    if not wanted:
+        return 0, 0
+    at, gaps = _gaps(stream)
+    _, needed = _gaps(quote)
+    hits, first, o = 0, 0, letters_in.find(wanted)
+    while o >= 0:
+        inside = gaps[o + 1:o + len(wanted)]
+        if ((inside == 2) | (inside == needed[1:])).all():
+            hits += 1
+            first = first or int(at[o]) + 1
+            o = letters_in.find(wanted, o + len(wanted))
+        else:
+            o = letters_in.find(wanted, o + 1)
+    return hits, first
+
+
+def quote_hits() -> Callable[[Column, Column], Column]:
+    """Vectorised :func:`find_quote`: ``struct<hits,first_at>`` of (stream, needle)."""
+
+    @F.pandas_udf("struct<hits:long,first_at:long>")
+    def search(streams: pd.Series, quotes: pd.Series) -> pd.DataFrame:
+        found = [find_quote(s, q) for s, q in zip(streams, quotes)]
+        return pd.DataFrame(found, columns=["hits", "first_at"], dtype="int64")
+
+    return search
 
 
 def permanent_url(markup: Column) -> Column:

@@ -84,67 +84,64 @@ def compare_facts(a: Column, b: Column) -> Column:
 # --- matching through keys ------------------------------------------------------------------
 
 
-def _pairs(tag: str, starts: Column, ends: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            starts, lambda s: F.transform(ends, lambda e: F.concat_ws("|", F.lit(tag), s, e))
-        )
-    )
-
-
-def _with(own: Column, others: Column) -> Column:
-    return F.concat(F.array(own), others)
-
-
-def _same_or_finer(d: Column) -> Column:
+def _same_or_finer(d: str) -> Column:
     """Keys under which a date is found by an equal or coarser one."""
-    return _with(D.own_key(d), D.ancestor_keys(d))
+    return F.concat(F.array(D.own_key(d)), D.ancestor_keys(d))
 
 
-def _same_or_coarser(d: Column) -> Column:
+def _same_or_coarser(d: str) -> Column:
     """Keys with which a date looks for equal or finer ones."""
-    return _with(D.own_key(d), D.container_keys(d))
+    return F.concat(F.array(D.own_key(d)), D.container_keys(d))
 
 
 def value_key() -> Column:
     """Everything about a value that matching can see; copies share it."""
     return F.concat_ws(
-        "|", D.own_key(F.col("date")), D.own_key(F.col("start")), D.own_key(F.col("end"))
+        "|", D.own_key("date"), D.own_key("start"), D.own_key("end")
     )
 
 
-def _stored_keys() -> Column:
-    """Keys a known fact is found under: as it is, or as the finer one; for office terms also
-    finer at one end and coarser at the other, which counts as equal."""
-    start, end = F.col("start"), F.col("end")
-    dated = start.isNotNull() | end.isNotNull()
-    frames = F.concat(
-        F.array(F.lit("any")),
-        _pairs("=", _same_or_finer(start), _same_or_finer(end)),
-        _pairs(">", D.container_keys(start), D.ancestor_keys(end)),
-        _pairs("<", D.ancestor_keys(start), D.container_keys(end)),
+def _frame_keys(view: DataFrame, keep: list[str], kinds: list[tuple[str, Column, Column]]) -> DataFrame:
+    """One row per combination of a start key and an end key, for each ``(tag, start keys, end
+    keys)``. Key arrays are made once per row, combinations by two generators."""
+    arrays = view.select(
+        *keep,
+        F.array(*[
+            F.struct(F.lit(tag).alias("tag"), starts.alias("starts"), ends.alias("ends"))
+            for tag, starts, ends in kinds
+        ]).alias("kinds"),
     )
     return (
-        F.when(F.col("type").isin(DATE_TYPES), _same_or_finer(F.col("date")))
-        .when((F.col("type") == POSITION) & dated, frames)
-        .otherwise(F.array(F.lit("any")))
+        arrays.select(*keep, F.inline("kinds"))
+        .select(*keep, "tag", "ends", F.explode("starts").alias("s"))
+        .select(*keep, "tag", "s", F.explode("ends").alias("e"))
+        .select(*keep, F.concat_ws("|", "tag", "s", "e").alias("key"))
     )
 
 
-def _wanted_keys() -> Column:
-    """Keys a candidate looks under; the mirror of :func:`_stored_keys`."""
+def _match_keys(view: DataFrame, keep: list[str], stored: bool) -> DataFrame:
+    """Rows of ``view`` under their match keys.
+
+    Known facts (``stored``) are filed as they are and as the finer one; candidates look as they
+    are and as the coarser one. Office terms combine both ends, and may also be finer at one end
+    and coarser at the other, which counts as equal. An undated candidate term, a birthplace or a
+    citizenship only asks for anything in its block.
+    """
     start, end = F.col("start"), F.col("end")
-    dated = start.isNotNull() | end.isNotNull()
-    frames = F.concat(
-        _pairs("=", _same_or_coarser(start), _same_or_coarser(end)),
-        _pairs(">", D.ancestor_keys(start), D.container_keys(end)),
-        _pairs("<", D.container_keys(start), D.ancestor_keys(end)),
+    side = _same_or_finer if stored else _same_or_coarser
+    is_date = F.col("type").isin(DATE_TYPES)
+    dated = (F.col("type") == POSITION) & (start.isNotNull() | end.isNotNull())
+    dates = view.where(is_date).select(*keep, F.explode(side("date")).alias("key"))
+    whole = view.where(~is_date if stored else ~is_date & ~dated).select(
+        *keep, F.lit("any").alias("key")
     )
-    return (
-        F.when(F.col("type").isin(DATE_TYPES), _same_or_coarser(F.col("date")))
-        .when((F.col("type") == POSITION) & dated, frames)
-        .otherwise(F.array(F.lit("any")))
+    up, down = (D.ancestor_keys, D.container_keys) if not stored else (D.container_keys, D.ancestor_keys)
+    frames = _frame_keys(
+        view.where(dated), keep,
+        [("=", side("start"), side("end")), (">", up("start"), down("end")),
+         ("<", down("start"), up("end"))],
     )
+    return dates.unionByName(whole).unionByName(frames)
 
 
 def _candidate_values(view: DataFrame) -> DataFrame:
@@ -160,15 +157,17 @@ def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     cands = fact_view(candidates).withColumn("vkey", value_key())
     values = _candidate_values(cands)
     stored = fact_view(facts.where(F.col("deleted_at").isNull()))
-    index = (
+    filed = (
         stored.join(values.select(*BLOCK).distinct(), BLOCK, "left_semi")
-        .select(*BLOCK, F.explode(_stored_keys()).alias("key"),
-                F.struct("created_at", "id").alias("fact"))
-        .groupBy(*BLOCK, "key")
-        .agg(F.min("fact").alias("fact"))
+        .withColumn("fact", F.struct("created_at", "id"))
+        .select(*BLOCK, "date", "start", "end", "fact")
+    )
+    index = (
+        _match_keys(filed, [*BLOCK, "fact"], stored=True)
+        .groupBy(*BLOCK, "key").agg(F.min("fact").alias("fact"))
     )
     found = (
-        values.select(*BLOCK, "vkey", F.explode(_wanted_keys()).alias("key"))
+        _match_keys(values, [*BLOCK, "vkey"], stored=False)
         .join(index, [*BLOCK, "key"])
         .groupBy(*BLOCK, "vkey")
         .agg(F.min("fact").alias("fact"))
@@ -267,18 +266,14 @@ def subsumed(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     )
     blocks = values.select(*office).distinct().join(many, office, "left_semi")
     chains = chain_ends(_office_terms(facts, blocks))
-    offered = chains.select(
-        *office,
-        F.explode(
-            _pairs("=", _same_or_finer(F.col("start")), _same_or_finer(F.col("chain_end")))
-        ).alias("key"),
+    offered = _frame_keys(
+        chains, office,
+        [("=", _same_or_finer("start"), _same_or_finer("chain_end"))],
     ).distinct()
     hit = (
-        values.select(
-            *office, "vkey",
-            F.explode(
-                _pairs("=", _same_or_coarser(F.col("start")), _same_or_coarser(F.col("end")))
-            ).alias("key"),
+        _frame_keys(
+            values, [*office, "vkey"],
+            [("=", _same_or_coarser("start"), _same_or_coarser("end"))],
         )
         .join(offered, [*office, "key"], "left_semi")
         .select(*office, "vkey").distinct()
@@ -408,11 +403,11 @@ def _first_claims(rest: DataFrame) -> DataFrame:
         F.first("date").alias("date"), F.min(F.struct("seq", "cand_id")).alias("first")
     )
     subtree = (
-        values.select(*BLOCK, F.explode(_same_or_finer(F.col("date"))).alias("key"), "first")
+        values.select(*BLOCK, F.explode(_same_or_finer("date")).alias("key"), "first")
         .groupBy(*BLOCK, "key").agg(F.min("first").alias("first"))
     )
     owners = (
-        values.select(*BLOCK, "vkey", F.explode(_same_or_coarser(F.col("date"))).alias("key"))
+        values.select(*BLOCK, "vkey", F.explode(_same_or_coarser("date")).alias("key"))
         .join(subtree, [*BLOCK, "key"])
         .groupBy(*BLOCK, "vkey").agg(F.min("first").alias("owner"))
     )

@@ -38,24 +38,25 @@ def verify_quotes(references: DataFrame, pages: DataFrame) -> DataFrame:
     """Occurrences of each quote in its source's page ``(source_id, html)``: number of
     non-overlapping hits and place of the first (1-based, 0 without).
 
-    Copies of a quote are searched once per page; a page with very many quotes is a hot key of
-    the quote side, which adaptive execution splits (its other side is one row).
+    Copies of a quote are searched once per page, and only where its letters occur in order; a
+    page with very many quotes is a hot key of the quote side, which adaptive execution splits
+    (its other side is one row).
     """
     quoted = references.select("property_id", "source_id", F.explode("supporting_quotes").alias("quote"))
     wanted = quoted.select("source_id", "quote").distinct().withColumn(
-        "_pattern", X.quote_pattern(F.col("quote"))
+        "needle", X.needle(F.col("quote"))
     )
-    streams = pages.select("source_id", X.quote_stream(F.col("html")).alias("_stream"))
-    blank = F.col("_pattern") == ""
-    found = wanted.join(streams, "source_id").select(
-        "source_id", "quote",
-        F.when(blank, 0).otherwise(F.regexp_count("_stream", F.col("_pattern"))).alias("hits"),
-        F.when(blank, 0).otherwise(F.regexp_instr("_stream", F.col("_pattern"))).alias("first_at"),
+    streams = pages.select("source_id", X.quote_stream(F.col("html")).alias("stream"))
+    search = X.quote_hits()
+    found = (
+        wanted.join(streams, "source_id")
+        .where(X.letters(F.col("stream")).contains(X.letters(F.col("needle"))) & (F.col("needle") != ""))
+        .select("source_id", "quote", search("stream", "needle").alias("h"))
+        .select("source_id", "quote", "h.hits", "h.first_at")
     )
     return quoted.join(found, ["source_id", "quote"], "left").select(
-        "property_id", "source_id", "quote",
-        F.coalesce("hits", F.lit(0)).cast("long").alias("hits"),
-        F.coalesce("first_at", F.lit(0)).cast("long").alias("first_at"),
+        "property_id", "source_id", "quote", F.coalesce("hits", F.lit(0)).alias("hits"),
+        F.coalesce("first_at", F.lit(0)).alias("first_at"),
     )
 
 

@@ -44,7 +44,7 @@ def adjoin_sql(e, s) -> str:
     (ep, ey, em, ed), (sp, sy, sm, sd) = e, s
     def date(y, m, d):
         return f"try_cast({pad(y, 4)} || '-' || {pad(m, 2)} || '-' || {pad(d, 2)} AS DATE)"
-    return f"""coalesce(CASE WHEN {ep} <> {sp} THEN false
+    return f"""coalesce(CASE WHEN {ep} IS NULL OR {sp} IS NULL OR {ep} <> {sp} THEN false
         WHEN {ep} = 9 THEN {sy} - {ey} BETWEEN 0 AND 1
         WHEN {ep} = 10 AND {sm} > 0 AND {em} > 0 THEN ({sy} - {ey}) * 12 + {sm} - {em} BETWEEN 0 AND 1
         WHEN {ep} = 11 AND {sd} > 0 AND {ed} > 0

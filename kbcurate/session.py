@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", app: str = "kbcurate") -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # cheaper plan building
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
