@@ -153,14 +153,19 @@ def _candidate_values(view: DataFrame) -> DataFrame:
 
 def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """(cand_id, fact_id): the first live fact, by creation time and id, that equals a candidate
-    or is more precise than it."""
+    or is more precise than it.
+
+    Distinct candidate values, and the facts of their blocks, are written first: each is read
+    once per kind of key, and their dates are parsed once.
+    """
     cands = fact_view(candidates).withColumn("vkey", value_key())
-    values = _candidate_values(cands)
+    values = written(_candidate_values(cands), "values")
     stored = fact_view(facts.where(F.col("deleted_at").isNull()))
-    filed = (
+    filed = written(
         stored.join(values.select(*BLOCK).distinct(), BLOCK, "left_semi")
         .withColumn("fact", F.struct("created_at", "id"))
-        .select(*BLOCK, "date", "start", "end", "fact")
+        .select(*BLOCK, "date", "start", "end", "fact"),
+        "filed",
     )
     index = (
         _match_keys(filed, [*BLOCK, "fact"], stored=True)
@@ -258,14 +263,14 @@ def subsumed(candidates: DataFrame, facts: DataFrame) -> DataFrame:
         .where(F.col("start").isNotNull() & (F.col("place") != ""))
         .withColumn("vkey", value_key())
     )
-    values = _candidate_values(cands)
+    values = written(_candidate_values(cands), "values")
     mine = facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull())
     many = (
         mine.groupBy("politician_id", F.col("entity_id").alias("place"))
         .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
     )
     blocks = values.select(*office).distinct().join(many, office, "left_semi")
-    chains = chain_ends(_office_terms(facts, blocks))
+    chains = chain_ends(written(_office_terms(facts, blocks), "terms"))
     offered = _frame_keys(
         chains, office,
         [("=", _same_or_finer("start"), _same_or_finer("chain_end"))],

@@ -8,6 +8,7 @@ from kbcurate.functions import dates as D
 from kbcurate.operators import facts as R, pages as P
 from kbcurate.plans.registry import as_of, query
 from kbcurate.plans.views import Catalog, date_text, pad
+from kbcurate.session import written
 
 # --- dates, as SQL over part columns (p, y, m, d) -------------------------------------------
 
@@ -340,7 +341,7 @@ _ISLANDS = f"""
 def chain_ends(c: Catalog) -> DataFrame:
     """Runs of consecutive terms per office; every office is looked at."""
     blocks = c.v_terms.select("politician_id", F.col("entity_id").alias("place")).distinct()
-    chains = R.chain_ends(R._office_terms(c.v_properties, blocks))
+    chains = R.chain_ends(written(R._office_terms(c.v_properties, blocks), "terms"))
     return chains.groupBy("politician_id", "place").agg(
         F.count(F.lit(1)).alias("terms"), F.count_distinct("island").alias("runs"),
         F.count_if(F.col("chain_end").isNull()).alias("open_terms"),
