@@ -121,7 +121,7 @@ def rich_description(c: Catalog) -> DataFrame:
 def politician_documents(c: Catalog) -> DataFrame:
     """Nested records, checked by the sizes of their lists."""
     docs = A.politician_documents(
-        c.v_politicians, c.v_properties, c.v_entities, _references(c), c.v_sources
+        c.v_politicians, c.v_properties, c.v_entities, _references(c), _sources(c)
     )
     sizes = F.aggregate(
         "properties", F.lit(0).cast("long"), lambda n, p: n + F.size(p["sources"])
@@ -132,6 +132,10 @@ def politician_documents(c: Catalog) -> DataFrame:
     )
 
 
+def _sources(c: Catalog) -> DataFrame:
+    return c.v_sources.withColumn("url_hash", T.url_hash(F.col("url")))
+
+
 def _references(c: Catalog) -> DataFrame:
     return c.v_quotes.groupBy("property_id", "source_id").agg(
         F.array_sort(F.collect_set("quote")).alias("supporting_quotes")
@@ -144,7 +148,7 @@ def _references(c: Catalog) -> DataFrame:
             JOIN v_source_languages s ON s.source_id = r.source_id WHERE s.language_id IN ({_LANGS})))""")
 def politician_view(c: Catalog) -> DataFrame:
     view = A.politician_view(
-        "C7", LANGUAGES, c.v_politicians, c.v_properties, c.v_entities, _references(c), c.v_sources,
+        "C7", LANGUAGES, c.v_politicians, c.v_properties, c.v_entities, _references(c), _sources(c),
         c.v_source_languages,
     )
     return view.agg(F.sum(F.size("properties")).alias("facts"))
@@ -157,7 +161,7 @@ def politician_view(c: Catalog) -> DataFrame:
 def source_view(c: Catalog) -> DataFrame:
     view = A.source_view(
         ["src-3", "src-5"], c.v_politicians, c.v_politician_sources, c.v_properties, c.v_entities,
-        _references(c), c.v_sources,
+        _references(c), _sources(c),
     )
     return view.select("id", F.size("properties").cast("long").alias("facts")).where("facts > 0")
 
@@ -463,7 +467,7 @@ def archive_path(c: Catalog) -> DataFrame:
 
 
 @query("""SELECT page_id, 'https://w.example/i?oldid=' || CAST(page_id AS STRING) || '&a=1' AS permanent_url
-    FROM pages WHERE page_id % 2 = 0""")
+    FROM pages WHERE page_id % 2 = 0 AND contains(html, '</body>')""")
 def permanent_url(c: Catalog) -> DataFrame:
     """Pages with a permanent link put before their end."""
     link = F.concat(

@@ -36,7 +36,7 @@ def _drained(c: Catalog, out: DataFrame, name: str, mode: str = "append") -> Dat
 
 def _evaluation_stream(c: Catalog) -> DataFrame:
     return _event_stream(c).where(F.col("event_type").isin("purchase", "error")).select(
-        F.col("ts").alias("created_at"), (F.col("event_type") == "purchase").alias("is_accepted")
+        F.col("ts").cast("timestamp").alias("created_at"), (F.col("event_type") == "purchase").alias("is_accepted")
     )
 
 
