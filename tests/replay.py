@@ -87,7 +87,7 @@ def told(c, terms):
 def text(d):
     if d is None:
         return None
-    return "-".join([f"{d[1]:04d}", f"{d[2]:02d}", f"{d[3]:02d}"][: d[0] - 8])
+    return "-".join(f"{n:0{4 if i == 0 else 2}d}" for i, n in enumerate(d[1:d[0] - 7]))
 
 
 def time(d):

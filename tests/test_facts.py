@@ -38,7 +38,7 @@ def fact_table(spark, facts):
 
 
 def candidate_table(spark, cands):
-    rows = [(f"p{who}" if False else who, "src", i, kind, entity,
+    rows = [(who, "src", i, kind, entity,
              replay.text(value) if kind == "P569" else None,
              replay.text(value[0]) if kind == "P39" else None,
              replay.text(value[1]) if kind == "P39" else None, ["q"])
