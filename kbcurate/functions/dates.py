@@ -9,7 +9,7 @@ the same year in every comparison but :func:`over_years_ago`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 DATE_TYPE = "struct<time:string,precision:int,y:int,m:int,d:int>"
 
@@ -73,14 +73,19 @@ def date_key(d: Column) -> Column:
     return (year(d) * 10000 + _month0(d) * 100 + _day0(d)).cast("long")
 
 
-def parse_date(text: Column) -> Column:
-    """``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` by shape only (month 99 passes); else null."""
-    time = (
-        F.when(text.rlike(r"^\d{4}$"), F.concat(F.lit("+"), text, F.lit("-00-00T00:00:00Z")))
-        .when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(F.lit("+"), text, F.lit("-00T00:00:00Z")))
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(F.lit("+"), text, F.lit("T00:00:00Z")))
+def text_time(text: Column) -> Column:
+    """Time string of ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` by shape only (month 99 passes);
+    else null."""
+    return F.when(
+        text.rlike(r"^\d{4}(-\d{2}){0,2}$"),
+        F.concat(F.lit("+"), F.rpad(F.concat(text, F.substr(F.lit("-00-00"), F.length(text) - 3)), 10, "0"),
+                 F.lit("T00:00:00Z")),
     )
-    return F.when(time.isNotNull(), dated(time, text_precision(text)))
+
+
+def parse_date(text: Column) -> Column:
+    """The date of a text :func:`text_time` accepts; else null."""
+    return imprecise(text_time(text), text_precision(text))
 
 
 def text_precision(text: Column) -> Column:
@@ -277,6 +282,18 @@ def _first_date(snaks: Column) -> Column:
     return F.when(value["precision"].isNotNull(), imprecise(value["time"], value["precision"]))
 
 
+def with_qualifiers(df: DataFrame, qualifiers_json: Column) -> DataFrame:
+    """Adds the columns P580 and P582 (value lists). The text goes through a generator, so it is
+    parsed once however often the dates are used."""
+    text = F.coalesce(qualifiers_json, F.lit("{}"))
+    return df.select("*", F.inline(F.array(F.from_json(text, QUALIFIER_DATES))))
+
+
+def first_date(values: str) -> Column:
+    """First value of a list :func:`with_qualifiers` added."""
+    return _first_date(F.col(values))
+
+
 def timeframe(qualifiers_json: Column) -> Column:
     """``struct<start,end>`` of a qualifier text: its first P580 and first P582 value. A
     qualifier without a value counts as absent."""
@@ -300,9 +317,12 @@ def best_date(dates: Column, latest: bool) -> Column:
 
 def qualifier_dates(qualifiers_json: Column, prop: str) -> Column:
     """All dates of one qualifier property, as an array for :func:`best_date`."""
-    parsed = F.from_json(qualifiers_json, QUALIFIER_DATES)[prop]
+    return value_dates(F.from_json(qualifiers_json, QUALIFIER_DATES)[prop])
+
+
+def value_dates(values: Column) -> Column:
     return F.transform(
-        parsed,
+        values,
         lambda s: dated(s["datavalue"]["value"]["time"], s["datavalue"]["value"]["precision"]),
     )
 

@@ -31,16 +31,16 @@ BLOCK = ["politician_id", "type", "place"]
 def fact_view(df: DataFrame) -> DataFrame:
     """Adds ``date``, ``start``, ``end`` and ``place`` (the entity, for facts that need one)."""
     is_date = F.col("type").isin(DATE_TYPES)
-    frame = D.timeframe(F.when(F.col("type") == POSITION, F.col("qualifiers_json")))
+    terms = F.when(F.col("type") == POSITION, F.col("qualifiers_json"))
     return (
-        df.withColumn(
-            "date", F.when(is_date, D.imprecise(F.col("value"), F.col("value_precision")))
-        )
-        .withColumn("_frame", frame)
-        .withColumn("start", F.col("_frame.start"))
-        .withColumn("end", F.col("_frame.end"))
-        .withColumn("place", F.when(is_date, F.lit("")).otherwise(F.coalesce("entity_id", F.lit(""))))
-        .drop("_frame")
+        D.with_qualifiers(df, terms)
+        .withColumns({
+            "date": F.when(is_date, D.imprecise(F.col("value"), F.col("value_precision"))),
+            "start": D.first_date("P580"),
+            "end": D.first_date("P582"),
+            "place": F.when(is_date, F.lit("")).otherwise(F.coalesce("entity_id", F.lit(""))),
+        })
+        .drop("P580", "P582")
     )
 
 
@@ -317,22 +317,20 @@ def candidate_rows(extractions: DataFrame) -> Candidates:
     wrong = F.when(is_date, F.col("value").isNull() | bad("value")).when(
         is_term, bad("start_date") | bad("end_date")
     ).otherwise(F.lit(False))
-    date = F.when(is_date, D.parse_date(F.col("value")))
     rows = extractions.withColumn("_wrong", wrong)
+    texts = {"_date": ("value", is_date), "_start": ("start_date", is_term), "_end": ("end_date", is_term)}
     valid = (
         rows.where(~F.col("_wrong"))
-        .withColumn("date", date)
+        .withColumns({n: F.when(cond, D.text_time(F.col(c))) for n, (c, cond) in texts.items()})
+        .withColumns({
+            n[1:]: D.imprecise(F.col(n), D.text_precision(F.col(c))) for n, (c, _) in texts.items()
+        })
         .select(
             candidate_id().alias("cand_id"), "politician_id", "source_id", "seq",
             F.col("kind").alias("type"),
             F.col("date.time").alias("value"), F.col("date.precision").alias("value_precision"),
             F.when(~is_date, F.col("entity_id")).alias("entity_id"),
-            F.when(
-                is_term,
-                D.term_qualifiers(
-                    D.parse_date(F.col("start_date")), D.parse_date(F.col("end_date"))
-                ),
-            ).alias("qualifiers_json"),
+            D.term_qualifiers(F.col("start"), F.col("end")).alias("qualifiers_json"),
             "supporting_quotes",
         )
     )

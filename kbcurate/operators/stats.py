@@ -304,19 +304,16 @@ def review_sections(facts: DataFrame) -> DataFrame:
     first fact. Rows that tie are put in a fixed pseudo-random order, which also lets ranks of a
     politician with very many facts be computed in pieces.
     """
-    frame_dates = {
-        "start": D.best_date(D.qualifier_dates(F.col("qualifiers_json"), "P580"), latest=False)
-    }
     is_date = F.col("type").isin(DATE_TYPES)
     section = F.when(is_date, 0)
     for i, t in enumerate(SECTION_ORDER, start=1):
         section = section.when(F.col("type") == t, i)
     rows = (
-        live(facts)
+        D.with_qualifiers(live(facts), F.col("qualifiers_json"))
         .withColumn("section", section)
         .where(F.col("section").isNotNull())
         .withColumn("group_key", F.when(is_date, F.col("type")).otherwise(F.col("entity_id")))
-        .withColumns(frame_dates)
+        .withColumn("start", D.best_date(D.value_dates(F.col("P580")), latest=False))
         .withColumn(
             "at",
             F.when(is_date, D.imprecise(F.col("value"), F.col("value_precision")))
