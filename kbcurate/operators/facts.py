@@ -210,7 +210,8 @@ def _office_terms(facts: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def chain_ends(terms: DataFrame) -> DataFrame:
-    """Each term with the end of the run of consecutive terms it belongs to.
+    """Each term with the end of the run of consecutive terms it belongs to, whether it starts one
+    (``gap``), and how many copies of it the row stands for (``weight``).
 
     Gaps and islands over terms in start order. An office with very many terms is not put into
     one task: terms are linked within a start year, and years are stitched by their edges, of
@@ -222,8 +223,10 @@ def chain_ends(terms: DataFrame) -> DataFrame:
     years = Window.partitionBy(*office).orderBy("y")
     rows = terms.select(
         *office, *TERM_ORDER, "start", "end", D.year(F.col("start")).alias("y"),
-        F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(2)).cast("int"))).alias("copy"),
-    ).where(F.col("y").isNotNull())
+        "copies", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(2)).cast("int"))).alias("copy"),
+    ).where(F.col("y").isNotNull()).withColumn(
+        "weight", F.when(F.col("copy") == 2, F.col("copies") - 1).otherwise(1)
+    )
     edges = (
         rows.groupBy(*office, "y").agg(F.max_by("end", order).alias("last_end"))
         .select(*office, "y", F.lag("last_end").over(years).alias("carried"))
@@ -249,7 +252,7 @@ def chain_ends(terms: DataFrame) -> DataFrame:
     )
     ends = islands.groupBy(*office, "island").agg(F.max_by("end", order).alias("chain_end"))
     return islands.join(ends, [*office, "island"]).select(
-        *office, "skey", "start", "end", "island", "chain_end"
+        *office, "skey", "start", "end", "gap", "weight", "chain_end"
     )
 
 

@@ -343,8 +343,8 @@ def chain_ends(c: Catalog) -> DataFrame:
     blocks = c.v_terms.select("politician_id", F.col("entity_id").alias("place")).distinct()
     chains = R.chain_ends(written(R._office_terms(c.v_properties, blocks), "terms"))
     return chains.groupBy("politician_id", "place").agg(
-        F.count(F.lit(1)).alias("terms"), F.count_distinct("island").alias("runs"),
-        F.count_if(F.col("chain_end").isNull()).alias("open_terms"),
+        F.sum("weight").alias("terms"), F.sum(F.col("gap") * F.col("weight")).alias("runs"),
+        F.sum(F.when(F.col("chain_end").isNull(), F.col("weight")).otherwise(0)).alias("open_terms"),
     )
 
 
