@@ -18,8 +18,8 @@ import zlib
 import numpy as np
 
 BLOCK = 1 << 20
-LANES = 4096
-SLOTS = 1 << 18
+LANES = 8192
+SLOTS = 1 << 18  # the order-2 hash keeps the top 18 bits
 STEP = np.int64(16)
 TRUST_BITS = 15
 LEARN_EVERY = 4
@@ -56,7 +56,8 @@ class _Model:
 
     def predict(self, one: np.ndarray, two: np.ndarray) -> None:
         self.one = one
-        self.slot = (two * 0x9E3B + one * 0x85EBCA6B) % 0x7FFFFFED & (SLOTS - 1)
+        mixed = two.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + one.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        self.slot = (mixed >> np.uint64(46)).astype(np.int64)
         self.p1, self.p2 = self.guess1[one], self.guess2[self.slot]
         self.c1, self.c2 = self.sure1[one], self.sure2[self.slot]
         self.row = (self.c2.astype(np.int64) << 3) + (self.c1 << 1) + (self.p1 == self.p2)

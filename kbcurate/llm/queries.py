@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbcurate.llm import minhash, substring
+from kbcurate.llm import ann, counts, licences, minhash, mixing, packing, quality, substring, tokenfile, vectors
+from kbcurate.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,13 @@ def query(oracle: str | None = None):
     return wrap
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary lies; the same place on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -58,3 +66,160 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(oracle=r"""
+WITH base AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), drawn AS (
+  SELECT *, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_key) AS draw FROM base
+), named AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n,
+         row_number() OVER (ORDER BY source NULLS LAST) AS position
+  FROM drawn GROUP BY source
+), weighed AS (
+  SELECT *, (position - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM named
+), levels AS (
+  SELECT *, cap / weight AS ratio,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER w, 0))
+      / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS lev
+  FROM weighed
+  WINDOW w AS (ORDER BY cap / weight, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), aimed AS (
+  SELECT *, CASE WHEN ratio > fin THEN fin * weight ELSE CAST(cap AS DOUBLE) END AS target
+  FROM (SELECT *, max(CASE WHEN ratio > lev THEN lev END) OVER () AS fin FROM levels)
+), blocked AS (
+  SELECT *, CAST(ceil(greatest(source_size / 1000000, n / 20000)) AS BIGINT) AS shards,
+    CAST(greatest(1, least(64, floor(min(CASE WHEN target > 0 THEN target END) OVER () / 100))) AS BIGINT) AS block
+  FROM aimed
+), seated AS (
+  SELECT *, CAST(round(sum(source_size) OVER () / block) AS BIGINT) AS seats FROM blocked
+), c1 AS (
+  SELECT *, target / sum(target) OVER () AS share, count(*) OVER () AS m FROM seated WHERE target > 0
+), c2 AS (
+  SELECT *, CAST(greatest(0, floor(share * seats - (share * m / 2 + 1))) AS BIGINT) AS low,
+         CAST(ceil(share * seats + share * m / 2 + 1) AS BIGINT) AS high FROM c1
+), c3 AS (
+  SELECT position, low, k, seats - (SELECT sum(low) FROM c2) AS remain,
+         row_number() OVER (ORDER BY target / (2 * k + 1) DESC, position, k) AS r
+  FROM (SELECT *, unnest(range(low, high)) AS k FROM c2)
+), quota AS (
+  SELECT position, any_value(low) + count(*) FILTER (WHERE r <= remain) AS quota FROM c3 GROUP BY position
+), placed AS (
+  SELECT d.*, s.position, s.source_size, s.target, s.block, coalesce(q.quota, 0) AS source_quota,
+         CAST('0x' || substr(draw, 1, 8) AS BIGINT) % s.shards AS shard
+  FROM drawn d JOIN seated s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN quota q USING (position)
+), sh AS (
+  SELECT position, shard, any_value(block) AS block, any_value(source_quota) AS seats, CAST(sum(size) AS BIGINT) AS shard_size
+  FROM placed GROUP BY position, shard HAVING sum(size) > 0
+), s1 AS (
+  SELECT *, CAST(greatest(1, round(shard_size / block)) AS BIGINT) AS blocks,
+         shard_size / sum(shard_size) OVER (PARTITION BY position) AS share, count(*) OVER (PARTITION BY position) AS m FROM sh
+), s2 AS (
+  SELECT *, CAST(least(greatest(0, floor(share * seats - (share * m / 2 + 1))), 3 * blocks) AS BIGINT) AS low,
+         CAST(least(ceil(share * seats + share * m / 2 + 1), 3 * blocks) AS BIGINT) AS high FROM s1
+), s3 AS (
+  SELECT *, seats - sum(low) OVER (PARTITION BY position) AS remain FROM s2
+), s4 AS (
+  SELECT position, shard, k, remain,
+         row_number() OVER (PARTITION BY position ORDER BY shard_size / (2 * k + 1) DESC, shard, k) AS r
+  FROM (SELECT *, unnest(range(low, high)) AS k FROM s3)
+), won AS (
+  SELECT position, shard, count(*) FILTER (WHERE r <= remain) AS more FROM s4 GROUP BY position, shard
+), shard_quota AS (
+  SELECT position, shard, shard_size, blocks, low + coalesce(more, 0) AS quota FROM s3 LEFT JOIN won USING (position, shard)
+), ended AS (
+  SELECT *, CAST(sum(size) OVER (PARTITION BY position, shard ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM placed
+)
+SELECT doc_id, size, source_size, target,
+       CAST(coalesce((quota // blocks) * size
+         + greatest(0, least(e, CAST(floor((quota % blocks) * shard_size / blocks) AS BIGINT)) - (e - size)), 0) AS BIGINT) AS taken
+FROM ended LEFT JOIN shard_quota USING (position, shard)
+""")
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query()
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "tokens")
+    folder = f"{scratch.base}/files"
+    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(
+        spark._jsc.hadoopConfiguration()
+    ).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    docs = table(spark, sf_dir, "documents")
+    files = scratch.write(tokenfile.write_tokens(docs, folder, vocabulary("word_bpe_49k.json")))
+    out = tokenfile.read_tokens(spark, folder, files)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    out = quality.classify(table(spark, sf_dir, "documents"), trusted.select(F.col("doc_id").alias("id")))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def _licence_sql() -> str:
+    """SQL over the same template values."""
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    rows = ",\n  ".join(
+        f"({at}, {text(name)}, [{', '.join(map(text, grams))}], {low}, {high})"
+        for at, name, grams, low, high in licences.template_rows()
+    )
+    return rf"""
+WITH t(pos, licence, grams, low, high) AS (VALUES
+  {rows}
+), clean AS (
+  SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS c FROM documents
+), seg AS (
+  SELECT doc_id, unnest(list_concat(string_split(c, chr(10)),
+    CASE WHEN contains(c, chr(10)) THEN [regexp_replace(c, '[ \n]+', ' ', 'g')] ELSE [] END)) AS s FROM clean
+), sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM (SELECT doc_id, string_split(trim(s), ' ') AS w FROM seg)
+), scored AS (
+  SELECT doc_id, s, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS score, pos, licence
+  FROM (SELECT *, row_number() OVER () AS s FROM sets) JOIN t ON len(g) BETWEEN low AND high
+), best AS (
+  SELECT doc_id, s, max(score) AS score, arg_min(licence, (-score, pos)) AS licence, min((-score, pos)) AS k
+  FROM scored GROUP BY doc_id, s HAVING max(score) >= {licences.THRESHOLD}
+), top AS (
+  SELECT doc_id, arg_min(licence, k) AS licence, max(score) AS score, count(*) AS n_segments FROM best GROUP BY doc_id
+)
+SELECT doc_id, licence, coalesce(score, 0.0::DOUBLE) AS score, CAST(coalesce(n_segments, 0) AS BIGINT) AS n_segments
+FROM documents LEFT JOIN top USING (doc_id)
+"""
+
+
+@query(oracle=_licence_sql())
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -2,54 +2,155 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 from kbcurate.llm.words import encode, split_words
 
 #: Words a worker remembers; when full, it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+
+
+#: Letters that lower to one letter and stand alone under NFC, so that a run of them is one word
+#: of the tokenizer; and marks that end a word wherever they follow a letter.
+_LETTER = "[a-zA-ZÀ-ÖØ-Þß-öø-ÿ]"
+_PLAIN = f"^{_LETTER}+$"
+_CUT = f"({_LETTER})([.,!?;:])"
 
 
 class WordIds:
     """Ids of texts under a ``tokenizers`` file whose tokens never span white space.
 
     Such a tokenizer gives for a text the ids of its words (runs without ASCII white space) in
-    order, so each distinct word of a slice is encoded once, or taken from the worker's cache.
+    order. So each distinct word of a slice is encoded once, or taken from the worker's cache.
+    Marks after a letter are set apart and ASCII lower-cased first, which changes no id as the
+    tokenizer does both itself; texts with special strings (``<|``) are left as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocabulary.values()) + 1
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.cache: dict[str, list[int]] = {}
 
-    def _of_words(self, words: list[str]) -> list[list[int]]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        for at in range(0, len(new), 50_000):
-            some = new[at:at + 50_000]
+    def _learn(self, words: pa.Array) -> None:
+        plain = pc.match_substring_regex(words, _PLAIN)
+        rest = words.filter(pc.invert(plain)).to_pylist()
+        words = words.filter(plain).to_pylist()
+        for at in range(0, len(words), 500):
+            some = words[at:at + 500]
+            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(some):
+                self.cache.update(zip(some, (ids[a:b] for a, b in zip([0, *cuts], cuts))))
+            else:
+                rest += some
+        for at in range(0, len(rest), 20_000):
+            some = rest[at:at + 20_000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.cache.update(zip(some, (x.ids for x in found)))
-        return [self.cache[w] for w in words]
+
+    def _of_words(self, words: pa.Array) -> list[list[int]]:
+        names, cache = words.to_pylist(), self.cache
+        new = [w for w in names if w not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            self.cache = cache = {w: cache[w] for w in names if w in cache}
+        if new:
+            self._learn(pa.array(new, pa.large_string()))
+        return [cache[w] for w in names]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds per document and all ids, each document closed by ``end_id``."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=_CUT, replacement=r"\1 \2")
         start, flat = split_words(texts)
         docs = len(start) - 1
         if not len(flat):
             return np.arange(docs + 1), np.full(docs, end_id, np.uint32)
         index, distinct = encode(flat)
-        lists = self._of_words(distinct.to_pylist())
+        lists = self._of_words(distinct)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         table = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         count = sizes[index]
         ends = np.concatenate([[0], np.cumsum(count)])
-        ids = table[np.repeat(first[index] - ends[:-1], count) + np.arange(ends[-1])]
-        inner = ends[start]
-        ids = np.insert(ids, inner[1:], np.uint32(end_id))
-        return inner + np.arange(docs + 1), ids
+        bounds = ends[start] + np.arange(docs + 1)
+        shift = np.repeat(first[index] - ends[:-1], count)
+        ids = np.full(bounds[-1], end_id, np.uint32)
+        held = np.ones(bounds[-1], bool)
+        held[bounds[1:] - 1] = False
+        ids[held] = table[shift + np.arange(ends[-1])]
+        return bounds, ids
+
+
+class PieceCounts:
+    """Numbers of pieces of texts under a ``sentencepiece`` model that keeps texts as they are, adds
+    one space in front, and has no piece with a space after another character.
+
+    Under such a model pieces never span the place before a run of spaces, so a text's number of
+    pieces is the sum over its pre-tokens, each a run of spaces with what follows. ``hashes`` and
+    ``lengths`` are the table of frequent pre-tokens; the others are counted through the worker's
+    cache. A pre-token of the table is known by its 64-bit hash.
+    """
+
+    def __init__(self, path: str, hashes: np.ndarray, lengths: np.ndarray):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.hashes, self.lengths = hashes, lengths
+        self.cache: dict[str, int] = {}
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """Pieces of each word with one space in front."""
+        cache = self.cache
+        new = [w for w in words if w not in cache]
+        if len(cache) + len(new) > CACHE_WORDS:
+            self.cache = cache = {w: cache[w] for w in words if w in cache}
+        if new:
+            # an empty word is a lone space in front of the end or of nothing else
+            found = self.model.encode(new, num_threads=1)
+            cache.update((w, len(x) if w else 1) for w, x in zip(new, found))
+        return np.fromiter((cache[w] for w in words), np.int64, len(words))
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        lists = pc.split_pattern(texts, " ")
+        start = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        start = start - start[0]
+        odd = pc.or_(pc.equal(pc.binary_length(flat), 0), pc.match_substring(flat, SPACE))
+        odd = np.maximum.reduceat(odd.to_numpy(zero_copy_only=False), start[:-1]) if len(flat) else np.zeros(0, bool)
+        index, distinct = encode(flat)
+        raw = distinct.cast(pa.large_binary()).to_pylist()
+        digests = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw))
+        at = np.minimum(np.searchsorted(self.hashes, digests), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == digests if len(self.hashes) else np.zeros(len(raw), bool)
+        sizes = np.zeros(len(raw), np.int64)
+        if known.any():
+            sizes[known] = self.lengths[at[known]]
+        sizes[~known] = self.of_words(distinct.filter(pa.array(~known)).to_pylist())
+        total = np.add.reduceat(sizes[index], start[:-1]) if len(flat) else np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(odd):
+            total[i] = self._plainly(texts[int(i)].as_py())
+        return total
+
+    def _plainly(self, text: str) -> int:
+        """A text with spaces in a row, at an end, or with the model's own space sign."""
+        if not text:
+            return 0
+        found = _PRETOKEN.findall(SPACE + text.replace(" ", SPACE))
+        return int(self.of_words([x[1:] for x in found]).sum())
+
+
+#: The sign that stands for a space in pieces, and a pre-token written with it.
+SPACE = "\u2581"
+_PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
