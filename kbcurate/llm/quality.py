@@ -106,10 +106,10 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): the modified discounts from the counts of counts."""
     n = {i: F.sum((F.col("c") == i).cast("long")) for i in (1, 2, 3, 4)}
     some = counts.groupBy("lang").agg(*[n[i].alias(f"n{i}") for i in n])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
 
     def d(i: int, low: float) -> Column:
-        exact = i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        exact = i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
         good = (F.col("n1") > 0) & (F.col(f"n{i}") > 0) & (exact > 0) & (exact < i)
         return F.when(good, exact).otherwise(F.lit(low))
 
@@ -195,8 +195,12 @@ class _Shard:
         import pyarrow.dataset as ds
         from pyarrow import fs
 
+        self.tables = {}
         system, root = fs.FileSystem.from_uri(model.folder)
-        table = ds.dataset(f"{root}/shard={shard}", filesystem=system, format="parquet").to_table()
+        where = f"{root}/shard={shard}"
+        if system.get_file_info(where).type == fs.FileType.NotFound:
+            return  # nothing was trusted
+        table = ds.dataset(where, filesystem=system, format="parquet").to_table()
         langs, kinds = table.column("lang").to_numpy(), table.column("kind").to_numpy()
         grams, values = table.column("gram").to_pylist(), table.column("value").to_numpy()
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
@@ -205,7 +209,6 @@ class _Shard:
             rows = np.flatnonzero(sizes == k)
             raw = "".join([grams[i] for i in rows]).encode("utf-32-le", "surrogatepass")
             hashes[rows] = _keys(np.frombuffer(raw, np.uint32), k)[k][k - 1::k]
-        self.tables = {}
         for lang in set(langs):
             mine, found = langs == lang, []
             for kind in (0, 1):
