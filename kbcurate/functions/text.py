@@ -17,8 +17,9 @@ UNREAD_ELEMENTS = ["script", "style", "template", "rt", "rp"]
 # References decoded first because they are most of those found.
 FREQUENT = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " "}
 
-# Named references come from the standard library's HTML tables.
+# Named references come from the standard library's HTML tables; some need no semicolon.
 _NAMED = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+_BARE = "|".join(sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
 
 
 # What counts as whitespace in page text (as a pattern class).
@@ -51,8 +52,12 @@ def unescape(text: Column) -> Column:
         name = F.regexp_extract(p, "^(#?[0-9A-Za-z]{1,32});", 1)
         rest = F.substr(p, F.length(name) + 2)
         decoded = F.when(name != "", _decoded(name, table))
-        return F.when(i == 0, p).when(decoded.isNotNull(), F.concat(decoded, rest)).otherwise(
-            F.concat(F.lit("&"), p)
+        bare = F.regexp_extract(p, f"^(#[xX][0-9A-Fa-f]{{1,6}}|#[0-9]{{1,7}}|{_BARE})", 1)
+        short = F.when(bare != "", _decoded(bare, table))
+        return (
+            F.when(i == 0, p).when(decoded.isNotNull(), F.concat(decoded, rest))
+            .when(short.isNotNull(), F.concat(short, F.substr(p, F.length(bare) + 1)))
+            .otherwise(F.concat(F.lit("&"), p))
         )
 
     return F.when(
@@ -64,11 +69,12 @@ def _without(markup: Column, elements: list[str], mark: str) -> Column:
     """Markup with comments, declarations and unread elements replaced by ``mark``."""
     names = "|".join(elements)
     body = F.regexp_replace(markup, r"(?s)<!--.*?-->", mark)
-    body = F.regexp_replace(body, rf"(?is)<({names})\b[^>]*>.*?</\1\s*>", mark)
+    body = F.regexp_replace(body, rf"(?is)<({names})\b[^>]*>.*?(?:</\1\s*>|\z)", mark)
     return F.regexp_replace(body, r"(?s)<[!?][^>]*>", mark)
 
 
-TAG = r"(?s)</?[A-Za-z][^>]*>"
+# a tag ends at the first > outside quotes; with quotes that do not pair up, at the first >
+TAG = r"""(?s)</?[A-Za-z](?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>"""
 
 
 def page_text(markup: Column) -> Column:
@@ -144,12 +150,14 @@ def quote_hits() -> Callable[[Column, Column], Column]:
 
 
 def permanent_url(markup: Column) -> Column:
-    """Address of the first link inside the element ``t-permalink``; null without."""
-    href = F.regexp_extract(
-        markup,
-        r"""(?is)\bid\s*=\s*["']?t-permalink["']?[^>]*>.*?<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')""",
-        1,
+    """Address of the first link inside the element ``t-permalink``; null without one, or if that
+    link has no address."""
+    inside = F.regexp_extract(
+        markup, r"""(?is)<([a-z][a-z0-9]*)\b[^>]*\bid\s*=\s*["']?t-permalink["'\s>][^<]*(.*?)</\1\s*>""", 2
     )
+    link = F.regexp_extract(inside, r"""(?is)<a\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", 1)
+    pattern = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    href = F.concat(F.regexp_extract(link, pattern, 1), F.regexp_extract(link, pattern, 2))
     return F.nullif(unescape(href), F.lit(""))
 
 
@@ -157,16 +165,35 @@ def permanent_url(markup: Column) -> Column:
 
 
 def infobox(wikitext: Column) -> Column:
-    """Text of the first infobox template; templates inside it may nest once."""
-    return F.nullif(
-        F.regexp_extract(wikitext, r"(?is)\{\{\s*infobox((?:[^{}]|\{\{[^{}]*\}\}|[{}](?![{}]))*)\}\}", 1),
-        F.lit(""),
-    )
+    """Text of the first infobox template, whatever templates nest in it; null if it is not closed.
+
+    The text from its start is split at double braces, and a running depth finds where it ends.
+    """
+    start = F.regexp_instr(wikitext, F.lit(r"(?i)\{\{\s*infobox"))
+    text = F.when(start > 0, F.substr(wikitext, start))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\{\{|\}\}|(?:[^{}]++|\{(?!\{)|\}(?!\}))++)"), 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, part: Column) -> Column:
+        depth = s["depth"] + F.when(part == "{{", 1).when(part == "}}", -1).otherwise(0)
+        at = s["at"] + 1
+        end = F.when(s["end"] > 0, s["end"]).when((part == "}}") & (depth == 0), at).otherwise(0)
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    end = F.aggregate(parts, zero, step)["end"]
+    inside = F.array_join(F.slice(parts, F.lit(2), F.greatest(end - 2, F.lit(0))), "")
+    return F.when(end > 0, F.nullif(F.regexp_replace(inside, r"(?i)^\s*infobox", ""), F.lit("")))
+
+
+# a template, with templates inside to a depth of three
+_ONE = r"\{\{[^{}]*\}\}"
+_TWO = rf"\{{\{{(?:[^{{}}]|{_ONE})*\}}\}}"
+_TEMPLATE = rf"\{{\{{(?:[^{{}}]|{_TWO})*\}}\}}"
 
 
 def _field(box: Column, name: str) -> Column:
     raw = F.regexp_extract(
-        box, rf"(?is)\|\s*{name}\s*=((?:[^|{{}}\[\]]|\{{\{{[^{{}}]*\}}\}}|\[\[[^\[\]]*\]\]|[\[\]](?![\[\]]))*)", 1
+        box, rf"(?is)\|\s*{name}\s*=((?:[^|{{}}\[\]]|{_TEMPLATE}|\[\[[^\[\]]*\]\]|[\[\]](?![\[\]]))*)", 1
     )
     return F.nullif(F.btrim(raw, F.lit(" \t\r\n")), F.lit(""))
 
@@ -175,9 +202,8 @@ def birth_date(box: Column) -> Column:
     """``day month year`` of a dated template (its arguments 1, 2 and 3), else the raw value."""
     raw = _field(box, "birth_date")
     inside = F.regexp_extract(raw, r"(?s)\{\{([^{}]*)\}\}", 1)
-    args = F.filter(
-        F.slice(F.split(inside, r"\|"), 2, 1000), lambda a: ~a.contains("=")
-    )
+    parts = F.split(inside, r"\|")
+    args = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda a: ~a.contains("="))
     args = F.transform(args, lambda a: F.btrim(a, F.lit(" \t\r\n")))
     first = [F.get(args, F.lit(i)) for i in range(3)]
     full = reduce(lambda x, y: x & y, [F.coalesce(a, F.lit("")) != "" for a in first])

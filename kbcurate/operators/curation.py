@@ -331,11 +331,9 @@ def explode_labels(entities: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def collect_labels(labels: DataFrame, limit: int = 5_000) -> DataFrame:
-    """Label rows back to sorted arrays (long ones in several parts)."""
-    return gather(
-        labels.distinct(), ["entity_id"], F.col("label"), "label", "labels", limit
-    )
+def collect_labels(labels: DataFrame) -> DataFrame:
+    """Label rows back to one sorted array per entity, as its dump document held them."""
+    return gather(labels.distinct(), ["entity_id"], F.col("label"), "labels")
 
 
 def backfill_links(rows: DataFrame, left: str, right: str) -> DataFrame:

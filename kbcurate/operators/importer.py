@@ -293,6 +293,7 @@ def import_politicians(
     ids = with_id.select("wikidata_id", F.col("id").alias("politician_id"))
     facts = (
         politician_properties(chosen, positions, countries, locations)
+        .where(F.col("statement_id").isNotNull())  # the statement is a stored fact's identity
         .join(ids, "wikidata_id")
         .withColumn("id", fact_id(F.col("statement_id")))
         .drop("wikidata_id")

@@ -40,18 +40,7 @@ def spread_rank(
     )
 
 
-def gather(
-    df: DataFrame, keys: list[str], item: Column, order_id: str, name: str, limit: int = 5_000
-) -> DataFrame:
-    """Array of ``item`` per key, sorted; a key with more than ``limit`` items is spread over
-    ``parts`` rows numbered by ``part`` (every item is in exactly one), so no task or row has to
-    hold an unbounded group. Keys within the limit give one row with part 0."""
-    sizes = df.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts")
-    )
-    spread = F.pmod(F.xxhash64(order_id), F.col("parts")).cast("int")
-    return (
-        df.join(sizes, keys)
-        .groupBy(*keys, spread.alias("part"), "parts")
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
-    )
+def gather(df: DataFrame, keys: list[str], item: Column, name: str) -> DataFrame:
+    """Sorted array of ``item`` per key, one row each whatever its length. Only for groups that are
+    bounded by what they are: the facts of one person, the labels of one dump document."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(name))

@@ -28,11 +28,9 @@ def typed_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def search_documents(
-    typed: DataFrame, labels: DataFrame, entities: DataFrame, limit: int = 5_000
-) -> DataFrame:
-    """Documents of live, labelled, typed entities: distinct sorted types and labels. The labels
-    of an entity with more than ``limit`` of them are spread over parts."""
+def search_documents(typed: DataFrame, labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """Documents of live, labelled, typed entities, one each: distinct sorted types and labels. The
+    labels of an entity come from its one dump document, which bounds them."""
     wanted = typed.select("wikidata_id", "type").distinct().join(
         live(entities).select("wikidata_id"), "wikidata_id", "left_semi"
     )
@@ -40,9 +38,9 @@ def search_documents(
     texts = gather(
         labels.select(F.col("entity_id").alias("wikidata_id"), "label").distinct()
         .join(types, "wikidata_id", "left_semi"),
-        ["wikidata_id"], F.col("label"), "label", "labels", limit,
+        ["wikidata_id"], F.col("label"), "labels",
     )
-    return types.join(texts, "wikidata_id").select("wikidata_id", "part", "types", "labels")
+    return types.join(texts, "wikidata_id").select("wikidata_id", "types", "labels")
 
 
 # --- keyword candidates ---------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbcurate.functions import dates as D
@@ -158,7 +160,7 @@ DESCRIBED = [
 
 
 def rich_description(ids: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """(wikidata_id, description): an entity's own text, then its named parents per relation,
+    """(wikidata_id, description): an entity's own text, then its named live parents per relation,
     sorted by name. All parents of an entity come from its own document, which bounds the lists.
     """
     wanted = ids.select("wikidata_id").distinct()
@@ -166,8 +168,8 @@ def rich_description(ids: DataFrame, entities: DataFrame, relations: DataFrame)
         F.col("wikidata_id").alias("parent_entity_id"), F.col("name").alias("parent")
     ).where(F.coalesce("parent", F.lit("")) != "")
     named = (
-        relations.select(F.col("child_entity_id").alias("wikidata_id"), "parent_entity_id",
-                         "relation_type")
+        live(relations).select(F.col("child_entity_id").alias("wikidata_id"), "parent_entity_id",
+                               "relation_type")
         .where(F.col("relation_type").isin([r for r, _ in DESCRIBED]))
         .join(wanted, "wikidata_id", "left_semi")
         .join(parents, "parent_entity_id")
@@ -199,60 +201,51 @@ def _source_struct() -> Column:
     return F.struct(F.col("source_id").alias("id"), *_SOURCE)
 
 
-def fact_records(
-    facts: DataFrame, entities: DataFrame, references: DataFrame, sources: DataFrame
-) -> DataFrame:
-    """Facts with entity name and their references with source, one row per fact (a fact with a
-    very long reference list takes several, numbered by ``part``)."""
-    mine = live(facts)
-    detail = sources.select(F.col("id").alias("source_id"), *_SOURCE)
-    refs = (
-        references.join(mine.select(F.col("id").alias("property_id")), "property_id", "left_semi")
-        .join(detail, "source_id")
-    )
-    nested = gather(
-        refs, ["property_id"],
-        F.struct(_source_struct().alias("source"), "supporting_quotes"), "source_id", "sources",
-    ).withColumnRenamed("property_id", "id")
-    names = entities.select(F.col("wikidata_id").alias("entity_id"), F.col("name").alias("entity_name"))
-    return (
-        mine.join(names, "entity_id", "left").join(nested, "id", "left")
-        .select(
-            "politician_id", "id", F.coalesce("part", F.lit(0)).alias("part"), "type", "value",
-            "value_precision", "entity_id", "entity_name", "statement_id", "qualifiers_json",
-            "references_json", F.coalesce("sources", F.array()).alias("sources"),
-        )
-    )
+@dataclass(frozen=True)
+class PoliticianRecords:
+    """``politicians``: one row per politician with its facts; ``references`` (politician_id,
+    property_id, source, supporting_quotes) and ``sources`` (politician_id, source) are flat, as
+    a fact may have any number of references and a person any number of sources."""
+
+    politicians: DataFrame
+    references: DataFrame
+    sources: DataFrame
 
 
 def politician_documents(
     politicians: DataFrame, facts: DataFrame, entities: DataFrame, references: DataFrame,
-    sources: DataFrame, politician_sources: DataFrame | None = None, limit: int = 1_000,
-) -> DataFrame:
-    """Politicians with their facts, each with its references, and their own sources. More than
-    ``limit`` facts of one politician go on in further rows (``part``)."""
-    records = fact_records(facts, entities, references, sources)
-    item = F.struct(*[c for c in records.columns if c != "politician_id"])
-    nested = gather(records, ["politician_id"], item, "id", "properties", limit).drop("parts")
-    out = politicians.join(nested.withColumnRenamed("politician_id", "id"), "id", "left").select(
-        "id", "name", "wikidata_id", F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("properties", F.array()).alias("properties"),
+    sources: DataFrame, politician_sources: DataFrame,
+) -> PoliticianRecords:
+    """Records of the given politicians: their live facts with entity names, the references of
+    these facts and the politicians' own sources. A politician's list of facts is bounded by what
+    is known of one person."""
+    who = politicians.select(F.col("id").alias("politician_id"))
+    mine = live(facts).join(who, "politician_id", "left_semi")
+    names = entities.select(F.col("wikidata_id").alias("entity_id"), F.col("name").alias("entity_name"))
+    item = F.struct(
+        "id", "type", "value", "value_precision", "entity_id", "entity_name", "statement_id",
+        "qualifiers_json", "references_json",
     )
-    if politician_sources is None:
-        return out
+    nested = gather(mine.join(names, "entity_id", "left"), ["politician_id"], item, "properties")
     detail = sources.select(F.col("id").alias("source_id"), *_SOURCE)
-    own = gather(
-        politician_sources.join(detail, "source_id"), ["politician_id"], _source_struct(),
-        "source_id", "sources", limit,
+    refs = references.join(
+        mine.select(F.col("id").alias("property_id"), "politician_id"), "property_id"
+    ).join(detail, "source_id")
+    own = politician_sources.join(who, "politician_id", "left_semi").join(detail, "source_id")
+    return PoliticianRecords(
+        politicians.join(nested.withColumnRenamed("politician_id", "id"), "id", "left").select(
+            "id", "name", "wikidata_id", F.coalesce("properties", F.array()).alias("properties")
+        ),
+        refs.select("politician_id", "property_id", _source_struct().alias("source"), "supporting_quotes"),
+        own.select("politician_id", _source_struct().alias("source")).distinct(),
     )
-    own = own.select(F.col("politician_id").alias("id"), "part", "sources")
-    return out.join(own, ["id", "part"], "full_outer")
 
 
 def politician_view(
     qid: str, languages: list[str] | None, politicians: DataFrame, facts: DataFrame,
     entities: DataFrame, references: DataFrame, sources: DataFrame, source_langs: DataFrame,
-) -> DataFrame:
+    politician_sources: DataFrame,
+) -> PoliticianRecords:
     """The record of one live politician; with languages, only facts on the knowledge graph or
     with a source in one of them."""
     who = live_politicians(politicians.where(F.col("wikidata_id") == qid), entities)
@@ -265,22 +258,21 @@ def politician_view(
         mine = mine.join(backed, "id", "left").where(
             F.col("statement_id").isNotNull() | F.col("_backed").isNotNull()
         ).drop("_backed")
-    return politician_documents(who, mine, entities, references, sources)
+    return politician_documents(who, mine, entities, references, sources, politician_sources)
 
 
 def source_view(
     source_ids: list[str], politicians: DataFrame, politician_sources: DataFrame, facts: DataFrame,
     entities: DataFrame, references: DataFrame, sources: DataFrame,
-) -> DataFrame:
-    """Politicians of given sources with only the facts and references of those sources."""
+) -> PoliticianRecords:
+    """Politicians of given sources with only the facts, references and sources of those."""
     refs = references.where(F.col("source_id").isin(source_ids))
+    listed = politician_sources.where(F.col("source_id").isin(source_ids))
     who = politicians.join(
-        politician_sources.where(F.col("source_id").isin(source_ids))
-        .select(F.col("politician_id").alias("id")).distinct(),
-        "id", "left_semi",
+        listed.select(F.col("politician_id").alias("id")).distinct(), "id", "left_semi"
     )
     mine = facts.join(refs.select(F.col("property_id").alias("id")).distinct(), "id", "left_semi")
-    return politician_documents(who, mine, entities, refs, sources)
+    return politician_documents(who, mine, entities, refs, sources, listed)
 
 
 def fetch_ranked(ids: DataFrame, politicians: DataFrame, entities: DataFrame) -> DataFrame:
@@ -367,8 +359,7 @@ def initial_source(sections: DataFrame, facts: DataFrame, references: DataFrame)
 
 
 def politician_context(
-    politicians: DataFrame, facts: DataFrame, entities: DataFrame, types: list[str],
-    limit: int = 1_000,
+    politicians: DataFrame, facts: DataFrame, entities: DataFrame, types: list[str]
 ) -> DataFrame:
     """Known facts of a politician as texts per kind, as a language model is shown them (JSON).
     Soft-deleted facts are not left out here."""
@@ -392,7 +383,7 @@ def politician_context(
     )
     kinds = ["existing_wikidata", "existing_wikidata_positions",
              "existing_wikidata_birthplaces", "existing_wikidata_citizenships"]
-    gathered = gather(lines, ["politician_id"], F.struct("kind", "text"), "id", "lines", limit)
+    gathered = gather(lines, ["politician_id"], F.struct("kind", "text"), "lines")
 
     def texts(wanted: str) -> Column:
         return F.transform(F.filter("lines", lambda x: x["kind"] == wanted), lambda x: x["text"])
@@ -401,7 +392,7 @@ def politician_context(
     return (
         politicians.join(gathered.withColumnRenamed("politician_id", "id"), "id", "left")
         .select(
-            "id", F.coalesce("part", F.lit(0)).alias("part"),
+            "id",
             F.to_json(
                 F.struct(
                     "name", "wikidata_id",
@@ -440,8 +431,7 @@ def filter_options(
         return options.where(found).orderBy(F.desc("count"), "label", "value")
     mine = options.where(F.col("value").isin(chosen))
     others = options.where(~F.col("value").isin(chosen) & (F.col("count") > 0))
-    # the chosen list is an argument; at most its length of rows is taken off the target
-    slots = max(0, target - len(set(chosen)))
+    slots = max(0, target - mine.count())  # a chosen value that is no option takes no slot
     return mine.unionByName(others.orderBy(F.desc("count"), "label", "value").limit(slots))
 
 

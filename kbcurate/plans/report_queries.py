@@ -108,30 +108,12 @@ _DESCRIBED = "concat_ws(', ', e.description, " + ", ".join(
 
 
 @query(f"""SELECT e.wikidata_id, {_DESCRIBED} AS description FROM v_entities e
-    LEFT JOIN v_edges r ON r.child_entity_id = e.wikidata_id LEFT JOIN v_entities p ON p.wikidata_id = r.parent_entity_id
+    LEFT JOIN v_edges r ON r.child_entity_id = e.wikidata_id AND r.deleted_at IS NULL LEFT JOIN v_entities p ON p.wikidata_id = r.parent_entity_id
     GROUP BY e.wikidata_id, e.description""")
 def rich_description(c: Catalog) -> DataFrame:
     return A.rich_description(c.v_entities, c.v_entities, c.v_edges)
 
 
-@query("""
-    SELECT p.politician_id AS id, count(*) AS facts, sum(coalesce(r.n, 0))::BIGINT AS refs
-    FROM v_properties p LEFT JOIN (SELECT property_id, count(*) AS n FROM v_references GROUP BY 1) r ON r.property_id = p.id
-    WHERE p.deleted_at IS NULL GROUP BY 1""")
-def politician_documents(c: Catalog) -> DataFrame:
-    """Nested records, checked by the sizes of their lists."""
-    docs = A.politician_documents(
-        c.v_politicians, c.v_properties, c.v_entities, _references(c), _sources(c)
-    )
-    sizes = F.aggregate(
-        "properties", F.lit(0).cast("long"), lambda n, p: n + F.size(p["sources"])
-    )
-    return (
-        docs.groupBy("id").agg(F.sum(F.size("properties")).alias("facts"), F.sum(sizes).alias("refs"))
-        .where(F.col("facts") > 0)
-    )
-
-
 def _sources(c: Catalog) -> DataFrame:
     return c.v_sources.withColumn("url_hash", T.url_hash(F.col("url")))
 
@@ -142,28 +124,106 @@ def _references(c: Catalog) -> DataFrame:
     )
 
 
-@query(f"""
-    SELECT count(*) AS facts FROM v_properties p WHERE p.politician_id = 'pol-7' AND p.deleted_at IS NULL AND (
-        p.statement_id IS NOT NULL OR p.id IN (SELECT property_id FROM v_references r
-            JOIN v_source_languages s ON s.source_id = r.source_id WHERE s.language_id IN ({_LANGS})))""")
+def _documents(c: Catalog) -> A.PoliticianRecords:
+    return A.politician_documents(
+        c.v_politicians, c.v_properties, c.v_entities, _references(c), _sources(c), c.v_politician_sources
+    )
+
+
+def _facts_of(records: A.PoliticianRecords) -> DataFrame:
+    """The nested facts as rows, a person without facts as one row of nulls."""
+    return records.politicians.select("id", "name", "wikidata_id", F.explode_outer("properties").alias("p")).select(
+        "id", "name", "wikidata_id", F.col("p.id").alias("property_id"), "p.type", "p.value",
+        F.col("p.value_precision").cast("long").alias("value_precision"), "p.entity_id", "p.entity_name",
+        "p.statement_id", "p.qualifiers_json",
+    )
+
+
+def _references_of(records: A.PoliticianRecords) -> DataFrame:
+    return records.references.select(
+        "politician_id", "property_id", F.col("source.id").alias("source_id"), "source.url", "source.url_hash",
+        "source.status", "source.error", F.col("source.http_status_code").cast("long").alias("http_status_code"),
+        F.array_join("supporting_quotes", ";").alias("quotes"),
+    )
+
+
+def _sources_of(records: A.PoliticianRecords) -> DataFrame:
+    return records.sources.select(
+        "politician_id", F.col("source.id").alias("source_id"), "source.url", "source.url_hash", "source.status"
+    )
+
+
+def _facts_sql(who: str = "TRUE", which: str = "TRUE") -> str:
+    return f"""
+    SELECT o.id, o.name, o.wikidata_id, p.id AS property_id, p.type, p.value,
+           CAST(p.value_precision AS BIGINT) AS value_precision, p.entity_id, e.name AS entity_name, p.statement_id,
+           p.qualifiers_json
+    FROM v_politicians o
+    LEFT JOIN (SELECT * FROM v_properties p WHERE p.deleted_at IS NULL AND ({which})) p ON p.politician_id = o.id
+    LEFT JOIN v_entities e ON e.wikidata_id = p.entity_id WHERE {who}"""
+
+
+_HASH = "substr(sha256(s.url), 1, 16) AS url_hash"
+
+
+def _references_sql(which: str = "TRUE", of: str = "TRUE") -> str:
+    return f"""
+    SELECT p.politician_id, q.property_id, q.source_id, s.url, {_HASH}, s.status, s.error,
+           CAST(s.http_status_code AS BIGINT) AS http_status_code, q.quotes
+    FROM (SELECT property_id, source_id, string_agg(DISTINCT quote, ';' ORDER BY quote) AS quotes FROM v_quotes GROUP BY 1, 2) q
+    JOIN v_properties p ON p.id = q.property_id AND p.deleted_at IS NULL AND ({which})
+    JOIN v_sources s ON s.id = q.source_id WHERE {of}"""
+
+
+@query(_facts_sql())
+def politician_documents(c: Catalog) -> DataFrame:
+    return _facts_of(_documents(c))
+
+
+@query(_references_sql())
+def politician_references(c: Catalog) -> DataFrame:
+    return _references_of(_documents(c))
+
+
+@query(f"""SELECT p.politician_id, p.source_id, s.url, {_HASH}, s.status
+    FROM v_politician_sources p JOIN v_sources s ON s.id = p.source_id""")
+def politician_sources(c: Catalog) -> DataFrame:
+    return _sources_of(_documents(c))
+
+
+_SPOKEN = f"""p.statement_id IS NOT NULL OR p.id IN (SELECT property_id FROM v_references r
+            JOIN v_source_languages s ON s.source_id = r.source_id WHERE s.language_id IN ({_LANGS}))"""
+
+
+@query(_facts_sql("o.id = 'pol-7'", _SPOKEN))
 def politician_view(c: Catalog) -> DataFrame:
-    view = A.politician_view(
+    return _facts_of(A.politician_view(
         "C7", LANGUAGES, c.v_politicians, c.v_properties, c.v_entities, _references(c), _sources(c),
-        c.v_source_languages,
-    )
-    return view.agg(F.sum(F.size("properties")).alias("facts"))
+        c.v_source_languages, c.v_politician_sources,
+    ))
 
 
-@query("""
-    SELECT p.politician_id AS id, count(*) AS facts FROM v_properties p
-    WHERE p.deleted_at IS NULL AND p.id IN (SELECT property_id FROM v_references WHERE source_id IN ('src-3', 'src-5'))
-    GROUP BY 1""")
-def source_view(c: Catalog) -> DataFrame:
-    view = A.source_view(
+_TWO = "source_id IN ('src-3', 'src-5')"
+
+
+def _source_view(c: Catalog) -> A.PoliticianRecords:
+    return A.source_view(
         ["src-3", "src-5"], c.v_politicians, c.v_politician_sources, c.v_properties, c.v_entities,
         _references(c), _sources(c),
     )
-    return view.select("id", F.size("properties").cast("long").alias("facts")).where("facts > 0")
+
+
+@query(_facts_sql(
+    f"o.id IN (SELECT politician_id FROM v_politician_sources WHERE {_TWO})",
+    f"p.id IN (SELECT property_id FROM v_references WHERE {_TWO})",
+))
+def source_view(c: Catalog) -> DataFrame:
+    return _facts_of(_source_view(c))
+
+
+@query(_references_sql(f"p.politician_id IN (SELECT politician_id FROM v_politician_sources WHERE {_TWO})", f"q.{_TWO}"))
+def source_view_references(c: Catalog) -> DataFrame:
+    return _references_of(_source_view(c))
 
 
 @query(f"""SELECT id, n AS pos FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o
@@ -422,7 +482,7 @@ def live_after_gc(c: Catalog) -> DataFrame:
 @query("SELECT DISTINCT entity_id, label FROM v_labels")
 def explode_labels(c: Catalog) -> DataFrame:
     """Labels gathered to arrays and back to rows."""
-    arrays = V.collect_labels(c.v_labels, limit=1_000)
+    arrays = V.collect_labels(c.v_labels)
     return V.explode_labels(arrays.withColumnRenamed("entity_id", "wikidata_id"))
 
 
@@ -564,13 +624,17 @@ def find_similar_keyword(c: Catalog) -> DataFrame:
 
 
 @query(f"""
-    SELECT h.query_id, h.rank, h.wikidata_id, e.name FROM ({_HITS.replace("UNION ALL SELECT 'n-' || n_name, 'Country', n_name FROM nation", "")}) h
-    JOIN v_entities e ON e.wikidata_id = h.wikidata_id AND e.deleted_at IS NULL WHERE h.rank <= 100""")
+    WITH d AS (SELECT e.wikidata_id, {_DESCRIBED} AS description FROM v_entities e
+        LEFT JOIN v_edges r ON r.child_entity_id = e.wikidata_id AND r.deleted_at IS NULL
+        LEFT JOIN v_entities p ON p.wikidata_id = r.parent_entity_id GROUP BY e.wikidata_id, e.description)
+    SELECT h.query_id, h.rank, h.wikidata_id, e.name, d.description FROM ({_HITS.replace("UNION ALL SELECT 'n-' || n_name, 'Country', n_name FROM nation", "")}) h
+    JOIN v_entities e ON e.wikidata_id = h.wikidata_id AND e.deleted_at IS NULL
+    JOIN d ON d.wikidata_id = h.wikidata_id WHERE h.rank <= 100""")
 def mapping_candidates(c: Catalog) -> DataFrame:
     asked = c.sql(f"SELECT query_id, query FROM {_ASKED} WHERE type = 'Position'")
     return S.mapping_candidates(
         asked, "Position", c.v_labels, c.v_typed, c.v_entities, c.v_edges
-    ).select("query_id", F.col("rank").cast("long").alias("rank"), "wikidata_id", "name")
+    ).select("query_id", F.col("rank").cast("long").alias("rank"), "wikidata_id", "name", "description")
 
 
 @query()

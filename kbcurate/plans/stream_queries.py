@@ -55,22 +55,26 @@ def stream_evaluation_total(c: Catalog) -> DataFrame:
 
 
 @query("""
-    WITH steps AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)
-    SELECT 'src-' || CAST(user_id AS STRING) AS source_id, event_type AS status, count(*) AS changes
-    FROM steps WHERE before IS NULL OR before <> event_type GROUP BY 1, 2""")
+    WITH steps AS (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS before FROM events)
+    SELECT 'src-' || CAST(user_id AS STRING) AS source_id, 'pol-' || CAST(user_id AS STRING) AS politician_id,
+           event_type AS status, CAST(ts AS STRING) AS ts
+    FROM steps WHERE before IS NULL OR before <> event_type""")
 def stream_status_changes(c: Catalog) -> DataFrame:
     """Users' event types as the status of a source each, with one politician."""
     updates = _event_stream(c).select(
         F.concat(F.lit("src-"), F.col("user_id").cast("string")).alias("source_id"),
         F.col("event_type").alias("status"), F.lit(None).cast("string").alias("error"),
-        F.lit(None).cast("int").alias("http_status_code"), "ts",
+        F.lit(None).cast("int").alias("http_status_code"), F.col("ts").cast("timestamp").alias("ts"),
     )
     sources = c.table("events").select(
         F.concat(F.lit("src-"), F.col("user_id").cast("string")).alias("source_id"),
         F.concat(F.lit("pol-"), F.col("user_id").cast("string")).alias("politician_id"),
     ).distinct()
-    changes = _drained(c, X.stream_status_changes(updates, sources), "changes")
-    return changes.groupBy("source_id", "status").agg(F.count(F.lit(1)).alias("changes"))
+    path = scratch_path(c.spark, "changes")
+    X.stream_status_changes(updates, sources, f"{path}/table", f"{path}/state", available_now=True).awaitTermination()
+    return c.spark.read.parquet(f"{path}/table/changes").select(
+        "source_id", "politician_id", "status", F.col("ts").cast("string").alias("ts")
+    )
 
 
 @query("""
@@ -105,6 +109,6 @@ def stream_dump(c: Catalog) -> DataFrame:
     base = scratch_path(c.spark, "dump-stream")
     dump_lines(c).repartition(4).write.text(f"{base}/incoming")
     X.stream_dump(
-        c.spark, f"{base}/incoming", f"{base}/tables", f"{base}/state", per_trigger=2
+        c.spark, f"{base}/incoming", f"{base}/tables", f"{base}/state", per_trigger=2, available_now=True
     ).awaitTermination()
     return X.current_rows(c.spark, f"{base}/tables", "entities", ["wikidata_id"]).select("wikidata_id")

@@ -29,15 +29,22 @@ def local_session(cores: int | str = "*", app: str = "kbcurate") -> SparkSession
     return spark
 
 
+def one_process(master: str) -> bool:
+    """Whether a master URL runs executors inside the driver."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the session's checkpoint directory.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where nothing is set (tests on one
-    machine) a temporary one is made.
+    A cluster names it in ``spark.checkpoint.dir``. Where nothing is set, a temporary one is made
+    if driver and executors are one process, and anything else is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not one_process(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="spark-kbcurate-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbcurate.operators import entities as E
 from kbcurate.sources.dump import parse_entities
@@ -32,29 +28,67 @@ def stream_evaluation_total(evaluations: DataFrame) -> DataFrame:
     return evaluations.groupBy().agg(F.count(F.lit(1)).alias("total"))
 
 
-_CHANGE = "source_id string, status string, error string, http_status_code int, ts timestamp"
+def status_changes(updates: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Changes among ``updates`` (source_id, status, error, http_status_code, ts) after the state
+    ``known`` (source_id, status, ts), and the state after them.
 
+    Updates not later than the state of their source are ignored. Order is by time, then status.
+    A source's updates are compared within each hour, and hours by their last status, so a
+    source with most updates is spread over its hours.
+    """
+    if known is not None:
+        state = known.select("source_id", F.col("status").alias("_status"), F.col("ts").alias("_ts"))
+        updates = updates.join(state, "source_id", "left").where(F.col("_ts").isNull() | (F.col("ts") > F.col("_ts")))
+    else:
+        updates = updates.withColumn("_status", F.lit(None).cast("string"))
+    hourly = updates.withColumn("_hour", F.date_trunc("hour", "ts"))
+    last = hourly.groupBy("source_id", "_hour", "_status").agg(
+        F.max_by("status", F.struct("ts", "status")).alias("_last"), F.max("ts").alias("_at")
+    )
+    hours = Window.partitionBy("source_id").orderBy("_hour")
+    stitched = last.select(
+        "source_id", "_hour", F.coalesce(F.lag("_last").over(hours), "_status").alias("_before")
+    )
+    inside = Window.partitionBy("source_id", "_hour").orderBy("ts", "status")
+    before = F.coalesce(F.lag("status").over(inside), "_before")
+    changes = (
+        hourly.join(stitched, ["source_id", "_hour"]).withColumn("_before", before)
+        .where(~F.col("status").eqNullSafe(F.col("_before")))
+        .select("source_id", "status", "error", "http_status_code", "ts")
+    )
+    state = last.groupBy("source_id").agg(
+        F.max_by("_last", "_hour").alias("status"), F.max("_at").alias("ts")
+    )
+    if known is not None:
+        rest = known.join(state.select("source_id"), "source_id", "left_anti")
+        state = state.unionByName(rest.select("source_id", "status", "ts"))
+    return changes, state
 
-def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    for rows in batches:
-        rows = rows.sort_values("ts", kind="stable")
-        before = rows["status"].shift(1)
-        before.iloc[0] = last
-        changed = rows[(rows["status"] != before)]
-        last = rows["status"].iloc[-1]
-        yield changed[["source_id", "status", "error", "http_status_code", "ts"]]
-    state.update((last,))
 
+def stream_status_changes(
+    updates: DataFrame, politician_sources: DataFrame, table: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Write source updates that changed the status, with each politician of the source, to
+    ``table``/changes; updates that leave it as it was are silent. The last status and time per
+    source are a keyed snapshot under ``table``/state; every micro-batch reads that of the batch
+    before, and writes under its own number, so a retried batch replaces itself.
+    """
 
-def stream_status_changes(updates: DataFrame, politician_sources: DataFrame) -> DataFrame:
-    """Source updates that changed the status, with each politician of the source; updates that
-    leave it as it was are silent. State is the last status per source; a source's updates are
-    read batch by batch, in the order its stream gives them."""
-    changed = updates.groupBy("source_id").applyInPandasWithState(
-        _changes, _CHANGE, "status string", "append", GroupStateTimeout.NoTimeout
-    )
-    return changed.join(politician_sources, "source_id")
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = None
+        if number > 0:
+            known = spark.read.parquet(f"{table}/state/n={number - 1}")
+        changes, state = status_changes(batch, known)
+        changes.join(politician_sources, "source_id").write.mode("overwrite").parquet(f"{table}/changes/n={number}")
+        state.write.mode("overwrite").parquet(f"{table}/state/n={number}")
+
+    writer = updates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+#: Parts of the key that every event has.
+SALTS = 16
 
 
 def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
@@ -62,7 +96,8 @@ def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     languages, countries)`` whose lists are empty or overlap it.
 
     An equality join on (language, country), an empty list standing for any; a pair sharing
-    several keys is kept for the first only, so no state is needed to drop duplicates.
+    several keys is kept for the first only, so no state is needed to drop duplicates. Every event
+    asks for (any, any), so that key is salted by event.
     """
     anything = F.array(F.lit("*"))
 
@@ -83,12 +118,18 @@ def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
         F.explode(keys(F.array_distinct("languages"), any_if_empty("languages"))).alias("language"),
     ).withColumn("country", F.explode(keys(F.array_distinct("_sc"), any_if_empty("_sc"))))
 
+    any_any = (F.col("language") == "*") & (F.col("country") == "*")
+    sent = sent.withColumn("salt", F.when(any_any, F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")).otherwise(0))
+    wanted = wanted.withColumn("salt", F.explode(
+        F.when(any_any, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    ))
+
     def first_shared(own: str, other: str) -> Column:
         shared = F.array_intersect(own, other)
         return F.coalesce(F.get(shared, F.lit(0)), F.lit("*"))
 
     return (
-        sent.join(wanted, ["language", "country"])
+        sent.join(wanted, ["language", "country", "salt"])
         .where((F.col("language") == first_shared("_el", "_sl"))
                & (F.col("country") == first_shared("_ec", "_sc")))
         .select("event_id", "subscriber_id")
@@ -96,7 +137,8 @@ def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
 
 
 def stream_dump(
-    spark: SparkSession, incoming: str, table: str, checkpoint: str, per_trigger: int = 16
+    spark: SparkSession, incoming: str, table: str, checkpoint: str, per_trigger: int = 16,
+    available_now: bool = False,
 ) -> StreamingQuery:
     """Ingest dump files as they arrive: entity names and relations of each micro-batch are
     written under its number, which makes a retried batch replace itself. :func:`current_rows`
@@ -114,10 +156,8 @@ def stream_dump(
             )
         entities.unpersist()
 
-    return (
-        lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    writer = lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def current_rows(spark: SparkSession, table: str, name: str, keys: list[str]) -> DataFrame:

@@ -1,3 +1,4 @@
+import datetime
 import random
 from collections import defaultdict
 
@@ -108,17 +109,81 @@ def test_spread_rank_is_row_number(spark):
         assert [x[1:] for x in seen] == sorted(x[1:] for x in seen)
 
 
-def test_gather_spreads_large_groups_and_loses_nothing(spark):
-    df = spark.createDataFrame([("hot", i) for i in range(100)] + [("cold", 1)], "k string, i int")
-    rows = ranks.gather(df, ["k"], F.col("i"), "i", "items", limit=10).collect()
-    assert sorted(x for r in rows if r.k == "hot" for x in r["items"]) == list(range(100))
-    assert [r.part for r in rows if r.k == "cold"] == [0] and len(rows) > 5
+def test_gather_gives_one_row_per_key_whatever_its_size(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(7000)] + [("cold", 1)], "k string, i int").repartition(5)
+    rows = {r.k: r["items"] for r in ranks.gather(df, ["k"], F.col("i"), "items").collect()}
+    assert rows == {"hot": list(range(7000)), "cold": [1]}
 
 
 def test_page_text(spark):
     html = ("<!DOCTYPE html><title>T&amp;lt;</title><script>no()</script><!-- no --><p>a<b>b</b>&nbsp;c &eacute;&#233;&#xe9; &bogus; x & y</p>")
-    got = spark.createDataFrame([(html,), ("<p> </p>",)], "h string").select(X.page_text(F.col("h")).alias("t")).collect()
-    assert [r.t for r in got] == ["T&lt; a b c ééé &bogus; x & y", ""]
+    more = ['<a title="x > y">z</a>', "&copy 2020 &eacute! &notit; &#65 b &amp", "a<script>lost", "a <b title='q>w' y=\"1\"", "1 < 2 <b c='>d"]
+    rows = [(h,) for h in [html, "<p> </p>", *more]]
+    got = spark.createDataFrame(rows, "h string").select(X.page_text(F.col("h")).alias("t")).collect()
+    assert [r.t for r in got] == [
+        "T&lt; a b c ééé &bogus; x & y", "", "z", "© 2020 é! ¬it; A b &", "a", "a w' y=\"1\"", "1 < 2 d",
+    ]
+
+
+def test_nested_infobox(spark):
+    text = ("{{redirect|x}} {{Infobox person|a={{b|{{c|{{d}}}}}}|birth_date={{birth date|df={{yes}}|1970|1|2}}"
+            "|birth_place=[[Rome]], {{flag|{{x}}|IT}}}} tail {{Infobox other|birth_date=1 2 1930}}")
+    rows = [(text,), ("{{infobox|birth_date=3 4 1950}}",), ("{{Infobox open|birth_date=1 1 1900",), ("none",)]
+    boxed = spark.createDataFrame(rows, "w string").select(X.infobox(F.col("w")).alias("b"))
+    got = boxed.select("b", X.birth_place(F.col("b")).alias("p"), X.birth_date(F.col("b")).alias("d")).collect()
+    assert got[0].b.endswith("|IT}}") and got[0].p == "Rome, {{flag|{{x}}|IT}}"
+    assert (got[1].b, got[1].d) == ("|birth_date=3 4 1950", "3 4 1950")
+    assert [r.b for r in got[2:]] == [None, None]
+
+
+def test_status_changes_of_one_hot_source_in_any_order(spark):
+    from kbcurate.streaming import streams
+
+    rng = np.random.default_rng(5)
+    start = datetime.datetime(2026, 1, 1)
+    rows = [("hot", "ABC"[(i // 1000) % 3], None, None, start + datetime.timedelta(seconds=i)) for i in range(40_000)]
+    rows += [("cold", "A", None, None, start)]
+    kind = "source_id string, status string, error string, http_status_code int, ts timestamp"
+    first, second = rows[:25_500] + rows[-1:], rows[25_400:-1] + [("cold", "B", None, None, start - datetime.timedelta(1))]
+    parts = [spark.createDataFrame([part[i] for i in rng.permutation(len(part))], kind).repartition(8) for part in (first, second)]
+    changes, state = streams.status_changes(parts[0], None)
+    found = changes.collect()
+    state = spark.createDataFrame(state.collect(), state.schema)
+    more, state = streams.status_changes(parts[1], state)
+    found += more.collect()
+    assert len([r for r in found if r.source_id == "hot"]) == 40 and len(found) == 41
+    assert sorted((r.source_id, r.status) for r in state.collect()) == [("cold", "A"), ("hot", "A")]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from kbcurate.session import one_process
+
+    assert [one_process(m) for m in ("local", "local[8]", "local-cluster[2,1,512]", "spark://h:1", "yarn")] == [True, True, False, False, False]
+
+
+def test_filter_options_chosen_that_do_not_exist_take_no_slot(spark):
+    from kbcurate.operators import stats
+
+    options = spark.createDataFrame([(f"v{i}", f"l{i}", i + 1) for i in range(9)], "value string, label string, count int")
+    assert stats.filter_options(options, None, ["v0", "gone", "away"]).count() == 6
+
+
+def test_facts_without_statement_are_no_imported_facts(spark):
+    from kbcurate.operators import stats
+
+    people = spark.createDataFrame([("p1", "A", "Q1")], "id string, name string, wikidata_id string")
+    facts = spark.createDataFrame(
+        [("f1", "p1", "P27", "Q9"), ("f2", "p2", "P27", "Q9")], "id string, politician_id string, type string, entity_id string"
+    ).withColumns({c: F.lit(None).cast("string") for c in ("value", "statement_id", "qualifiers_json", "references_json", "deleted_at")}).withColumn(
+        "value_precision", F.lit(None).cast("int"))
+    entities = spark.createDataFrame([("Q9", "Land")], "wikidata_id string, name string")
+    sources = spark.createDataFrame([(f"s{i}", "u") for i in range(5500)], "id string, url string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("url_hash", "fetch_timestamp", "status", "error", "http_status_code")})
+    refs = sources.select(F.lit("f1").alias("property_id"), F.col("id").alias("source_id"), F.array(F.lit("q")).alias("supporting_quotes"))
+    own = spark.createDataFrame([("p1", "s1"), ("p2", "s2")], "politician_id string, source_id string")
+    out = stats.politician_documents(people, facts, entities, refs, sources, own)
+    assert [(r.id, [p.entity_name for p in r.properties]) for r in out.politicians.collect()] == [("p1", ["Land"])]
+    assert out.references.count() == 5500 and [r.politician_id for r in out.sources.collect()] == ["p1"]
 
 
 def test_quotes_cross_element_boundaries(spark):
@@ -131,9 +196,13 @@ def test_quotes_cross_element_boundaries(spark):
 
 
 def test_permanent_link(spark):
-    rows = [('<li id="t-permalink"><a class="x" href="https://e/?a=1&amp;oldid=2">p</a></li>',), ("<a href='x'>y</a>",)]
+    rows = [
+        ('<li id="t-permalink"><a class="x" href="https://e/?a=1&amp;oldid=2">p</a></li>',), ("<a href='x'>y</a>",),
+        ("<li id='t-permalink'></li><a href='x'>y</a>",), ("<li class=c id=t-permalink><a href='z'>y</a></li>",),
+        ('<li id="t-permalink"><a name="n">y</a><a href="x">y</a></li>',), ('<li id="t-permalink-2"><a href="x">y</a></li>',),
+    ]
     got = spark.createDataFrame(rows, "h string").select(X.permanent_url(F.col("h")).alias("u")).collect()
-    assert [r.u for r in got] == ["https://e/?a=1&oldid=2", None]
+    assert [r.u for r in got] == ["https://e/?a=1&oldid=2", None, None, "z", None, None]
 
 
 def test_hybrid_search_is_exact_over_blocks(spark):
