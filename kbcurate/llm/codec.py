@@ -20,7 +20,7 @@ import numpy as np
 BLOCK = 1 << 20
 LANES = 8192
 SLOTS = 1 << 18  # the order-2 hash keeps the top 18 bits
-STEP = np.int64(16)
+STEP = np.uint64(16)
 TRUST_BITS = 15
 LEARN_EVERY = 4
 
@@ -37,7 +37,7 @@ class CorruptBlock(ValueError):
 class _Model:
     def __init__(self, vocabulary: int):
         self.v = vocabulary
-        self.count = np.ones(vocabulary, np.int64)
+        self.count = np.ones(vocabulary, np.uint64)
         self.guess1, self.sure1 = np.full(vocabulary, -1, np.int64), np.zeros(vocabulary, np.int8)
         self.guess2, self.sure2 = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int8)
         self.trust = np.tile(np.array([1, 1, 2], np.int64), (32, 1))
@@ -46,8 +46,9 @@ class _Model:
     def begin(self) -> None:
         """Tables that hold for a step."""
         if self.steps % LEARN_EVERY == 0:
-            self.sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.count)])
-            self.frozen, self.total = self.count.copy(), np.uint64(self.sums[-1])
+            self.sums = np.zeros(self.v + 1, np.uint64)
+            np.cumsum(self.count, out=self.sums[1:])
+            self.frozen, self.total = self.count.copy(), self.sums[-1]
         self.steps += 1
         share = self.trust[:, :2] * ((1 << TRUST_BITS) - 3) // self.trust.sum(axis=1, keepdims=True) + 1
         self.edges = np.zeros((32, 4), np.uint64)
@@ -128,7 +129,7 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
         rest = np.flatnonzero(kinds == 2)
         if len(rest):
             y = x[rest]
-            put(active[rest], model.sums[y].astype(np.uint64), model.frozen[y].astype(np.uint64), model.total)
+            put(active[rest], model.sums[y], model.frozen[y], model.total)
         model.learn(x, kinds)
         two[:m], one[:m] = one[:m].copy(), x
     low += np.uint64((1 << 32) - 1)  # any value of the last range will do: the one with fewest words
@@ -196,9 +197,9 @@ def decode_block(data: memoryview, offset: int, vocabulary: int) -> tuple[np.nda
         if len(rest):
             who = active[rest]
             c, r = code[who], span[who] // model.total
-            slot = np.minimum(c // r, model.total - np.uint64(1)).astype(np.int64)
+            slot = np.minimum(c // r, model.total - np.uint64(1))
             y = np.searchsorted(model.sums, slot, side="right") - 1
-            settle(who, c - model.sums[y].astype(np.uint64) * r, model.frozen[y].astype(np.uint64) * r)
+            settle(who, c - model.sums[y] * r, model.frozen[y] * r)
             x[rest] = y
         model.learn(x, kinds)
         grid[active, s] = x

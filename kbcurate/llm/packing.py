@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbcurate.llm.store import Scratch
-from kbcurate.llm.tokens import WordIds
+from kbcurate.llm.tokens import word_ids
 from kbcurate.llm.words import slices
 
 SIZE = 2048
@@ -69,7 +69,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]], size: int) -> tuple[np.n
 
 def _pieces(tokenizer: str, end_id: int, size: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             for part in slices(batch):
                 bounds, ids = words.encode(part.column("text"), end_id)

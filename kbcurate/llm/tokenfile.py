@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbcurate.llm import codec
-from kbcurate.llm.tokens import WordIds
+from kbcurate.llm.tokens import word_ids
 from kbcurate.llm.words import slices
 
 MAGIC = b"TOKMIX1\n"
@@ -84,7 +84,7 @@ def write_tokens(
     plain = plain.where(F.col("id").isNotNull()).repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, context, files, writer = WordIds(tokenizer), TaskContext.get(), [], None
+        words, context, files, writer = word_ids(tokenizer), TaskContext.get(), [], None
         for batch in batches:
             for part in slices(batch):
                 bounds, ids = words.encode(part.column("text"), end_id)
