@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kbcurate.functions import dates as D
 from kbcurate.operators.ranks import gather
 from kbcurate.schemas import DATE_TYPES, FACT_TYPES
-from kbcurate.sources.tables import last_per_key, soft_delete
+from kbcurate.sources.tables import last_per_key
 
 ACTION_ITEM = (
     "struct<action:string,id:string,type:string,value:string,value_precision:int,"
@@ -294,8 +294,14 @@ def missing(table: DataFrame, seen: DataFrame, key: str, previous: Column) -> Da
 
 
 def gc_table(table: DataFrame, seen: DataFrame, key: str, previous: Column, at: Column) -> DataFrame:
-    """The table with missing rows soft-deleted."""
-    return soft_delete(table, missing(table, seen, key, previous), key, at)
+    """The table with missing rows soft-deleted, in one join with the ids seen."""
+    marks = seen.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_seen", F.lit(True))
+    gone = F.col("_seen").isNull() & F.col(key).isNotNull() & F.col("deleted_at").isNull() & (
+        F.col("updated_at") <= previous
+    )
+    return table.join(marks, key, "left").withColumn(
+        "deleted_at", F.when(gone, at).otherwise(F.col("deleted_at"))
+    ).select(*table.columns)
 
 
 @dataclass(frozen=True)

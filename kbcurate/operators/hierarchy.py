@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kbcurate.schemas import INSTANCE_OF, SUBCLASS_OF
+from kbcurate.schemas import ENTITY_TYPES, INSTANCE_OF, SUBCLASS_OF, EntityType
 from kbcurate.session import scratch_path, written, written_counted
 
 # A frontier of at most this many ids is broadcast (under 100 MB of ids); a larger one is
@@ -60,6 +60,53 @@ def descendants(
         )
 
 
+def closures(
+    entities: DataFrame, edges: DataFrame, roots: DataFrame, relation: str = SUBCLASS_OF
+) -> DataFrame:
+    """(tag, wikidata_id): :func:`descendants` of many root sets ``(tag, wikidata_id)`` in one run of
+    rounds; the edges are written once."""
+    spark = entities.sparkSession
+    pairs = written(
+        edges.where(F.col("relation_type") == relation)
+        .select("parent_entity_id", F.col("child_entity_id").alias("wikidata_id")),
+        "edges",
+    )
+    base = scratch_path(spark, "closures")
+    frontier = roots.select("tag", "wikidata_id").distinct().join(_ids(entities), "wikidata_id", "left_semi")
+    schema = frontier.schema
+    rounds: list[str] = []
+    while True:
+        path = f"{base}/{len(rounds)}"
+        count = written_counted(frontier, path)
+        rounds.append(path)
+        if not count:
+            return spark.read.schema(schema).parquet(*rounds)
+        side = spark.read.schema(schema).parquet(path).withColumnRenamed("wikidata_id", "parent_entity_id")
+        if count <= BROADCAST_IDS:
+            side = F.broadcast(side)
+        frontier = (
+            pairs.join(side, "parent_entity_id").select("wikidata_id", "tag").distinct()
+            .join(spark.read.schema(schema).parquet(*rounds), ["wikidata_id", "tag"], "left_anti")
+        )
+
+
+def class_sets(entities: DataFrame, edges: DataFrame, types: dict[str, EntityType] = ENTITY_TYPES) -> DataFrame:
+    """(type, class_id, ignored) for all configured types: classes below a type's roots and not below
+    one it ignores, and the ignored ones. Roots and ignored branches close in one loop."""
+    rows = [
+        (f"{kind}{name}", qid)
+        for name, t in types.items() for kind, ids in (("+", t.roots), ("-", t.ignore)) for qid in ids
+    ]
+    roots = entities.sparkSession.createDataFrame(rows, "tag string, wikidata_id string")
+    closed = closures(entities, edges, roots).select(
+        F.expr("substring(tag, 2)").alias("type"), F.col("wikidata_id").alias("class_id"),
+        F.col("tag").startswith("-").alias("ignored"),
+    )
+    ignored = closed.where(F.col("ignored"))
+    inside = closed.where(~F.col("ignored")).join(ignored.select("type", "class_id"), ["type", "class_id"], "left_anti")
+    return inside.unionByName(ignored)
+
+
 def class_set(
     entities: DataFrame, edges: DataFrame, roots: list[str], ignore: list[str] | None = None
 ) -> DataFrame:

@@ -168,16 +168,19 @@ def import_entities(entities: DataFrame, class_sets: DataFrame) -> EntityImport:
 
 def is_politician(entities: DataFrame, positions: DataFrame) -> DataFrame:
     """Humans whose occupation is politician or who held a known position."""
-    humans = entities.where(F.array_contains(C.entity_ids(_claims(), "P31"), HUMAN))
-    by_occupation = F.array_contains(C.entity_ids(_claims(), OCCUPATION), POLITICIAN)
-    held = (
-        humans.where(~by_occupation)
-        .select("id", F.explode(C.entity_ids(_claims(), POSITION)).alias("wikidata_id"))
-        .join(positions.select("wikidata_id"), "wikidata_id", "left_semi")
-        .select("id")
-        .distinct()
+    human = F.array_contains(C.entity_ids(_claims(), "P31"), HUMAN)
+    by_occupation = F.coalesce(F.array_contains(C.entity_ids(_claims(), OCCUPATION), POLITICIAN), F.lit(False))
+    offices = F.when(by_occupation, F.array(F.lit(None).cast("string"))).otherwise(
+        F.array_distinct(C.entity_ids(_claims(), POSITION))
     )
-    return humans.where(by_occupation).unionByName(humans.join(held, "id", "left_semi"))
+    known = positions.select("wikidata_id").distinct().withColumn("_known", F.lit(True))
+    chosen = (
+        entities.where(human)
+        .select("id", by_occupation.alias("_occupied"), F.explode(offices).alias("wikidata_id"))
+        .join(known, "wikidata_id", "left")
+        .where(F.col("_occupied") | F.col("_known")).select("id").distinct()
+    )
+    return entities.join(chosen, "id", "left_semi")
 
 
 def recent_enough(entities: DataFrame, as_of: Column) -> DataFrame:
@@ -207,19 +210,17 @@ def politician_properties(
         .union(countries.select(F.lit(CITIZENSHIP), "wikidata_id"))
         .union(locations.select(F.lit(BIRTHPLACE), "wikidata_id"))
     )
-    dated = claims.where(is_date & F.col("date").isNotNull()).withColumn(
-        "value_id", F.lit(None).cast("string")
-    )
-    linked = claims.where(~is_date & F.col("value_id").isNotNull()).withColumn(
-        "date", D.no_date()
+    known = known.distinct().withColumn("_known", F.lit(True))
+    open_office = (F.col("prop") == POSITION) & ~positions.limit(1).exists()
+    wanted = F.when(is_date, F.col("date").isNotNull()).otherwise(
+        F.col("value_id").isNotNull() & (F.col("_known").isNotNull() | open_office)
     )
-    matched = linked.join(known, ["prop", "value_id"], "left_semi")
-    unfiltered = linked.where((F.col("prop") == POSITION) & ~positions.limit(1).exists())
-    rows = dated.unionByName(matched).unionByName(unfiltered)
-    return rows.select(
+    return claims.join(known, ["prop", "value_id"], "left").where(wanted).select(
         F.col("entity_id").alias("wikidata_id"), F.col("prop").alias("type"),
-        F.col("date.time").alias("value"), F.col("date.precision").alias("value_precision"),
-        F.col("value_id").alias("entity_id"), "statement_id", "qualifiers_json", "references_json",
+        F.when(is_date, F.col("date.time")).alias("value"),
+        F.when(is_date, F.col("date.precision")).alias("value_precision"),
+        F.when(~is_date, F.col("value_id")).alias("entity_id"),
+        "statement_id", "qualifiers_json", "references_json",
     )
 
 
@@ -283,7 +284,7 @@ def import_politicians(
 ) -> PoliticianImport:
     """Politicians of a dump with their labels, facts and page links. Stored politicians keep
     their id; new ones get a derived one, so children need no round trip to learn it."""
-    chosen = recent_enough(is_politician(entities, positions), as_of)
+    chosen = written(recent_enough(is_politician(entities, positions), as_of), "politicians")
     rows = politician_rows(chosen)
     known = stored_politicians.select("wikidata_id", F.col("id").alias("_stored"))
     with_id = rows.join(known, "wikidata_id", "left").select(
@@ -303,6 +304,32 @@ def import_politicians(
     return PoliticianImport(named, E.label_rows(chosen), with_id, facts, links)
 
 
+# What makes a stored row the same, and what an import overwrites of it.
+STORED_KEYS = {
+    "entities": (["wikidata_id"], ["name", "description"]),
+    "labels": (["entity_id", "label"], []),
+    "politicians": (["wikidata_id"], ["name"]),
+    "properties": (
+        ["statement_id"], ["value", "value_precision", "entity_id", "qualifiers_json", "references_json"],
+    ),
+    "links": (["politician_id", "wikipedia_project_id"], ["url"]),
+    "relations": (["statement_id"], ["parent_entity_id", "child_entity_id", "relation_type"]),
+}
+
+
+def store(name: str, stored: DataFrame, found: DataFrame, now: Column | None = None) -> DataFrame:
+    """The stored table after the rows of an import: equal keys are overwritten in the columns an
+    import owns, a soft delete stays, and stored rows with a null key are left alone."""
+    keys, columns = STORED_KEYS[name]
+    return upsert(stored, found, keys, [c for c in columns if c in stored.columns], now=now)
+
+
+def store_typed(stored: DataFrame, found: DataFrame, now: Column | None = None) -> DataFrame:
+    """A typed table after an import: one row per entity, all its columns overwritten."""
+    rest = [c for c in found.columns if c in stored.columns and c != "wikidata_id"]
+    return upsert(stored, found, ["wikidata_id"], rest, now=now)
+
+
 def seen_ids(*outputs: DataFrame, column: str) -> DataFrame:
     """Every id that an import inserted or updated."""
     ids = outputs[0].select(column)

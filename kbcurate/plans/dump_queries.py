@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kbcurate.functions import claims as C
-from kbcurate.operators import entities as E, hierarchy as H, importer as I
+from kbcurate.operators import entities as E, hierarchy as H, importer as I, search as S
 from kbcurate.plans.dump_lines import dump_lines
 from kbcurate.plans.registry import as_of, query
 from kbcurate.plans.views import AS_OF, Catalog
-from kbcurate.schemas import FACT_TYPES, RELATION_TYPES
-from kbcurate.sources.dump import entity_table, parse_entities
+from kbcurate.schemas import FACT_TYPES, RELATION_TYPES, EntityType
+from kbcurate.session import scratch_path
+from kbcurate.sources import tables as T
+from kbcurate.sources.dump import entity_table, parse_entities, read_dump
 from kbcurate.sources.tables import upsert
 
 ROOTS, IGNORED = ["P1"], ["P5"]
@@ -439,3 +441,147 @@ def upsert_query(c: Catalog) -> DataFrame:
         .otherwise("inserted")
     )
     return merged.select("id", "name", kind.alias("batch"))
+
+
+# --- files ----------------------------------------------------------------------------------
+
+_NAMES = f"""SELECT e.wikidata_id, n.name FROM v_entities e LEFT JOIN {_BEST} n ON n.entity_id = e.wikidata_id"""
+
+
+def _dump_file(c: Catalog, compression: str) -> str:
+    """The made dump as files, with some broken lines."""
+    path = scratch_path(c.spark, "dump-file")
+    lines = dump_lines(c)
+    broken = lines.where(F.col("value").contains('"id":"P1')).select(
+        F.substring("value", 1, 20).alias("value")
+    )
+    lines.select("value").union(broken).write.option("compression", compression).text(path)
+    return path
+
+
+def _names_of_file(c: Catalog, compression: str) -> DataFrame:
+    return E.names(entity_table(read_dump(c.spark, _dump_file(c, compression)))).select("wikidata_id", "name")
+
+
+@query(_NAMES)
+def read_dump_text(c: Catalog) -> DataFrame:
+    return _names_of_file(c, "none")
+
+
+@query(_NAMES)
+def read_dump_bz2(c: Catalog) -> DataFrame:
+    return _names_of_file(c, "bzip2")
+
+
+@query("""SELECT t.wikidata_id, e.name FROM (SELECT DISTINCT wikidata_id FROM v_typed) t
+    JOIN v_entities e ON e.wikidata_id = t.wikidata_id""")
+def export_named(c: Catalog) -> DataFrame:
+    """A typed table exported as CSV and read back."""
+    path = scratch_path(c.spark, "export")
+    T.export_named(T.named(c.v_typed.select("wikidata_id").distinct(), c.v_entities), path)
+    return c.spark.read.option("header", True).csv(path)
+
+
+@query("""
+    SELECT t.wikidata_id, string_agg(DISTINCT t.type, ',' ORDER BY t.type) AS types,
+           string_agg(DISTINCT l.label, ',' ORDER BY l.label) AS labels
+    FROM v_typed t JOIN v_labels l ON l.entity_id = t.wikidata_id
+    JOIN v_entities e ON e.wikidata_id = t.wikidata_id AND e.deleted_at IS NULL GROUP BY 1""")
+def write_documents(c: Catalog) -> DataFrame:
+    """Search documents written as JSON lines, some hundred to a file, and read back."""
+    path = scratch_path(c.spark, "documents")
+    docs = S.search_documents(c.v_typed, c.v_labels, c.v_entities)
+    T.write_documents(docs, path, 500)
+    return c.spark.read.schema(docs.schema).json(path).select(
+        "wikidata_id", F.array_join("types", ",").alias("types"), F.array_join("labels", ",").alias("labels")
+    )
+
+
+# --- imports over stored tables -------------------------------------------------------------
+
+_TYPES = {
+    "Position": EntityType("Position", ["P1"], ["P5", "P11"]), "Location": EntityType("Location", ["P2", "P3"]),
+    "Language": EntityType("Language", ["P4"], ["P4"]),
+}
+
+
+def _sets_sql() -> str:
+    trees, parts = [], []
+    for name, t in _TYPES.items():
+        inside, ignored = f"in_{name}", f"ig_{name}"
+        trees.append(closure_sql(inside, t.roots))
+        parts.append(f"SELECT '{name}' AS type, wikidata_id AS class_id, FALSE AS ignored FROM {inside}")
+        if t.ignore:
+            trees.append(closure_sql(ignored, t.ignore))
+            parts[-1] += f" WHERE wikidata_id NOT IN (SELECT wikidata_id FROM {ignored})"
+            parts.append(f"SELECT '{name}', wikidata_id, TRUE FROM {ignored}")
+    return f"WITH RECURSIVE {', '.join(trees)} {' UNION ALL '.join(parts)}"
+
+
+@query(_sets_sql())
+def class_sets_config(c: Catalog) -> DataFrame:
+    """Class sets of several types, closed in one loop."""
+    return H.class_sets(c.v_entities, c.v_edges, _TYPES)
+
+
+def _imported(c: Catalog) -> I.PoliticianImport:
+    return I.import_politicians(
+        entities(c), as_of(), c.v_positions, c.v_countries, c.v_locations, c.v_projects, c.v_politicians
+    )
+
+
+# stored facts: some statements of the dump with an old value, partly deleted, and one without statement
+_STORED_FACTS = f"""
+    SELECT 'old-' || statement_id AS id, type, 'old' AS value, entity_id, statement_id,
+           CASE WHEN ascii(right(statement_id, 1)) % 2 = 0 THEN {AS_OF} END AS deleted_at
+    FROM ({_FACT_ROWS}) f WHERE statement_id IS NOT NULL AND ascii(right(statement_id, 1)) % 3 <> 0
+    UNION ALL SELECT 'own', 'P27', NULL, 'N1', NULL, NULL"""
+
+
+_FACT_COLUMNS = (
+    "id string, politician_id string, type string, value string, entity_id string, statement_id string, "
+    "deleted_at timestamp"
+)
+
+
+@query(f"""
+    SELECT coalesce(s.id, sha256('statement|' || f.statement_id)) AS id, f.type, f.value, f.entity_id, f.statement_id,
+           s.deleted_at IS NOT NULL AS deleted
+    FROM ({_FACT_ROWS}) f LEFT JOIN ({_STORED_FACTS}) s ON s.statement_id = f.statement_id WHERE f.statement_id IS NOT NULL
+    UNION ALL SELECT id, type, value, entity_id, statement_id, FALSE FROM ({_STORED_FACTS}) x WHERE statement_id IS NULL""")
+def import_properties(c: Catalog) -> DataFrame:
+    """Facts of a dump over stored ones: values overwritten, ids and soft deletes kept."""
+    found = _imported(c).properties
+    last = F.ascii(F.right("statement_id", F.lit(1)))
+    stored = found.where(last % 3 != 0).select(
+        F.concat(F.lit("old-"), "statement_id").alias("id"), F.lit("pol-old").alias("politician_id"), "type",
+        F.lit("old").alias("value"), "entity_id", "statement_id", F.when(last % 2 == 0, as_of()).alias("deleted_at"),
+    )
+    own = c.spark.createDataFrame([("own", "pol-1", "P27", None, "N1", None, None)], _FACT_COLUMNS)
+    out = I.store("properties", stored.union(own), found)
+    return out.select("id", "type", "value", "entity_id", "statement_id", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+_SOME_LABELS = "SELECT entity_id, label FROM v_labels WHERE length(label) % 2 = 0 UNION SELECT 'Q0', 'gone'"
+
+
+@query(f"""
+    SELECT entity_id, text AS label FROM v_texts WHERE field = 'labels' AND entity_id IN ({_CHOSEN})
+    UNION SELECT entity_id, label FROM ({_SOME_LABELS}) s""")
+def import_labels(c: Catalog) -> DataFrame:
+    return I.store("labels", c.sql(_SOME_LABELS).distinct(), _imported(c).labels)
+
+
+_LINK_ROWS = f"""
+    SELECT s.wikidata_id, max(s.url) AS url, p.wikidata_id AS wikipedia_project_id FROM ({_SITES}) s
+    JOIN v_projects p ON s.prefix || '/' = p.official_website WHERE s.wikidata_id IN ({_CHOSEN}) GROUP BY 1, 3"""
+
+@query(f"""
+    SELECT coalesce(o.id, sha256('politician|' || l.wikidata_id)) AS politician_id, l.url, l.wikipedia_project_id
+    FROM ({_LINK_ROWS}) l LEFT JOIN v_politicians o ON o.wikidata_id = l.wikidata_id
+    UNION ALL SELECT 'pol-none', 'kept', 'W0'""")
+def import_links(c: Catalog) -> DataFrame:
+    found = _imported(c).links
+    stored = found.where(F.length("url") % 2 == 0).select("politician_id", F.lit("old").alias("url"), "wikipedia_project_id")
+    own = c.spark.createDataFrame([("pol-none", "kept", "W0")], stored.schema)
+    return I.store("links", stored.union(own), found)

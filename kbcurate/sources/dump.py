@@ -44,7 +44,9 @@ def parse_entities(
     return parsed.where(usable)
 
 
-def entity_table(lines: DataFrame, claim_keys: list[str] = CLAIM_KEYS) -> DataFrame:
+def entity_table(
+    lines: DataFrame, claim_keys: list[str] = CLAIM_KEYS, rejects: Observation | None = None
+) -> DataFrame:
     """Entities of dump lines as a written table. All imports read it several times, and then
-    only the claim columns they use; the text is parsed once."""
-    return written(parse_entities(lines, claim_keys), "entities")
+    only the claim columns they use; the text is parsed once, and ``rejects`` has its counts."""
+    return written(parse_entities(lines, claim_keys, rejects), "entities")
