@@ -32,6 +32,9 @@ PRIOR = 200
 BINS = 1000
 HIGH, MIDDLE, SPREADS, LEAST_MARGIN = 0.99, 0.50, 3.0, 0.25
 
+#: Bytes of text handled at once; a character takes up to 100 bytes on the way.
+SLICE = 2 << 20
+
 START, END = "\u0002", "\u0003"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -65,7 +68,7 @@ def _by_language(part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, list[s
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 for lang, _, texts in _by_language(part):
                     codes, bounds = _padded(texts, order)
                     letters, small = np.unique(codes, return_inverse=True)
@@ -250,7 +253,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, _Shard] = {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE // 2):
                 n, logp = np.ones(part.num_rows, np.int64), np.zeros(part.num_rows)
                 known = np.zeros(part.num_rows, bool)
                 for shard in range(model.shards):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ import xxhash
 from kbcurate.llm.words import encode, split_words
 
 #: Words a worker remembers; when full, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 #: Letters that lower to one letter and stand alone under NFC, so that a run of them is one word
@@ -43,7 +42,7 @@ class WordIds:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def _learn(self, words: pa.Array) -> None:
         plain = pc.match_substring_regex(words, _PLAIN)
@@ -52,18 +51,19 @@ class WordIds:
         chunks = [words[at:at + 2000] for at in range(0, len(words), 2000)]
         joined = self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)
         for some, found in zip(chunks, joined):
-            ids = found.ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(found.ids, np.uint32)
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) == len(some):
-                self.cache.update(zip(some, (ids[a:b] for a, b in zip([0, *cuts], cuts))))
+                raw = ids.tobytes()
+                self.cache.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
             else:
                 rest += some
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.cache.update(zip(some, (x.ids for x in found)))
+            self.cache.update(zip(some, (np.array(x.ids, np.uint32).tobytes() for x in found)))
 
-    def _of_words(self, words: pa.Array) -> list[list[int]]:
+    def _of_words(self, words: pa.Array) -> list[bytes]:
         names, cache = words.to_pylist(), self.cache
         new = [w for w in names if w not in cache]
         if len(cache) + len(new) > CACHE_WORDS:
@@ -82,8 +82,8 @@ class WordIds:
             return np.arange(docs + 1), np.full(docs, end_id, np.uint32)
         index, distinct = encode(flat)
         lists = self._of_words(distinct)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        table = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        table = np.frombuffer(b"".join(lists), np.uint32)
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         count = sizes[index]
         ends = np.concatenate([[0], np.cumsum(count)])

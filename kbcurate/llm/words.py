@@ -30,15 +30,15 @@ class Words:
         return np.diff(self.start)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in slices of about ``SLICE_BYTES`` of text, so that a worker's memory
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about ``size`` bytes of text, so that a worker's memory
     is bounded by that or by its longest text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
