@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from kbcurate.plans.registry import QUERIES  # noqa: E402
 from kbcurate.plans.views import TABLES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["entity_id", "type"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
