@@ -143,8 +143,14 @@ def calibrate(tree: Tree, sample: np.ndarray, longest: float, k: int, recall: fl
     return int(np.quantile(steps, recall, method="higher")) + 1
 
 
+#: Rows a task holds before it keeps the best of each query only.
+HELD = 500_000
+
+
 def _score(k: int):
+    """The nearest of each query among the leaves of a task: leaves of one task are merged there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for whole in _groups(batches, "grp"):
             grp = whole.column("grp").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]]))
@@ -172,12 +178,31 @@ def _score(k: int):
                     first = np.searchsorted(i, np.arange(len(some)))
                     kept = np.arange(len(i)) - first[i] < k
                     found.append((some[i[kept]], vec_ids[j[kept]], exact[kept]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*found)], names=["query_id", "vec_id", "score"]
-                )
+                held += found
+                rows_held = sum(len(x[0]) for x in held)
+                if rows_held > HELD:
+                    held = [_best(held, k)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield _rows(held[0])
+                        held = []
+        if held:
+            yield _rows(_best(held, k))
     return run
 
 
+def _best(held: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best rows of each query."""
+    query, vec, score = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((vec, -score, query))
+    query, vec, score = query[order], vec[order], score[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], vec[kept], score[kept]
+
+
+def _rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding",
     recall: float = RECALL, leaf: int = LEAF, sample: int = SAMPLE,
