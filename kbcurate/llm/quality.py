@@ -7,14 +7,19 @@ The finished tables are written to the shared folder in shards of bounded size b
 before the predicted one; a worker takes a batch of documents through one shard after another,
 so its memory is bounded whatever the model's size, and adds up what each shard says.
 
-A document goes if its shrunk cost per character lies above its language's threshold, which is
-set by quantiles of the costs of the trusted documents of that language.
+Characters predict a word said again and again well, so a text also pays for each word that equals
+the one before it what that is worth in trusted text (``-log`` of its share of neighbours), and for
+each that does not.
+
+A document goes if its shrunk cost per character lies above its language's threshold: a quantile of
+the costs of the trusted documents of that language, each scored by a model that did not see it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,8 @@ SHARD_ROWS = 2_000_000
 PRIOR = 200
 #: Cost bins per nat; thresholds are exact to one of them.
 BINS = 1000
-HIGH, MIDDLE, SPREADS, LEAST_MARGIN = 0.99, 0.50, 3.0, 0.25
+#: Share of unseen trusted documents of a language at or below its threshold.
+QUANTILE = 0.995
 
 #: Bytes of text handled at once; a character takes up to 100 bytes on the way.
 SLICE = 2 << 20
@@ -246,9 +252,20 @@ def _log_probabilities(keys: list[np.ndarray], places: np.ndarray, order: int, t
     return out
 
 
+def _neighbours(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+    """Neighbouring words of each text, and how many of them are equal."""
+    pairs, repeats = [], []
+    for text in texts:
+        words = (text or "").split()
+        pairs.append(max(0, len(words) - 1))
+        repeats.append(sum(map(eq, words, words[1:])))
+    return pa.array(pairs, pa.int64()), pa.array(repeats, pa.int64())
+
+
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(id, lang, n, logp) per row: predicted characters (the end included) and their summed log
-    probability; logp is null in a language without trusted text."""
+    """(id, lang, n, logp, pairs, repeats) per row: predicted characters (the end included) and their
+    summed log probability, neighbouring words and how many of them are equal; logp is null in a
+    language without trusted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, _Shard] = {}
@@ -256,6 +273,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str
             for part in slices(batch, size=SLICE // 2):
                 n, logp = np.ones(part.num_rows, np.int64), np.zeros(part.num_rows)
                 known = np.zeros(part.num_rows, bool)
+                pairs, repeats = _neighbours(part.column("text").to_pylist())
                 for shard in range(model.shards):
                     if shard not in kept:
                         kept = {shard: _Shard(model, shard)}
@@ -276,35 +294,41 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str
                         ends = np.searchsorted(places, bounds)
                         logp[rows] += sums[ends[1:]] - sums[ends[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("lang"), pa.array(n), pa.array(logp, mask=~known)],
-                    names=["id", "lang", "n", "logp"],
+                    [part.column("id"), part.column("lang"), pa.array(n), pa.array(logp, mask=~known), pairs, repeats],
+                    names=["id", "lang", "n", "logp", "pairs", "repeats"],
                 )
 
     plain = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
     )
-    return plain.mapInArrow(run, "id long, lang string, n long, logp double")
+    return plain.mapInArrow(run, "id long, lang string, n long, logp double, pairs long, repeats long")
 
 
 def thresholds(trusted: DataFrame) -> DataFrame:
-    """(lang, mean, threshold) from (lang, n, logp) of trusted documents: the ``HIGH`` quantile of
-    shrunk costs plus ``SPREADS`` times its distance from the median, at least ``LEAST_MARGIN``."""
-    means = trusted.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))
-    binned = trusted.join(F.broadcast(means), "lang").groupBy(  # one row per language
-        "lang", "mean", F.round(shrunk() * BINS).cast("long").alias("bin")
+    """(lang, rate, mean, threshold) from scores of trusted documents: the share of neighbouring words
+    that are equal, the mean cost per character, and the ``QUANTILE`` of shrunk costs."""
+    rates = trusted.groupBy("lang").agg(((F.sum("repeats") + 0.5) / (F.sum("pairs") + 1)).alias("rate"))
+    rated = trusted.join(F.broadcast(rates), "lang")  # one row per language
+    means = rated.groupBy("lang").agg((-F.sum(whole()) / F.sum("n")).alias("mean"))
+    binned = rated.join(F.broadcast(means), "lang").groupBy(  # one row per language
+        "lang", "rate", "mean", F.ceil(shrunk() * BINS).cast("long").alias("bin")
     ).agg(F.count(F.lit(1)).alias("c"))
     along = Window.partitionBy("lang").orderBy("bin")
     share = F.sum("c").over(along) / F.sum("c").over(Window.partitionBy("lang"))
-    at = binned.withColumn("share", share).groupBy("lang", "mean").agg(
-        *[(F.min(F.when(F.col("share") >= q, F.col("bin"))) / BINS).alias(name) for q, name in ((HIGH, "high"), (MIDDLE, "middle"))]
+    return binned.withColumn("share", share).groupBy("lang", "rate", "mean").agg(
+        (F.min(F.when(F.col("share") >= QUANTILE, F.col("bin"))) / BINS).alias("threshold")
     )
-    margin = F.greatest(F.lit(LEAST_MARGIN), SPREADS * (F.col("high") - F.col("middle")))
-    return at.select("lang", "mean", (F.col("high") + margin).alias("threshold"))
+
+
+def whole() -> Column:
+    """Log probability of a text's characters and of which of its words repeat the one before."""
+    repeats, pairs, rate = F.col("repeats"), F.col("pairs"), F.col("rate")
+    return F.col("logp") + repeats * F.log(rate) + (pairs - repeats) * F.log(1 - rate)
 
 
 def shrunk() -> Column:
     """Cost per character, drawn to the language's mean where a text is short."""
-    return (-F.col("logp") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
+    return (-whole() + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
 
 
 def classify(
@@ -313,7 +337,10 @@ def classify(
 ) -> DataFrame:
     """(id, lang, n_chars, perplexity, cost, threshold, keep) per row of ``docs``.
 
-    The model is trained on the documents whose id is in ``trusted_ids`` (column ``id``). A text
+    The model is trained on the documents whose id is in ``trusted_ids`` (column ``id``); thresholds
+    come from two further models, each of one half of them by a hash of the id and scoring the other
+    half (a language with one half only has the costs of the model that saw it). ``perplexity`` is of the
+    characters alone. A text
     without characters has the cost of its end alone, shrunk to the mean, and stays; so does
     a document in a language without trusted text, with null figures. A null language is one of
     its own; null and repeated ids are scored like others; extra columns are ignored.
@@ -323,10 +350,20 @@ def classify(
     docs = docs.withColumn(lang_col, F.coalesce(F.col(f"`{lang_col}`"), F.lit("")))
     ids, seen = scratch.write(trusted_ids.select(F.col("id").cast("long").alias("id")).where("id IS NOT NULL").distinct(), count_rows())
     few = sized(ids.select(F.col("id").alias("_trusted")), seen["n"])
-    trusted = docs.join(few, F.col(f"`{id_col}`").cast("long") == F.col("_trusted"), "left_semi")
-    model = train(trusted, lang_col, text_col, order)
-    scored = scratch.write(scores(docs, model, id_col, lang_col, text_col))
-    limits = scratch.write(thresholds(scored.join(sized(ids, seen["n"]), "id", "left_semi").where("logp IS NOT NULL")).coalesce(1))
+    trusted = scratch.write(docs.join(few, F.col(f"`{id_col}`").cast("long") == F.col("_trusted"), "left_semi").select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
+    ))
+    scored = scratch.write(scores(docs, train(trusted, order=order), id_col, lang_col, text_col))
+    half = F.xxhash64(F.col("id").cast("long")).bitwiseAND(F.lit(1))
+    unseen = [
+        scratch.write(scores(trusted.where(half == k), train(trusted.where(half != k), order=order), "id").where("logp IS NOT NULL"))
+        for k in (0, 1)
+    ]
+    scratch.drop(trusted)
+    fitted = scratch.write(thresholds(unseen[0].union(unseen[1])).coalesce(1))
+    seen_only = scored.join(sized(ids, seen["n"]), "id", "left_semi").where("logp IS NOT NULL")
+    seen_only = seen_only.join(F.broadcast(fitted.select("lang")), "lang", "left_anti").select(scored.columns)
+    limits = scratch.write(fitted.union(thresholds(seen_only)).coalesce(1))
     cost = shrunk()
     return scored.join(F.broadcast(limits), "lang", "left").select(  # one row per language
         "id", "lang", F.col("n").alias("n_chars"), F.exp(-F.col("logp") / F.col("n")).alias("perplexity"),

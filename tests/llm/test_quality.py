@@ -105,3 +105,29 @@ def test_nothing_trusted_and_nothing_at_all(spark):
     none = spark.createDataFrame([], "id long")
     assert [r["keep"] for r in quality.classify(spark.createDataFrame([(1, "x", "en")], kind), none).collect()] == [True]
     assert quality.classify(spark.createDataFrame([], kind), none).collect() == []
+
+
+def test_words_repeated_in_a_row_go(spark):
+    """Trained on even labelled documents, judged on the others: junk that repeats its words, and all junk."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id % 2 = 0").selectExpr("doc_id AS id")
+    held = docs.join(labels.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id")
+    rows = quality.classify(docs, trusted).join(held.selectExpr("doc_id AS id", "quality", "text"), "id").collect()
+
+    def repeats(text):
+        words = text.split()
+        return sum(a == b for a, b in zip(words, words[1:])) > 0.3 * max(1, len(words) - 1)
+
+    bad = [r["keep"] for r in rows if r["quality"] == 0]
+    again = [r["keep"] for r in rows if r["quality"] == 0 and repeats(r["text"])]
+    good = [r["keep"] for r in rows if r["quality"] == 1]
+    print(sum(bad), len(bad), sum(again), len(again), sum(good), len(good))
+    assert len(again) > 50 and sum(again) < 0.1 * len(again)
+    assert sum(bad) < 0.05 * len(bad) and sum(good) > 0.99 * len(good)
+
+
+def test_one_trusted_document_has_a_threshold(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en")], "doc_id long, text string, lang string")
+    row = quality.classify(docs, spark.createDataFrame([(1,)], "id long")).collect()[0]
+    assert row["threshold"] is not None and row["keep"]
