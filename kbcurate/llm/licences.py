@@ -1,15 +1,22 @@
-"""Licence scan: lines and whole texts against licence templates by the Dice coefficient of their
-word bigrams. Only DataFrame functions, one pass, no shuffle.
+"""Licence scan: lines, whole texts and passages against licence templates by the Dice coefficient
+of their word bigrams. Only DataFrame functions, one pass, no shuffle.
 
 Text is normalised to lower-case words of letters and digits. With n and m distinct bigrams the
 coefficient is at most 2 min(n, m) / (n + m), so only templates of a size within
 ``t / (2 - t)`` of a segment's are compared with it, and lines beyond all templates' sizes are
 dropped before their bigrams are made.
+
+A passage lies anywhere in the lines that match nothing themselves, read as one text, unless the
+whole text matches. From each bigram of a template, the window of up to ``n (2 - t) / t`` bigrams with the
+highest coefficient counts; matching windows that share a bigram are one passage. A match shares at
+least ``n t / (2 - t)`` bigrams with its template, so it has one of any words in more than the other
+bigrams (``anchors``); only texts with such a word are searched.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -84,13 +91,67 @@ def template_rows(templates: dict[str, list[str]] = TEMPLATES, threshold: float
     return rows
 
 
-def _bigrams(line: Column) -> Column:
+def anchors(rows: list[tuple]) -> list[str]:
+    """Words of which a match of any template has one: the longest that are in too many of its bigrams to miss."""
+    out = set()
+    for _, _, grams, least, _ in rows:
+        missed, words = set(), {w for g in grams for w in g.split()}
+        for word in sorted(words, key=lambda w: (-len(w), w)):
+            if len(missed) > len(grams) - least:
+                break
+            out.add(word)
+            missed |= {g for g in grams if word in g.split()}
+    return sorted(out)
+
+
+def _pairs(line: Column) -> Column:
     words = F.split(line, " ")
-    pairs = F.zip_with(
+    return F.zip_with(
         F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
         lambda a, b: F.concat_ws(" ", a, b),
     )
-    return F.array_distinct(pairs)
+
+
+def _bigrams(line: Column) -> Column:
+    return F.array_distinct(_pairs(line))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _windows(grams: Column, t: Column, threshold: float) -> Column:
+    """Matching windows (s, e, score, at) of the bigrams ``grams`` (with repeats), the best from each start."""
+    def place(q: Column) -> Column:
+        first = F.greatest(F.lit(1), q - t["most"])
+        here = F.get(grams, q - 1)
+        back = F.array_position(F.reverse(F.slice(grams, first, q - first)), here).cast("int")
+        # whether the template has the bigram, and where it was last before
+        return F.struct(F.array_contains(t["grams"], here).alias("mine"), F.when(back > 0, q - back).otherwise(0).alias("before"))
+
+    def from_start(places: Column, s: Column) -> Column:
+        def step(x: Column, q: Column) -> Column:
+            at = F.get(places, q - 1)
+            new = (at["before"] < s).cast("int")
+            c, d = x["c"] + new * at["mine"].cast("int"), x["d"] + new
+            score = 2.0 * c / (d + t["n"])
+            better = score > x["score"]
+            return F.struct(
+                c.alias("c"), d.alias("d"), F.when(better, score).otherwise(x["score"]).alias("score"), F.when(better, q).otherwise(x["e"]).alias("e"),
+            )
+
+        start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("d"), F.lit(0.0).alias("score"), F.lit(0).alias("e"))
+        return F.aggregate(
+            F.sequence(s, F.least(s + t["most"] - 1, F.size(places))), start, step,
+            lambda x: F.struct(s.alias("s"), x["e"].alias("e"), x["score"].alias("score"), t["at"].alias("at")),
+        )
+
+    every = F.sequence(F.lit(1), F.size(grams))
+    return _let(F.transform(every, place), lambda places: F.filter(
+        F.transform(F.filter(every, lambda s: F.get(places, s - 1)["mine"]), lambda s: from_start(places, s)),
+        lambda w: w["score"] >= threshold,
+    ))
 
 
 def scan(
@@ -98,7 +159,7 @@ def scan(
     templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(id, licence, score, n_segments) per row: the template with the highest coefficient of at
-    least ``threshold`` over all lines and the whole text (ties: the first in order of licence; null
+    least ``threshold`` over all lines, the whole text and passages (ties: the first in order of licence; null
     and 0.0 if none), and the number of segments that match any template.
 
     A null or empty text matches nothing; ids may be null or repeated; extra columns are ignored.
@@ -122,11 +183,11 @@ def scan(
     whole = F.when(F.size(lines) > 1, F.array(F.regexp_replace("clean", r"[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
     # a segment may repeat bigrams, so its words bound them from above only
 
-    segments = clean.select("id", F.filter(
+    segments = clean.select("id", "clean", F.filter(
         F.transform(F.concat(lines, whole), lambda x: F.trim(x)),
         lambda x: words(x) > low,
     ).alias("segments"))
-    sets = segments.select("id", F.filter(
+    sets = segments.select("id", "clean", F.filter(
         F.transform("segments", _bigrams), lambda g: (F.size(g) >= low) & (F.size(g) <= high)
     ).alias("sets"))
 
@@ -136,8 +197,29 @@ def scan(
             (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("score"), t["at"].alias("at"),
         )))
 
-    scored = sets.select("id", F.filter(F.transform("sets", best), lambda b: b["score"] >= threshold).alias("hits"))
-    top = scored.select("id", F.array_max("hits").alias("top"), F.size("hits").cast("long").alias("n_segments"))
+    scored = sets.select("id", "clean", F.filter(F.transform("sets", best), lambda b: b["score"] >= threshold).alias("hits"))
+
+    def matches(segment: Column) -> Column:
+        return F.coalesce(_let(_bigrams(F.trim(segment)), lambda g: best(g)["score"]) >= threshold, F.lit(False))
+
+    none = F.array().cast("array<struct<s:int,e:int,score:double,at:int>>")
+    some = F.arrays_overlap(F.split(F.translate("clean", "\n", " "), " "), F.array(*map(F.lit, anchors(rows))))
+    rest = F.trim(F.regexp_replace(F.array_join(F.filter(F.split("clean", "\n"), lambda x: ~matches(x)), " "), " +", " "))
+    found = _let(_pairs(rest), lambda g: F.flatten(F.transform(
+        F.filter(known, lambda t: F.size(F.array_intersect(g, t["grams"])) >= t["least"]),
+        lambda t: _windows(g, t, threshold),
+    )))
+    at_once = F.exists(F.array(F.regexp_replace("clean", r"[ \n]+", " ")), matches)
+    windows = scored.select("id", "hits", F.when(some & ~at_once, found).otherwise(none).alias("windows"))
+
+    def join(x: Column, w: Column) -> Column:
+        return F.struct((x["n"] + (w["s"] > x["e"]).cast("int")).alias("n"), F.greatest(x["e"], w["e"]).alias("e"))
+
+    passages = F.aggregate(
+        F.array_sort("windows"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")), join, lambda x: x["n"]
+    )
+    both = F.concat("hits", F.transform("windows", lambda w: F.struct(w["score"].alias("score"), w["at"].alias("at"))))
+    top = windows.select("id", F.array_max(both).alias("top"), (F.size("hits") + passages).cast("long").alias("n_segments"))
     return top.select(
         "id", F.when(F.col("n_segments") > 0, F.get(names, -F.col("top.at"))).alias("licence"),
         F.coalesce(F.col("top.score"), F.lit(0.0)).alias("score"), "n_segments",

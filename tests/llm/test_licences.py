@@ -44,3 +44,25 @@ def test_scan(spark):
     assert got == sorted(want, key=repr)
     assert brute(NOTICE)[0] == "Apache-2.0" and brute(rows[5])[0] == "MIT" and brute(rows[3])[0] is None
     assert licences.scan(docs.limit(0)).collect() == []
+
+
+def test_passages_inside_longer_text(spark):
+    mit, apache = licences.TEMPLATES["MIT"][1], licences.TEMPLATES["Apache-2.0"][1]
+    prose = " ".join(f"plain{i} words{i} of" for i in range(150)) + " "
+    wrapped = ["\n".join(re.findall(r".{1,70}(?: |$)", x)) for x in (mit, apache)]
+    rows = [
+        (f"{prose}\n{wrapped[0]}\n{prose}", "MIT", 1.0, 1),
+        (f"{prose}\n# {wrapped[1]}\n{prose}", "Apache-2.0", None, None),
+        (f"{prose}{mit} {prose}", "MIT", 1.0, 1),
+        ("This library is released under the MIT License.", "MIT", 1.0, 1),
+        ("Copyright 2020 Jane Doe. Released under the MIT License.", "MIT", 1.0, 1),
+        ("See LICENSE for terms. All rights reserved.", "Proprietary", 1.0, 1),
+        (f"{prose} Released under the MIT License. {prose} {NOTICE} {prose}", "Apache-2.0", 1.0, 2),
+        (prose, None, 0.0, 0),
+        ("a license was released under all of the rights of mit", None, 0.0, 0),
+    ]
+    docs = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    got = {r["id"]: (r["licence"], r["score"], r["n_segments"]) for r in licences.scan(docs).collect()}
+    for i, (_, licence, score, n) in enumerate(rows):
+        assert got[i][0] == licence, (i, got[i])
+        assert score is None or got[i][1:] == (score, n), (i, got[i])
