@@ -282,8 +282,21 @@ def _usable_facts(c: Catalog) -> DataFrame:
                    ELSE {_frame_verdict(A, B, B, A)} END AS verdict
     FROM v_date_pairs WHERE asign = '+'""")
 def compare_facts(c: Catalog) -> DataFrame:
+    """The pairs without a BCE date; ``compare_all_facts`` has all."""
+    return _fact_verdicts(_pairs(c).join(c.v_date_pairs.where("asign = '+'").select("k"), "k", "left_semi"))
+
+
+@query(f"""
+    SELECT k, CASE WHEN k % 6 = 0 THEN 'NO_MATCH' WHEN k % 6 < 3 THEN {_date_verdict(A, B)}
+                   ELSE {_frame_verdict(A, B, B, A)} END AS verdict
+    FROM v_date_pairs""")
+def compare_all_facts(c: Catalog) -> DataFrame:
+    """All pairs; years are compared without their sign, so 44 BCE and 44 CE are the same."""
+    return _fact_verdicts(_pairs(c))
+
+
+def _fact_verdicts(pairs: DataFrame) -> DataFrame:
     """Pairs of facts made of the date pairs: of different type, births, and office terms."""
-    pairs = _pairs(c).join(c.v_date_pairs.where("asign = '+'").select("k"), "k", "left_semi")
     k = F.col("k")
 
     def fact(type_: Column, date: Column, start: Column, end: Column) -> Column:

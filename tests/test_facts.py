@@ -143,3 +143,14 @@ def test_merge_reconsiders_a_dropped_term_after_the_state_changed(spark):
     cands = [wide, (*who, ((10, 2000, 5, None), (10, 2003, 2, None))), wide, wide]
     assert sequential(facts, cands) == {0: None, 1: "new1", 2: "new1", 3: "new1"}
     check_merge(spark, facts, cands)
+
+
+def test_all_pairs_of_facts_are_compared(spark):
+    from kbcurate.plans.registry import QUERIES
+    from kbcurate.plans.views import Catalog
+
+    folder = "/root/testdata/sf0.001"
+    pairs = Catalog.of(spark, folder).v_date_pairs
+    bce = {r["k"] for r in pairs.where("asign = '-'").select("k").collect()}
+    got = [r["k"] for r in QUERIES["compare_all_facts"](spark, folder).collect()]
+    assert bce and bce <= set(got) and len(got) == pairs.count()
