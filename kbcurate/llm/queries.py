@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbcurate.llm import ann, counts, licences, minhash, mixing, packing, quality, substring, tokenfile, vectors
+from kbcurate.llm import (
+    ann, counts, lexical, licences, minhash, mixing, packing, quality, substring, tokenfile, trie, vectors,
+)
 from kbcurate.llm.store import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +225,80 @@ FROM documents LEFT JOIN top USING (doc_id)
 @query(oracle=_licence_sql())
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query(oracle=r"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), list_transform(range(8), lambda z: CAST(0 AS UBIGINT))),
+      lambda a, z: CASE WHEN a % 2 = 1 THEN xor(CAST(3988292384 AS UBIGINT), a >> 1) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(k)) AS pos, md5(k) AS k, width FROM (
+    SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS k,
+           length(coalesce(text, '')) AS width
+    FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, xor(CAST(4294967295 AS UBIGINT), list_reduce(
+      list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      lambda a, b: xor(a >> 8, t[CAST(xor(a, b) & 255 AS BIGINT) + 1]))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), tab
+), said AS (
+  SELECT c.conv_id, t.pos, t.k, t.width, 0 AS own FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos, t.k, t.width, 1 FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), paths AS (
+  SELECT conv_id, coalesce(list(k ORDER BY own, pos) FILTER (WHERE k IS NOT NULL), []) AS p,
+         coalesce(list(width ORDER BY own, pos) FILTER (WHERE k IS NOT NULL), []) AS ws
+  FROM convs LEFT JOIN said USING (conv_id) GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, d, md5(array_to_string(list_slice(p, 1, d), '')) AS node, len(p) = d AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE ws[d] END AS width,
+         CASE WHEN d = 0 THEN NULL ELSE md5(array_to_string(list_slice(p, 1, d - 1), '')) END AS up
+  FROM (SELECT *, unnest(range(len(p) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT node, d AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(width) AS width,
+         string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS e
+  FROM steps GROUP BY node, d
+), kids AS (SELECT up AS node, count(*) AS c FROM nodes WHERE up IS NOT NULL GROUP BY up
+), tree AS (
+  SELECT n.*, coalesce(c, 0) AS c FROM nodes n LEFT JOIN kids USING (node)
+), anc AS (
+  SELECT DISTINCT a.node AS top, b.node FROM steps a JOIN steps b ON a.conv_id = b.conv_id AND a.d <= b.d
+), sums AS (
+  SELECT top, sum(CASE WHEN t.c = 0 THEN 1 ELSE 0 END) AS leaves, sum((t.n - 1) * t.width) AS saved
+  FROM anc JOIN tree t ON t.node = anc.node GROUP BY top
+)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, t.n AS n_convs, t.c AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(t.e, '')) AS ends_sha256
+FROM tree t JOIN sums ON sums.top = t.node LEFT JOIN tree u ON u.node = t.up
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query(oracle=r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), corpus AS (
+  SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), post AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM post, corpus GROUP BY term, nn
+), gains AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll)))) AS gain
+  FROM post JOIN weights USING (term), corpus
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score FROM q JOIN gains USING (term) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
