@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbcurate.llm import (
-    ann, counts, lexical, licences, minhash, mixing, packing, quality, substring, tokenfile, trie, vectors,
+    ann, counts, lexical, licences, minhash, mixing, packing, quality, substring, suffixes, tokenfile, trie, vectors,
 )
 from kbcurate.llm.store import Scratch
 
@@ -302,3 +302,12 @@ FROM scored WHERE score > 0 QUALIFY rank <= 50
 """)
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed",
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
