@@ -50,9 +50,12 @@ _BEST = """(
     FROM v_texts WHERE field = 'labels' GROUP BY entity_id)"""
 
 
-@query(f"""
+NAMES_SQL = f"""
     SELECT e.wikidata_id, n.name, e.description FROM v_entities e
-    LEFT JOIN {_BEST} n ON n.entity_id = e.wikidata_id""")
+    LEFT JOIN {_BEST} n ON n.entity_id = e.wikidata_id"""
+
+
+@query(NAMES_SQL)
 def best_text(c: Catalog) -> DataFrame:
     return E.names(entities(c))
 
@@ -104,9 +107,12 @@ def class_ids(c: Catalog) -> DataFrame:
     return E.class_rows(entities(c))
 
 
-@query(f"""
+RELATIONS_SQL = f"""
     SELECT value_id AS parent_entity_id, entity_id AS child_entity_id, prop AS relation_type, statement_id
-    FROM v_truthy WHERE prop IN ({_RELATIONS}) AND value_id IS NOT NULL AND statement_id IS NOT NULL""")
+    FROM v_truthy WHERE prop IN ({_RELATIONS}) AND value_id IS NOT NULL AND statement_id IS NOT NULL"""
+
+
+@query(RELATIONS_SQL)
 def extract_relations(c: Catalog) -> DataFrame:
     return E.extract_relations(entities(c))
 

@@ -68,3 +68,9 @@ def written_counted(df: DataFrame, path: str) -> int:
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return seen.get["n"]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbcurate.operators import entities as E
+from kbcurate.session import remove, scratch_path
 from kbcurate.sources.dump import parse_entities
-from kbcurate.sources.tables import last_per_key
+from kbcurate.sources.keyed import KeyedTable
 
 
 def stream_evaluations(evaluations: DataFrame, watermark: str = "14 days") -> DataFrame:
-    """Accepted and rejected evaluations per Monday week of a stream; evaluations later than the
-    watermark are left out."""
+    """Accepted and rejected evaluations per Monday week of a stream, for the update or append mode.
+
+    A week's counts stay in state until the watermark passes its end; evaluations of a week
+    that has ended by then are left out, late ones of an open week count.
+    """
     week = F.window("created_at", "7 days", startTime="4 days")
     return (
         evaluations.withWatermark("created_at", watermark)
@@ -23,87 +31,123 @@ def stream_evaluations(evaluations: DataFrame, watermark: str = "14 days") -> Da
     )
 
 
+def keep_updates(
+    updates: DataFrame, table: str, keys: list[str], checkpoint: str, buckets: int = 16, available_now: bool = False
+) -> StreamingQuery:
+    """Write a stream in update mode to a keyed table: the last row per key."""
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path = scratch_path(spark, "updates")  # the keyed table reads a batch more than once
+        batch.write.parquet(path)
+        KeyedTable(spark, table, keys, buckets).add(spark.read.schema(batch.schema).parquet(path), number)
+        remove(spark, path)
+
+    writer = updates.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def stream_evaluation_total(evaluations: DataFrame) -> DataFrame:
     """Running number of evaluations."""
     return evaluations.groupBy().agg(F.count(F.lit(1)).alias("total"))
 
 
-def status_changes(updates: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Changes among ``updates`` (source_id, status, error, http_status_code, ts) after the state
-    ``known`` (source_id, status, ts), and the state after them.
-
-    Updates not later than the state of their source are ignored. Order is by time, then status.
-    A source's updates are compared within each hour, and hours by their last status, so a
-    source with most updates is spread over its hours.
+_PENDING = ["at", "status", "error", "code"]
+_STATUS_STATE = (
+    "status string, since long, known boolean, "
+    "at array<long>, statuses array<string>, errors array<string>, codes array<int>"
+)
+_STATUS_CHANGE = "source_id string, status string, error string, http_status_code int, ts timestamp"
+
+
+def _settle(source: str, now: tuple, pending: pd.DataFrame, until: int, expire: int | None):
+    """Changes among the pending updates before ``until`` (microseconds), and the state after them."""
+    status, since, known = now
+    ready = pending["at"] < until
+    due = pending[ready].sort_values(["at", "status"], kind="stable")
+    changes = []
+    for at, new, error, code in due.itertuples(index=False):
+        if expire is not None and known and at - since > expire:
+            known = False
+        if not known or new != status:
+            changes.append((source, new, error, code, at))
+        status, since, known = new, at, True
+    out = pd.DataFrame(changes, columns=["source_id", "status", "error", "http_status_code", "ts"])
+    out["ts"] = pd.to_datetime(out["ts"].astype("int64"), unit="us")
+    out["http_status_code"] = out["http_status_code"].astype("Int32")
+    return out, (status, since, known), pending[~ready]
+
+
+def _status_processor(expire: int | None):
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        until = max(state.getCurrentWatermarkMs(), 0) * 1000
+        now, pending = (None, 0, False), pd.DataFrame(columns=_PENDING)
+        if state.exists:
+            status, since, known, *lists = state.get
+            now, pending = (status, since, known), pd.DataFrame(dict(zip(_PENDING, map(list, lists))))
+        if not state.hasTimedOut:
+            for part in parts:
+                at = part["ts"].astype("datetime64[us]").astype("int64")
+                new = pd.DataFrame({"at": at, "status": part["status"], "error": part["error"], "code": part["http_status_code"]})
+                new = new[new["at"] >= until]  # others were settled without them
+                pending = new if pending.empty else pd.concat([pending, new], ignore_index=True)
+        changes, now, pending = _settle(key[0], now, pending, until, expire)
+        if pending.empty and expire is not None and now[1] + expire < until:
+            state.remove()
+        elif now[2] or not pending.empty:
+            codes = [None if pd.isna(c) else int(c) for c in pending["code"]]
+            errors = [None if pd.isna(e) else e for e in pending["error"]]
+            state.update((*now, [int(a) for a in pending["at"]], list(pending["status"]), errors, codes))
+            if not pending.empty:
+                state.setTimeoutTimestamp(-(-int(pending["at"].min()) // 1000) + 1)
+            elif expire is not None:
+                state.setTimeoutTimestamp((now[1] + expire) // 1000 + 1)
+        if len(changes):
+            yield changes
+
+    return run
+
+
+def status_changes(updates: DataFrame, delay: str = "1 hour", expire_seconds: int | None = None) -> DataFrame:
+    """Changes (source_id, status, error, http_status_code, ts) of a stream of source updates.
+
+    The state store holds per source its status, the time of it, and the updates that the watermark
+    (``delay`` behind the newest) has not passed; a timer at the first of them settles them in the
+    order of time, then status, so updates may come out of order, over batches and restarts too.
+    Updates later than the watermark are left out. With ``expire_seconds``, a source silent for
+    longer is forgotten - a timer drops its state - and its next update counts as a change.
+    What a batch writes to the state store follows the sources of the batch, not all sources.
     """
-    if known is not None:
-        state = known.select("source_id", F.col("status").alias("_status"), F.col("ts").alias("_ts"))
-        updates = updates.join(state, "source_id", "left").where(F.col("_ts").isNull() | (F.col("ts") > F.col("_ts")))
-    else:
-        updates = updates.withColumn("_status", F.lit(None).cast("string"))
-    hourly = updates.withColumn("_hour", F.date_trunc("hour", "ts"))
-    last = hourly.groupBy("source_id", "_hour", "_status").agg(
-        F.max_by("status", F.struct("ts", "status")).alias("_last"), F.max("ts").alias("_at")
-    )
-    hours = Window.partitionBy("source_id").orderBy("_hour")
-    stitched = last.select(
-        "source_id", "_hour", F.coalesce(F.lag("_last").over(hours), "_status").alias("_before")
-    )
-    inside = Window.partitionBy("source_id", "_hour").orderBy("ts", "status")
-    before = F.coalesce(F.lag("status").over(inside), "_before")
-    changes = (
-        hourly.join(stitched, ["source_id", "_hour"]).withColumn("_before", before)
-        .where(~F.col("status").eqNullSafe(F.col("_before")))
-        .select("source_id", "status", "error", "http_status_code", "ts")
-    )
-    state = last.groupBy("source_id").agg(
-        F.max_by("_last", "_hour").alias("status"), F.max("_at").alias("ts")
+    expire = None if expire_seconds is None else expire_seconds * 1_000_000
+    return (
+        updates.select("source_id", "status", "error", "http_status_code", "ts").withWatermark("ts", delay)
+        .groupBy("source_id").applyInPandasWithState(
+            _status_processor(expire), _STATUS_CHANGE, _STATUS_STATE, "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
-    if known is not None:
-        rest = known.join(state.select("source_id"), "source_id", "left_anti")
-        state = state.unionByName(rest.select("source_id", "status", "ts"))
-    return changes, state
 
 
 def stream_status_changes(
-    updates: DataFrame, politician_sources: DataFrame, table: str, checkpoint: str, available_now: bool = False
+    updates: DataFrame, politician_sources: DataFrame, table: str, checkpoint: str, available_now: bool = False,
+    delay: str = "1 hour", expire_seconds: int | None = None,
 ) -> StreamingQuery:
-    """Write source updates that changed the status, with each politician of the source, to
-    ``table``/changes; updates that leave it as it was are silent. The last status and time per
-    source are a keyed snapshot under ``table``/state; every micro-batch reads that of the batch
-    before, and writes under its own number, so a retried batch replaces itself.
-    """
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = None
-        if number > 0:
-            known = spark.read.parquet(f"{table}/state/n={number - 1}")
-        changes, state = status_changes(batch, known)
-        changes.join(politician_sources, "source_id").write.mode("overwrite").parquet(f"{table}/changes/n={number}")
-        state.write.mode("overwrite").parquet(f"{table}/state/n={number}")
-
-    writer = updates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    """Append source updates that changed the status, with each politician of the source, to
+    ``table``; updates that leave it as it was are silent. See :func:`status_changes`."""
+    changes = status_changes(updates, delay, expire_seconds).join(politician_sources, "source_id")
+    writer = changes.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-#: Parts of the key that every event has.
-SALTS = 16
-
-
-def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
+def route_events(events: DataFrame, subscribers: DataFrame, tasks: int | None = None) -> DataFrame:
     """Each event ``(event_id, languages, countries)`` with each subscriber ``(subscriber_id,
     languages, countries)`` whose lists are empty or overlap it.
 
     An equality join on (language, country), an empty list standing for any; a pair sharing
-    several keys is kept for the first only, so no state is needed to drop duplicates. Every event
-    asks for (any, any), so that key is salted by event.
+    several keys is kept for the first only, so no state is needed to drop duplicates. Keys are
+    weighed first: one that holds more than its task's share of all events is salted in as many
+    parts as it has shares, and its subscribers are repeated for each; (any, any), which every
+    event asks for, is only the heaviest. There are fewer heavy keys than ``tasks``.
     """
     anything = F.array(F.lit("*"))
-
-    def keys(values: Column, wild: Column) -> Column:
-        return F.concat(values, wild)
-
     empty = F.array().cast("array<string>")
 
     def any_if_empty(c: str) -> Column:
@@ -111,23 +155,24 @@ def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
 
     sent = events.select(
         "event_id", F.col("languages").alias("_el"), F.col("countries").alias("_ec"),
-        F.explode(keys(F.array_distinct("languages"), anything)).alias("language"),
-    ).withColumn("country", F.explode(keys(F.array_distinct("_ec"), anything)))
+        F.explode(F.concat(F.array_distinct("languages"), anything)).alias("language"),
+    ).withColumn("country", F.explode(F.concat(F.array_distinct("_ec"), anything)))
     wanted = subscribers.select(
         "subscriber_id", F.col("languages").alias("_sl"), F.col("countries").alias("_sc"),
-        F.explode(keys(F.array_distinct("languages"), any_if_empty("languages"))).alias("language"),
-    ).withColumn("country", F.explode(keys(F.array_distinct("_sc"), any_if_empty("_sc"))))
-
-    any_any = (F.col("language") == "*") & (F.col("country") == "*")
-    sent = sent.withColumn("salt", F.when(any_any, F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int")).otherwise(0))
-    wanted = wanted.withColumn("salt", F.explode(
-        F.when(any_any, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    ))
+        F.explode(F.concat(F.array_distinct("languages"), any_if_empty("languages"))).alias("language"),
+    ).withColumn("country", F.explode(F.concat(F.array_distinct("_sc"), any_if_empty("_sc"))))
+    salts = _heavy(sent, ["language", "country"], tasks)
 
     def first_shared(own: str, other: str) -> Column:
         shared = F.array_intersect(own, other)
         return F.coalesce(F.get(shared, F.lit(0)), F.lit("*"))
 
+    sent = sent.join(salts, ["language", "country"], "left").withColumn(
+        "salt", F.pmod(F.xxhash64("event_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    )
+    wanted = wanted.join(salts, ["language", "country"], "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    )
     return (
         sent.join(wanted, ["language", "country", "salt"])
         .where((F.col("language") == first_shared("_el", "_sl"))
@@ -136,31 +181,56 @@ def route_events(events: DataFrame, subscribers: DataFrame) -> DataFrame:
     )
 
 
+def _heavy(rows: DataFrame, keys: list[str], tasks: int | None) -> DataFrame:
+    """(keys, parts): keys with more rows than a task's share, and how many shares they have."""
+    spark = rows.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    share = max(1, total // tasks)
+    heavy = counted.where(F.col("n") > share).collect()  # fewer than tasks + 1
+    schema = ", ".join(f"{k} string" for k in keys) + ", parts int"
+    found = [(*[r[k] for k in keys], -(-r["n"] // share)) for r in heavy]
+    return F.broadcast(spark.createDataFrame(found, schema))
+
+
+def stream_route_events(
+    events: DataFrame, subscribers: DataFrame, table: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Route a stream's events, keys weighed per micro-batch; a batch retried replaces itself."""
+    def step(batch: DataFrame, number: int) -> None:
+        route_events(batch, subscribers).write.mode("overwrite").parquet(f"{table}/n={number}")
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def stream_dump(
     spark: SparkSession, incoming: str, table: str, checkpoint: str, per_trigger: int = 16,
-    available_now: bool = False,
+    available_now: bool = False, buckets: int = 16,
 ) -> StreamingQuery:
-    """Ingest dump files as they arrive: entity names and relations of each micro-batch are
-    written under its number, which makes a retried batch replace itself. :func:`current_rows`
-    gives the table; nothing already written is read again."""
+    """Ingest dump files as they arrive: names and relations of each micro-batch go to a keyed
+    table each, ``table``/entities and ``table``/relations (see :mod:`kbcurate.sources.keyed`).
+    Lines are parsed once and written to the shared folder, from which both tables take their rows."""
     lines = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(incoming)
 
     def ingest(batch: DataFrame, number: int) -> None:
-        entities = parse_entities(batch).persist()
-        for name, rows, keys in [
-            ("entities", E.names(entities), ["wikidata_id"]),
-            ("relations", E.extract_relations(entities), ["statement_id"]),
-        ]:
-            last_per_key(rows, keys).write.mode("overwrite").parquet(
-                f"{table}/{name}/batch={number}"
-            )
-        entities.unpersist()
+        spark = batch.sparkSession
+        path = scratch_path(spark, "entities")
+        parsed = parse_entities(batch)
+        parsed.write.parquet(path)
+        entities = spark.read.schema(parsed.schema).parquet(path)
+        entity_names(spark, table, buckets).add(E.names(entities), number)
+        entity_relations(spark, table, buckets).add(E.extract_relations(entities), number)
+        remove(spark, path)
 
     writer = lines.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def current_rows(spark: SparkSession, table: str, name: str, keys: list[str]) -> DataFrame:
-    """The table as of the last batch: per key the row of the latest batch."""
-    rows = spark.read.parquet(f"{table}/{name}")
-    return last_per_key(rows, keys, ["batch"]).drop("batch")
+def entity_names(spark: SparkSession, table: str, buckets: int = 16) -> KeyedTable:
+    return KeyedTable(spark, f"{table}/entities", ["wikidata_id"], buckets)
+
+
+def entity_relations(spark: SparkSession, table: str, buckets: int = 16) -> KeyedTable:
+    return KeyedTable(spark, f"{table}/relations", ["statement_id"], buckets)

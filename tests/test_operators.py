@@ -136,25 +136,6 @@ def test_nested_infobox(spark):
     assert [r.b for r in got[2:]] == [None, None]
 
 
-def test_status_changes_of_one_hot_source_in_any_order(spark):
-    from kbcurate.streaming import streams
-
-    rng = np.random.default_rng(5)
-    start = datetime.datetime(2026, 1, 1)
-    rows = [("hot", "ABC"[(i // 1000) % 3], None, None, start + datetime.timedelta(seconds=i)) for i in range(40_000)]
-    rows += [("cold", "A", None, None, start)]
-    kind = "source_id string, status string, error string, http_status_code int, ts timestamp"
-    first, second = rows[:25_500] + rows[-1:], rows[25_400:-1] + [("cold", "B", None, None, start - datetime.timedelta(1))]
-    parts = [spark.createDataFrame([part[i] for i in rng.permutation(len(part))], kind).repartition(8) for part in (first, second)]
-    changes, state = streams.status_changes(parts[0], None)
-    found = changes.collect()
-    state = spark.createDataFrame(state.collect(), state.schema)
-    more, state = streams.status_changes(parts[1], state)
-    found += more.collect()
-    assert len([r for r in found if r.source_id == "hot"]) == 40 and len(found) == 41
-    assert sorted((r.source_id, r.status) for r in state.collect()) == [("cold", "A"), ("hot", "A")]
-
-
 def test_shared_folder_is_asked_for_on_a_cluster():
     from kbcurate.session import one_process
 
