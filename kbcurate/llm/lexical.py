@@ -80,7 +80,7 @@ def _postings(shared):
 class _Segment:
     """Postings of a run of documents, sorted by term, then document."""
 
-    def __init__(self, batches: list[pa.RecordBatch], weights: np.ndarray, count: int, length: int):
+    def __init__(self, batches: list[pa.RecordBatch], weights: np.ndarray, count: int, length: int, block: int = BLOCK):
         table = pa.Table.from_batches(batches).combine_chunks()
         ids = table.column("id")
         self.known = ids.is_valid().to_numpy()
@@ -98,7 +98,7 @@ class _Segment:
         self.docs = doc
         self.gains = weights[term] * (1_000_000_000 * tf // (1000 * tf + 20 * m[doc]))
         self.bounds = np.searchsorted(term, np.arange(len(weights) + 1))
-        self.blocks = -(-self.size // BLOCK)
+        self.block, self.blocks = block, -(-self.size // block)
 
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         span = slice(self.bounds[term], self.bounds[term + 1])
@@ -107,7 +107,7 @@ class _Segment:
     def block_bounds(self, docs: np.ndarray, gains: np.ndarray) -> np.ndarray:
         best = np.zeros(self.blocks, np.int64)
         if len(docs):
-            block = docs // BLOCK
+            block = docs // self.block
             heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             best[block[heads]] = np.maximum.reduceat(gains, heads)
         return best
@@ -139,13 +139,13 @@ class _Best:
         self.ids, self.known, self.scores = ids[order], known[order], scores[order]
 
 
-def _rank(segment: _Segment, asked: np.ndarray, best: _Best) -> None:
+def _rank(segment: _Segment, asked: np.ndarray, best: _Best, rare: int = SHORT) -> None:
     """Documents of a segment that belong to the best of an item."""
     lists = [segment.postings(t) for t in asked]
     lists = sorted((x for x in lists if len(x[0])), key=lambda x: len(x[0]))
     if not lists:
         return
-    short = sum(len(docs) * SHORT <= segment.size for docs, _ in lists)
+    short = sum(len(docs) * rare <= segment.size for docs, _ in lists)
     held = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if short:  # term at a time
         docs = np.concatenate([docs for docs, _ in lists[:short]])
@@ -175,41 +175,41 @@ def _rank(segment: _Segment, asked: np.ndarray, best: _Best) -> None:
             # a document first met here can still make it only in blocks with enough left
             open_blocks = some[after[i, some] >= floor]
             if len(open_blocks):
-                low = np.searchsorted(mine, open_blocks * BLOCK)
-                high = np.searchsorted(mine, open_blocks * BLOCK + BLOCK)
+                low = np.searchsorted(mine, open_blocks * segment.block)
+                high = np.searchsorted(mine, (open_blocks + 1) * segment.block)
                 width = high - low
                 pick = np.repeat(low - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
                 new = mine[pick]
                 fresh = ~np.isin(new, docs, assume_unique=True)
                 docs = np.concatenate([docs, new[fresh]])
                 scores = np.concatenate([scores, gains[pick][fresh]])
-            alive = scores + after[i + 1, docs // BLOCK] >= floor
+            alive = scores + after[i + 1, docs // segment.block] >= floor
             docs, scores = docs[alive], scores[alive]
         full = scores > 0
         docs, scores = docs[full], scores[full]
         best.add(segment.ids[docs], segment.known[docs], scores)
 
 
-def _search(shared, top: int):
+def _search(shared, top: int, size: int, block: int, rare: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weights, count, length = shared.value
         best = [_Best(top) for _ in items]
         held: list[pa.RecordBatch] = []
 
         def flush():
-            segment = _Segment(held, weights, count, length)
+            segment = _Segment(held, weights, count, length, block)
             for asked, mine in zip(items, best):
-                _rank(segment, asked, mine)
+                _rank(segment, asked, mine, rare)
             held.clear()
 
         rows = 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, SEGMENT - rows)
+                part = batch.slice(at, size - rows)
                 held.append(part)
                 rows, at = rows + part.num_rows, at + part.num_rows
-                if rows == SEGMENT:
+                if rows == size:
                     flush()
                     rows = 0
         if held:
@@ -239,6 +239,7 @@ def weight(count: int, df: int) -> int:
 def search(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", query_col: str = "text", top: int = TOP,
+    segment: int = SEGMENT, block: int = BLOCK, rare: int = SHORT,
 ) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``top`` documents of each item with a score above 0.
 
@@ -248,7 +249,8 @@ def search(
     of them. Terms of an item count once each. Empty tables give an empty result; extra columns are ignored.
 
     Items are ranked in blocks of ``ITEMS_A_BLOCK``, each a walk over the documents; what is
-    broadcast is the terms of one block and their weights.
+    broadcast is the terms of one block and their weights. ``segment``, ``block`` and ``rare`` shape the
+    index (documents of a segment, of a block, and how rare a short list's term is), not the result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lexical")
@@ -261,14 +263,14 @@ def search(
     )
     blocks = max(1, -(-seen["n"] // ITEMS_A_BLOCK))
     found = None
-    for block in range(blocks):
-        rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item").collect()
-        part = _ranked(scratch, plain, [(r["item"], r["terms"]) for r in rows], top)
+    for at in range(blocks):
+        rows = wanted.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == at).orderBy("item").collect()
+        part = _ranked(scratch, plain, [(r["item"], r["terms"]) for r in rows], top, (segment, block, rare))
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _ranked(scratch: Scratch, plain: DataFrame, rows: list, top: int) -> DataFrame:
+def _ranked(scratch: Scratch, plain: DataFrame, rows: list, top: int, shape: tuple[int, int, int]) -> DataFrame:
     spark = plain.sparkSession
     sc = spark.sparkContext
     vocabulary = sorted({bytes(t) for _, ts in rows for t in ts})
@@ -284,7 +286,7 @@ def _ranked(scratch: Scratch, plain: DataFrame, rows: list, top: int) -> DataFra
     number = {t: i for i, t in enumerate(vocabulary)}
     asked = [np.array([number[bytes(t)] for t in ts]) for _, ts in rows]
     best = index.where(F.size("terms") > 0).mapInArrow(
-        _search(sc.broadcast((asked, weights, seen["n"], seen["length"])), top), "item int, doc long, score long"
+        _search(sc.broadcast((asked, weights, seen["n"], seen["length"])), top, *shape), "item int, doc long, score long"
     )
     order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc").asc_nulls_last())
     names = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(rows)], "item int, item_id long")

@@ -6,7 +6,7 @@ import pytest
 from kbcurate.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "labels", "benchmark"]
+TABLES = ["documents", "embeddings", "labels", "benchmark", "conversations"]
 
 
 @pytest.fixture(scope="module")
