@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from kbcurate.session import scratch_path
@@ -33,6 +35,12 @@ class Scratch:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def sweep(self) -> None:
+        """Have shuffle files of finished steps removed now. Spark removes them once the driver's
+        garbage collection meets their plans, which may be after the job in a driver with little to do."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def count_rows():
     return F.count(F.lit(1)).alias("n")

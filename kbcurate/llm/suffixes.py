@@ -31,7 +31,7 @@ from kbcurate.llm.store import Scratch, count_rows, sized
 from kbcurate.llm.words import Rolling, mix, slices, sliding, to_long
 
 SIZE = 400
-GRAM, WINDOW = 16, 96
+GRAM, WINDOW = 16, 128
 #: Bytes handled at once; longer texts are picked in pieces that overlap.
 PIECE = 1 << 20
 
@@ -175,6 +175,7 @@ def double(phrases: DataFrame, scratch: Scratch) -> list[DataFrame]:
             rows.join(sized(again, seen["n"]), by).select("tid", "x", "reach", "rank"), count_rows()
         )
         scratch.drop(again)
+        scratch.sweep()
         return kept, found["n"]
 
     first = phrases.select("tid", F.posexplode(F.arrays_zip("hashes", "reach")).alias("x", "p")).select(
@@ -370,6 +371,7 @@ def remove_repeated_bytes(
         .mapInArrow(_strings(size, GRAM, WINDOW), "tid long, p0 long, p1 long, left long, right long, inner long, outer long, copied boolean")
     )
     scratch.drop(phrases, *levels)
+    scratch.sweep()
 
     string = ["tid", "p0", "p1", "left", "right", "inner", "copied"]
     outer = scratch.write(
@@ -387,6 +389,7 @@ def remove_repeated_bytes(
         heads.join(open_runs, "inner", "left_semi").groupBy("tid")
         .agg(F.collect_list(F.struct(*string[1:-1])).alias("asked")), count_rows(),
     )
+    scratch.sweep()
     windows = scratch.write(
         with_text(texts.join(asked, "tid"), count["n"]).mapInArrow(
             _ends(size), "tid long, p long, inner long, ends long"
@@ -396,6 +399,7 @@ def remove_repeated_bytes(
         windows.groupBy("inner", "ends").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("inner", "ends"),
         count_rows(),
     )
+    scratch.sweep()
     covered = windows.join(sized(again, found["n"]), ["inner", "ends"], "left_semi").select(
         "tid", F.col("p").alias("p0"), F.col("p").alias("p1")
     ).union(
@@ -407,6 +411,7 @@ def remove_repeated_bytes(
         .mapInArrow(_merge(size), "tid long, spans array<struct<start: long, end: long>>")
     )
     scratch.drop(strings, outer, asked, windows, again)
+    scratch.sweep()
     gone, count = scratch.write(
         texts.join(spans, "tid", "left").where(F.col("copied") | F.col("spans").isNotNull())
         .select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "copied", "spans"),
