@@ -2,7 +2,8 @@
 
 A sparse suffix array: suffixes start at bytes picked by winnowing (the same ones wherever the same
 ``WINDOW + GRAM`` bytes stand), which cut a text into phrases of at most ``WINDOW`` bytes that overlap by a
-gram. Ranks of suffixes by their first phrase are doubled: Spark sorts the distinct pairs (rank, rank 2**l
+gram; equal phrases in a row are one with a count, so that text with a short period has few. Ranks
+of suffixes by their first phrase are doubled: Spark sorts the distinct pairs (rank, rank 2**l
 phrases further on), a pair's place in that order is the new rank, and a position goes on only while its
 rank is shared and its phrases do not reach past the threshold. Pairs are counted before they are
 sorted, so a passage in a third of all texts is one row of the sort.
@@ -10,6 +11,7 @@ sorted, so a passage in a third of all texts is one row of the sort.
 From the ranks every string of ``SIZE`` bytes is judged. Its whole phrases are an inner run, and with the
 phrases at its ends an outer run; a run of any length is a pair of overlapping ranks.
 
+* a string inside a stretch of one phrase that is longer by a period stands there twice;
 * no shared rank for the inner run: the string is unique;
 * an outer run that occurs again: the string does as well;
 * else a repeat ends within its first or last phrase. Strings with the same inner run are compared
@@ -31,7 +33,7 @@ from kbcurate.llm.store import Scratch, count_rows, sized
 from kbcurate.llm.words import Rolling, mix, slices, sliding, to_long
 
 SIZE = 400
-GRAM, WINDOW = 16, 128
+GRAM, WINDOW = 16, 96
 #: Bytes handled at once; longer texts are picked in pieces that overlap.
 PIECE = 1 << 20
 
@@ -137,25 +139,33 @@ def _list_of(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
+def _repeated(counts: np.ndarray) -> np.ndarray:
+    """What a phrase that stands several times in a row adds to its hash."""
+    return np.where(counts > 1, mix(counts.astype(np.uint64)), np.uint64(0))
+
+
 def _cut_phrases(size: int, gram: int, window: int):
-    """Per text: picked positions, phrase hashes, and how many phrases from each one on are asked
-    for, that is until they are past the threshold."""
+    """Per text: picked positions, the runs that pick them, phrases (hash with count, and the number of the
+    first pick of each), and how many phrases from each one on can lie in one string."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, size=PIECE):
                 texts = part.column("text").cast(pa.large_binary()).to_pylist()
-                at, runs, hashes, reach = [], [], [], []
+                at, runs, phrases, heads, reach = [], [], [], [], []
                 for picks, first, found in phrases_of(texts, gram, window):
+                    head = _changes(found)
+                    counts = np.diff(np.append(head, len(found)))
+                    start = np.concatenate([[0], picks])[head]
                     at.append(picks)
                     runs.append(first)
-                    hashes.append(found.view(np.int64))
-                    x = np.arange(len(found))
-                    past = np.searchsorted(picks, picks + size - gram)  # the pick that ends the last string
-                    reach.append(np.append(past, len(picks)) - x + 1)
+                    phrases.append((found[head] + _repeated(counts)).view(np.int64))
+                    heads.append(head)
+                    reach.append(np.searchsorted(start, start + size, side="right") - np.arange(len(head)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("tid"), pa.array([len(t) for t in texts], pa.int64()), _list_of(at, pa.int32()),
-                     _list_of(runs, pa.int32()), _list_of(hashes, pa.int64()), _list_of(reach, pa.int32())],
-                    names=["tid", "n", "picks", "runs", "hashes", "reach"],
+                     _list_of(runs, pa.int32()), _list_of(phrases, pa.int64()), _list_of(heads, pa.int32()),
+                     _list_of(reach, pa.int32())],
+                    names=["tid", "n", "picks", "runs", "phrases", "heads", "reach"],
                 )
     return run
 
@@ -178,8 +188,8 @@ def double(phrases: DataFrame, scratch: Scratch) -> list[DataFrame]:
         scratch.sweep()
         return kept, found["n"]
 
-    first = phrases.select("tid", F.posexplode(F.arrays_zip("hashes", "reach")).alias("x", "p")).select(
-        "tid", "x", F.col("p.hashes").alias("phrase"), F.col("p.reach").alias("reach")
+    first = phrases.select("tid", F.posexplode(F.arrays_zip("phrases", "reach")).alias("x", "p")).select(
+        "tid", "x", F.col("p.phrases").alias("phrase"), F.col("p.reach").alias("reach")
     )
     now, n = shared(first, ["phrase"], 0)
     levels = [now]
@@ -199,20 +209,51 @@ def double(phrases: DataFrame, scratch: Scratch) -> list[DataFrame]:
     return levels
 
 
-def _run_keys(ranks: np.ndarray, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each run of ``c`` phrases from ``x`` on, and whether both of its ranks are shared."""
-    level = np.frexp(c)[1] - 1
-    held = level < len(ranks)
-    level = np.where(held, level, 0)
-    a, b = ranks[level, x], ranks[level, x + c - (1 << level)]
-    key = mix(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64))
-    key = mix(key ^ b.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return key.view(np.int64), held & (a >= 0) & (b >= 0)
+class _Phrases:
+    """Phrases of all texts of a batch in a row: single ones by number, and those in a row that are equal
+    as one with its count and ranks."""
+
+    def __init__(self, batch: pa.RecordBatch, singles: np.ndarray):
+        n = len(singles)
+        self.before = np.concatenate([[0], np.cumsum(singles)])[:-1]  # single phrases of texts before
+        bounds, phrases = _lists(batch.column("phrases"))
+        _, heads = _lists(batch.column("heads"))
+        self.text = np.repeat(np.arange(n), np.diff(bounds))
+        self.head = self.before[self.text] + heads
+        self.count = np.diff(np.append(self.head, singles.sum()))
+        self.kind = phrases.view(np.uint64) - _repeated(self.count)
+        self.of = np.repeat(np.arange(len(heads)), self.count)
+        rows, flat = _lists_of_structs(batch.column("ranks"))
+        owner = np.repeat(np.arange(n), np.diff(rows))
+        level, x, rank = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("level", "x", "rank"))
+        self.ranks = np.full((int(level.max(initial=0)) + 1, len(heads)), -1, np.int64)
+        self.ranks[level, bounds[owner] + x] = rank
+
+    def run_keys(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each run of ``c`` single phrases from ``x`` on, and whether the ranks of what lies
+        between its first and its last phrase are shared."""
+        first, last = self.of[x], self.of[x + c - 1]
+        inside = last - first - 1
+        held = inside > 0
+        level = np.frexp(np.maximum(inside, 1))[1] - 1
+        known = held & (level < len(self.ranks))
+        level = np.where(known, level, 0)
+        a = self.ranks[level, np.where(known, first + 1, 0)]
+        b = self.ranks[level, np.where(known, last - (1 << level), 0)]
+        alone = first == last
+        begins = np.where(alone, c, self.head[first] + self.count[first] - x).astype(np.uint64)
+        ends = np.where(alone, 0, x + c - self.head[last]).astype(np.uint64)
+        odd, other = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+        key = mix(self.kind[first] + begins * odd)
+        key = np.where(held, mix(key ^ (a.view(np.uint64) * other + inside.astype(np.uint64))), key)
+        key = np.where(held, mix(key + b.view(np.uint64) * odd), key)
+        key = np.where(alone, key, mix(key ^ (self.kind[last] + ends * other)))
+        return key, ~held | (known & (a >= 0) & (b >= 0))
 
 
 def _strings(size: int, gram: int, window: int):
-    """Ranges of string starts with one inner and one outer run, where the inner run may repeat:
-    (tid, p0, p1, left, right, inner, outer), inner bytes being ``[left, right)``.
+    """Ranges of string starts with one inner and one outer run, where the inner run may repeat: (tid, p0,
+    p1, left, right, inner, outer), inner bytes being ``[left, right)``; and ranges that are ``sure``.
 
     The inner run goes from the pick of a string's first run of grams to that of its last; what is
     picked between depends on the string alone. The outer run goes from the last pick not after
@@ -229,35 +270,54 @@ def _strings(size: int, gram: int, window: int):
             many = np.diff(bounds)
             text = np.repeat(np.arange(len(n)), many)
             g, first = base[text] + picks, base[text] + runs  # of all texts in a row
-            phrase0 = bounds[:-1] + np.arange(len(n))
-            rows, flat = _lists_of_structs(batch.column("ranks"))
-            owner = np.repeat(np.arange(len(n)), np.diff(rows))
-            level, x, rank = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("level", "x", "rank"))
-            ranks = np.full((int(level.max()) + 1, len(g) + len(n)), -1, np.int64)
-            ranks[level, phrase0[owner] + x] = rank
+            phrases = _Phrases(batch, many + 1)
+
+            # stretches of one phrase: picks from head - 1 to head - 1 + count of the text, a period apart
+            long = np.flatnonzero(phrases.count > 1)
+            at = phrases.head[long] - phrases.text[long] - 1
+            low, period = g[at], g[at + 1] - g[at]
+            high = g[at + phrases.count[long]] + gram - size  # last string inside
+            sure = high - low >= period
+            low, dead, high, of_sure = low[sure], (low + period + 1)[sure], high[sure], phrases.text[long][sure]
 
             last, to = base + n - size, size - gram - window + 1
             cuts = np.concatenate([base, g, g + gram - size + 1, first, first - to])
             of = np.concatenate([np.arange(len(n)), text, text, text, text])
             cuts = np.unique(cuts[(cuts >= base[of]) & (cuts <= last[of])])
+            within = np.searchsorted(dead, cuts, side="right") - 1
+            if len(dead):
+                cuts = cuts[(within < 0) | (cuts > high[np.maximum(within, 0)])]
+                begin = dead[dead <= high]
+                cuts = np.unique(np.concatenate([cuts, begin, high[high < last[of_sure]] + 1]))
+                skip = np.isin(cuts, begin)
+            else:
+                skip = np.zeros(len(cuts), bool)
             of = np.searchsorted(base, cuts, side="right") - 1
             end = np.minimum(np.append(cuts[1:], np.iinfo(np.int64).max) - 1, last[of])
+            cuts, of, end = cuts[~skip], of[~skip], end[~skip]
             i = np.searchsorted(first, cuts, side="right") - 1
             j = np.searchsorted(first, cuts + to, side="right") - 1
-            inner, again = _run_keys(ranks, i + 1 + of, j - i)
+            inner, again = phrases.run_keys(i + 1 + of, j - i)
             cuts, end, of, i, j, inner = (v[again] for v in (cuts, end, of, i, j, inner))
             a = np.maximum(np.searchsorted(g, cuts, side="right") - 1, bounds[of] - 1)
             e = np.minimum(np.searchsorted(g, cuts + size - gram), bounds[of + 1])
-            outer, twice = _run_keys(ranks, a + 1 + of, e - a)
+            outer, twice = phrases.run_keys(a + 1 + of, e - a)
             begin = np.where(a >= bounds[of], g[np.maximum(a, 0)], base[of])
-            outer = mix(outer.view(np.uint64) + (cuts - begin).astype(np.uint64)).view(np.int64)
+            outer = mix(outer + (cuts - begin).astype(np.uint64))
+            zero = np.zeros(len(low), np.int64)
+            every = np.concatenate([of, of_sure])
+            columns = [
+                np.concatenate([cuts, low]) - base[every], np.concatenate([end, high]) - base[every],
+                np.concatenate([g[i] - base[of], zero]), np.concatenate([g[j] + gram - base[of], zero]),
+                np.concatenate([inner.view(np.int64), zero]),
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("tid").take(pa.array(of)), pa.array(cuts - base[of]), pa.array(end - base[of]),
-                    pa.array(g[i] - base[of]), pa.array(g[j] + gram - base[of]), pa.array(inner),
-                    pa.array(outer, mask=~twice), batch.column("copied").take(pa.array(of)),
+                    batch.column("tid").take(pa.array(every)), *map(pa.array, columns),
+                    pa.array(np.concatenate([outer.view(np.int64), zero]), mask=np.concatenate([~twice, zero == 0])),
+                    batch.column("copied").take(pa.array(every)), pa.array(np.arange(len(every)) >= len(of)),
                 ],
-                names=["tid", "p0", "p1", "left", "right", "inner", "outer", "copied"],
+                names=["tid", "p0", "p1", "left", "right", "inner", "outer", "copied", "sure"],
             )
     return run
 
@@ -357,7 +417,7 @@ def remove_repeated_bytes(
 
     phrases = scratch.write(
         with_text(texts, seen["n"]).select("tid", "text").mapInArrow(
-            _cut_phrases(size, GRAM, WINDOW), "tid long, n long, picks array<int>, runs array<int>, hashes array<long>, reach array<int>"
+            _cut_phrases(size, GRAM, WINDOW), "tid long, n long, picks array<int>, runs array<int>, phrases array<long>, heads array<int>, reach array<int>"
         )
     )
     levels = double(phrases, scratch)
@@ -367,8 +427,9 @@ def remove_repeated_bytes(
         every = rows if every is None else every.union(rows)
     ranked = every.groupBy("tid").agg(F.collect_list("r").alias("ranks"))
     strings = scratch.write(
-        phrases.select("tid", "n", "picks", "runs").join(texts.select("tid", "copied"), "tid").join(ranked, "tid")
-        .mapInArrow(_strings(size, GRAM, WINDOW), "tid long, p0 long, p1 long, left long, right long, inner long, outer long, copied boolean")
+        phrases.drop("reach").join(texts.select("tid", "copied"), "tid").join(ranked, "tid", "left")
+        .where(F.col("ranks").isNotNull() | (F.size("heads") <= F.size("picks")))  # or nothing in it repeats
+        .mapInArrow(_strings(size, GRAM, WINDOW), "tid long, p0 long, p1 long, left long, right long, inner long, outer long, copied boolean, sure boolean")
     )
     scratch.drop(phrases, *levels)
     scratch.sweep()
@@ -380,7 +441,7 @@ def remove_repeated_bytes(
     )
     alone = ((F.col("c") == 1) & ~F.col("copied")).alias("alone")
     heads = outer.select("s.*", "c").union(
-        strings.where(F.col("outer").isNull()).select(*string, F.lit(1).cast("long"))
+        strings.where(F.col("outer").isNull() & ~F.col("sure")).select(*string, F.lit(1).cast("long"))
     ).select(*string[:-1], alone)
     open_runs = heads.groupBy("inner").agg(F.count(F.lit(1)).alias("c"), F.max("alone").alias("any")).where(
         "c > 1 AND any"
@@ -402,6 +463,8 @@ def remove_repeated_bytes(
     scratch.sweep()
     covered = windows.join(sized(again, found["n"]), ["inner", "ends"], "left_semi").select(
         "tid", F.col("p").alias("p0"), F.col("p").alias("p1")
+    ).union(
+        strings.where("sure AND NOT copied").select("tid", "p0", "p1")
     ).union(
         strings.where(~F.col("copied")).join(outer.where("c > 1").select("outer"), "outer", "left_semi")
         .select("tid", "p0", "p1")

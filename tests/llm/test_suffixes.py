@@ -98,7 +98,7 @@ def test_long_texts_are_picked_in_pieces(spark, monkeypatch):
 def test_one_very_long_text(spark):
     rng = random.Random(9)
     part = noise(rng, 450)
-    text = noise(rng, 1_200_000) + part + noise(rng, 1000) + part
+    text = noise(rng, 1_200_000) + "A" + part + "B" + noise(rng, 1000) + "C" + part
     (row,) = remove_repeated_bytes(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     size = len(part.encode())
     at = len(text.encode()) - size
