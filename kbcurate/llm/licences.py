@@ -162,7 +162,8 @@ def scan(
     least ``threshold`` over all lines, the whole text and passages (ties: the first in order of licence; null
     and 0.0 if none), and the number of segments that match any template.
 
-    A null or empty text matches nothing; ids may be null or repeated; extra columns are ignored.
+    A null or empty text matches nothing; ids may be null or repeated (each row is scanned); extra
+    columns are ignored; an empty table gives an empty result; texts are scanned whole.
     """
     rows = template_rows(templates, threshold)
     low, high = min(r[3] for r in rows), max(r[4] for r in rows)
@@ -179,17 +180,10 @@ def scan(
 
     text = F.regexp_replace(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), _OTHER, " ")
     clean = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("clean"))
-    lines = F.split("clean", "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.regexp_replace("clean", r"[ \n]+", " "))).otherwise(F.array().cast("array<string>"))
-    # a segment may repeat bigrams, so its words bound them from above only
-
-    segments = clean.select("id", "clean", F.filter(
-        F.transform(F.concat(lines, whole), lambda x: F.trim(x)),
-        lambda x: words(x) > low,
-    ).alias("segments"))
-    sets = segments.select("id", "clean", F.filter(
-        F.transform("segments", _bigrams), lambda g: (F.size(g) >= low) & (F.size(g) <= high)
-    ).alias("sets"))
+    marks = F.array(*map(F.lit, anchors(rows)))
+
+    def marked(x: Column) -> Column:
+        return F.arrays_overlap(F.split(x, " "), marks)
 
     def best(grams: Column) -> Column:
         near = F.filter(known, lambda t: (F.size(grams) >= t["least"]) & (F.size(grams) <= t["most"]))
@@ -197,20 +191,37 @@ def scan(
             (2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])).alias("score"), t["at"].alias("at"),
         )))
 
-    scored = sets.select("id", "clean", F.filter(F.transform("sets", best), lambda b: b["score"] >= threshold).alias("hits"))
-
-    def matches(segment: Column) -> Column:
-        return F.coalesce(_let(_bigrams(F.trim(segment)), lambda g: best(g)["score"]) >= threshold, F.lit(False))
-
-    none = F.array().cast("array<struct<s:int,e:int,score:double,at:int>>")
-    some = F.arrays_overlap(F.split(F.translate("clean", "\n", " "), " "), F.array(*map(F.lit, anchors(rows))))
-    rest = F.trim(F.regexp_replace(F.array_join(F.filter(F.split("clean", "\n"), lambda x: ~matches(x)), " "), " +", " "))
-    found = _let(_pairs(rest), lambda g: F.flatten(F.transform(
-        F.filter(known, lambda t: F.size(F.array_intersect(g, t["grams"])) >= t["least"]),
-        lambda t: _windows(g, t, threshold),
+    def judged(segment: Column) -> Column:
+        """The best template of a segment; null if it is none's. A match has an anchor word; a
+        segment may repeat bigrams, so its words bound them from below only."""
+        hit = _let(_bigrams(segment), lambda g: _let(
+            F.when((F.size(g) >= low) & (F.size(g) <= high), best(g)), lambda b: F.when(b["score"] >= threshold, b)
+        ))
+        return F.when((words(segment) > low) & marked(segment), hit)
+
+    # what has no anchor word has no match of any kind
+    lines = F.when(marked(F.translate("clean", "\n", " ")), F.split("clean", "\n"))
+    parts = clean.select("id", F.transform(lines, lambda x: F.trim(x)).alias("lines"))
+    whole = F.trim(F.regexp_replace(F.array_join("lines", " "), " +", " "))
+    found = parts.select("id", F.transform("lines", lambda x: F.struct(x.alias("line"), judged(x).alias("b"))).alias("lines"),
+                         F.when(F.size("lines") > 1, judged(whole)).alias("whole"))
+    rest = F.trim(F.regexp_replace(F.array_join(
+        F.transform(F.filter("lines", lambda x: x["b"].isNull()), lambda x: x["line"]), " "
+    ), " +", " "))
+    scored = found.select(
+        "id", F.filter(F.concat(F.transform("lines", lambda x: x["b"]), F.array("whole")), lambda b: b.isNotNull()).alias("hits"),
+        # a text that is nothing but a licence has no passages
+        F.when(F.col("whole").isNull() & ((F.size("lines") > 1) | F.get("lines", F.lit(0))["b"].isNull()), rest).alias("rest"),
+    )
+    every = F.array(*map(F.lit, sorted({g for r in rows for g in r[2]})))
+    some = F.when(marked(F.col("rest")), _let(_pairs(F.col("rest")), lambda g: _let(
+        F.array_intersect(g, every), lambda held: F.flatten(F.transform(
+            F.filter(known, lambda t: F.size(F.array_intersect(held, t["grams"])) >= t["least"]),
+            lambda t: _windows(g, t, threshold),
+        ))
     )))
-    at_once = F.exists(F.array(F.regexp_replace("clean", r"[ \n]+", " ")), matches)
-    windows = scored.select("id", "hits", F.when(some & ~at_once, found).otherwise(none).alias("windows"))
+    none = F.array().cast("array<struct<s:int,e:int,score:double,at:int>>")
+    windows = scored.select("id", "hits", F.coalesce(some, none).alias("windows"))
 
     def join(x: Column, w: Column) -> Column:
         return F.struct((x["n"] + (w["s"] > x["e"]).cast("int")).alias("n"), F.greatest(x["e"], w["e"]).alias("e"))
@@ -218,8 +229,9 @@ def scan(
     passages = F.aggregate(
         F.array_sort("windows"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")), join, lambda x: x["n"]
     )
-    both = F.concat("hits", F.transform("windows", lambda w: F.struct(w["score"].alias("score"), w["at"].alias("at"))))
-    top = windows.select("id", F.array_max(both).alias("top"), (F.size("hits") + passages).cast("long").alias("n_segments"))
+    hits = F.coalesce("hits", F.array().cast("array<struct<score:double,at:int>>"))
+    both = F.concat(hits, F.transform("windows", lambda w: F.struct(w["score"].alias("score"), w["at"].alias("at"))))
+    top = windows.select("id", F.array_max(both).alias("top"), (F.size(hits) + passages).cast("long").alias("n_segments"))
     return top.select(
         "id", F.when(F.col("n_segments") > 0, F.get(names, -F.col("top.at"))).alias("licence"),
         F.coalesce(F.col("top.score"), F.lit(0.0)).alias("score"), "n_segments",
