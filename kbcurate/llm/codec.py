@@ -59,8 +59,8 @@ class _Model:
         self.one = one
         mixed = two.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + one.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         self.slot = (mixed >> np.uint64(46)).astype(np.int64)
-        self.p1, self.p2 = self.guess1[one], self.guess2[self.slot]
-        self.c1, self.c2 = self.sure1[one], self.sure2[self.slot]
+        self.p1, self.p2 = self.guess1.take(one), self.guess2.take(self.slot)
+        self.c1, self.c2 = self.sure1.take(one), self.sure2.take(self.slot)
         self.row = (self.c2.astype(np.int64) << 3) + (self.c1 << 1) + (self.p1 == self.p2)
 
     def kinds(self, ids: np.ndarray) -> np.ndarray:

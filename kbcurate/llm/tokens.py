@@ -13,8 +13,8 @@ import xxhash
 
 from kbcurate.llm.words import encode, split_words
 
-#: Words a worker remembers; when full, it starts anew.
-CACHE_WORDS = 400_000
+#: Words a worker remembers, about 40 bytes each; when full, it starts anew.
+CACHE_WORDS = 800_000
 
 
 #: Letters that lower to one letter and stand alone under NFC, so that a run of them is one word
@@ -42,35 +42,58 @@ class WordIds:
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}  # ids as 32-bit integers
-
-    def _learn(self, words: pa.Array) -> None:
-        plain = pc.match_substring_regex(words, _PLAIN)
-        rest = words.filter(pc.invert(plain)).to_pylist()
-        words = words.filter(plain).to_pylist()
-        chunks = [words[at:at + 2000] for at in range(0, len(words), 2000)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)
-        for some, found in zip(chunks, joined):
+        self._keep(pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _keep(self, words: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The known words with the ids of all of them in a row."""
+        self.words, self.sizes, self.ids = words, sizes, ids
+
+    def _learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of new words, and all ids in the order of the words."""
+        sizes = np.zeros(len(words), np.int64)
+        parts = []
+        plain = pc.match_substring_regex(words, _PLAIN).to_numpy(zero_copy_only=False)
+        alone = [np.flatnonzero(~plain)]
+        joint = np.flatnonzero(plain)
+        chunks = [joint[at:at + 2000] for at in range(0, len(joint), 2000)]
+        texts = [" ".join(words.take(pa.array(c)).to_pylist()) for c in chunks]
+        for at, found in zip(chunks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(found.ids, np.uint32)
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            if len(cuts) == len(some):
-                raw = ids.tobytes()
-                self.cache.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(at):
+                sizes[at] = np.diff(cuts, prepend=0)
+                parts.append((at, ids))
             else:
-                rest += some
-        for at in range(0, len(rest), 20_000):
-            some = rest[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.cache.update(zip(some, (np.array(x.ids, np.uint32).tobytes() for x in found)))
-
-    def _of_words(self, words: pa.Array) -> list[bytes]:
-        names, cache = words.to_pylist(), self.cache
-        new = [w for w in names if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            self.cache = cache = {w: cache[w] for w in names if w in cache}
-        if new:
-            self._learn(pa.array(new, pa.large_string()))
-        return [cache[w] for w in names]
+                alone.append(at)
+        alone = np.concatenate(alone)
+        for at in range(0, len(alone), 20_000):
+            some = alone[at:at + 20_000]
+            found = self.tokenizer.encode_batch_fast(words.take(pa.array(some)).to_pylist(), add_special_tokens=False)
+            sizes[some] = [len(x.ids) for x in found]
+            parts.append((some, np.array([i for x in found for i in x.ids], np.uint32)))
+        ids = np.empty(int(sizes.sum()), np.uint32)
+        first = np.cumsum(sizes) - sizes
+        for at, mine in parts:
+            ids[_spread(first[at], sizes[at])] = mine
+        return sizes, ids
+
+    def _of_words(self, words: pa.Array) -> np.ndarray:
+        """Places of words among the known ones, which new ones join. When they are too many, only
+        those of this call stay."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        place = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.words) + len(new) > CACHE_WORDS:
+            held = place[place >= 0]
+            first = np.cumsum(self.sizes) - self.sizes
+            ids = self.ids[_spread(first[held], self.sizes[held])]
+            self._keep(self.words.take(pa.array(held)), self.sizes[held], ids)
+            place[place >= 0] = np.arange(len(held))
+        if len(new):
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            sizes, ids = self._learn(new)
+            self._keep(pa.concat_arrays([self.words, new]), np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids]))
+        return place
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Bounds per document and all ids, each document closed by ``end_id``."""
@@ -81,21 +104,24 @@ class WordIds:
         if not len(flat):
             return np.arange(docs + 1), np.full(docs, end_id, np.uint32)
         index, distinct = encode(flat)
-        lists = self._of_words(distinct)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
-        table = np.frombuffer(b"".join(lists), np.uint32)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        count = sizes[index]
+        place = self._of_words(distinct.cast(pa.large_string()))[index]
+        first = np.cumsum(self.sizes) - self.sizes
+        count = self.sizes[place]
         ends = np.concatenate([[0], np.cumsum(count)])
         bounds = ends[start] + np.arange(docs + 1)
-        shift = np.repeat(first[index] - ends[:-1], count)
         ids = np.full(bounds[-1], end_id, np.uint32)
         held = np.ones(bounds[-1], bool)
         held[bounds[1:] - 1] = False
-        ids[held] = table[shift + np.arange(ends[-1])]
+        ids[held] = self.ids[_spread(first[place], count)]
         return bounds, ids
 
 
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as its size, in a row."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))
+
+
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """The encoder of a worker process, whose cache serves task after task."""

@@ -55,7 +55,8 @@ def test_counts_query(spark):
 
 def test_files_round_trip(spark, tmp_path):
     group = texts(9, 120)
-    rows = [(i * 3, t, "x") for i, t in enumerate(group)] + [(6, "twice", "x"), (None, "no id", "x")]
+    rows = [(i * 3, t, "x") for i, t in enumerate(group)] + [(6, "twice", "x")]
+    rows += [(None, "no id", "x"), (None, None, "x"), (None, "no id", "x"), (1, "word " * 40_000, "x")]
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string").repartition(4)
     files = tokenfile.write_tokens(docs, f"file://{tmp_path}", WORDS, parts=5, file_tokens=300)
@@ -63,15 +64,15 @@ def test_files_round_trip(spark, tmp_path):
     assert files.count() >= 5 and not list(tmp_path.glob("_*"))
     got = tokenfile.read_tokens(spark, f"file://{tmp_path}", files).collect()
     plain, at = Tokenizer.from_file(WORDS), 0
-    kept = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    kept = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     assert len(got) == len(kept)
     by_start = sorted(got, key=lambda r: r["start"])
     for r, nxt in zip(by_start, [*by_start[1:], None]):
         assert r["start"] == at and zlib.crc32(r["ids"]) == r["ids_crc32"]
         at += r["n_tokens"]
     assert [r["id"] for r in by_start] == [r[0] for r in kept]
-    want = sorted((i, tuple(plain.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, _ in kept)
-    assert sorted((r["id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
+    want = sorted(((i, tuple(plain.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, _ in kept), key=repr)
+    assert sorted(((r["id"], tuple(np.frombuffer(r["ids"], "<u4").tolist())) for r in got), key=repr) == want
     broken = next(tmp_path.glob("*.tok"))
     data = bytearray(broken.read_bytes())
     data[40] ^= 255
@@ -79,6 +80,17 @@ def test_files_round_trip(spark, tmp_path):
         list(tokenfile.file_documents(bytes(data)))
 
 
+def test_a_partition_written_twice_is_read_once(spark, tmp_path):
+    """The second run of a task leaves files beside those of the first; the plan names one of them."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").repartition(2)
+    plan = tokenfile.write_tokens(docs, f"file://{tmp_path}", WORDS, parts=3)
+    plan.collect()
+    second = spark.createDataFrame(plan.collect(), plan.schema)
+    assert len(list(tmp_path.glob("*.tok"))) == 2 * second.count()
+    got = tokenfile.read_tokens(spark, f"file://{tmp_path}", second).collect()
+    assert sorted(r["id"] for r in got) == list(range(40))
+
+
 def test_no_documents_no_files(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     files = tokenfile.write_tokens(docs, f"file://{tmp_path}", WORDS, parts=2)
