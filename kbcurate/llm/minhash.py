@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from kbcurate.llm.graph import components
+from kbcurate.llm.memory import tidy
 from kbcurate.llm.store import Scratch, count_rows, sized
 from kbcurate.llm.words import Rolling, hash_words, mix, slices, to_long
 
@@ -38,6 +39,8 @@ ESTIMATE = 0.60
 BUCKET = 512
 CHUNK = 256
 PIVOTS = 8
+#: Bytes of text sketched at once.
+SLICE = 1 << 20
 
 _FACTORS = np.random.default_rng(20260101).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -86,7 +89,7 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=SLICE):
             bounds, spans = shingle_sets(part.column("text"))
             n = np.diff(bounds)
             full = np.flatnonzero(n)
@@ -227,7 +230,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped(rows: DataFrame, key: str, worker, partitions: int) -> DataFrame:
-    return rows.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(worker, "a long, b long")
+    return rows.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(tidy(worker), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     sketches = scratch.write(plain.mapInArrow(
-        _sketch, "id long, n long, k1 long, k2 long, bands array<long>, values binary"
+        tidy(_sketch), "id long, n long, k1 long, k2 long, bands array<long>, values binary"
     ))
     usable = sketches.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = scratch.write(usable.groupBy("k1", "k2").agg(F.min("id").alias("class")))

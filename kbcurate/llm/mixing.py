@@ -166,25 +166,24 @@ def mix(
 
 def mixed_documents(docs: DataFrame, found: Mix, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, then one row of the first words (joined
-    by one space) where it takes a part. Rows of which it takes nothing are gone."""
+    by one space) where it takes a part. Rows of which it takes nothing are gone, null and empty texts
+    among them. Rows with the same id (null too) and text are one: what the mix takes of all of
+    them stands in one of their rows. Extra columns, whatever their names, are kept."""
     given = found.taken.where(F.col("taken") > 0).groupBy("id", "text_key").agg(
-        F.sum("copies").alias("_copies"), F.collect_list(F.when(F.col("part") > 0, F.col("part"))).alias("_parts"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
+        F.sum("copies").alias("copies"), F.collect_list(F.when(F.col("part") > 0, F.col("part"))).alias("parts"),
+        F.count(F.lit(1)).alias("n"),
+    ).select(F.col("id").alias("wanted"), "text_key", "copies", "parts", "n")
     text = F.col(f"`{text_col}`")
-    keyed = docs.withColumn("_key", F.md5(F.coalesce(text, F.lit("")).cast("binary"))).withColumn(
-        "_id", F.col(f"`{id_col}`").cast("long")
-    )
-    same = F.col("_id").eqNullSafe(F.col("id2")) & (F.col("_key") == F.col("text_key"))
-    joined = keyed.join(given.withColumnRenamed("id", "id2"), same)
-    # rows of one id and text share what the mix takes of them: the first takes it all
-    first = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
-    single = joined.where(F.col("_rows") == 1)
-    shared = joined.where(F.col("_rows") > 1).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-    wanted = F.concat(
-        F.array_repeat(F.lit(-1).cast("long"), F.col("_copies").cast("int")), F.col("_parts")
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+        text.alias("text"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("key"),
     )
-    rows = single.unionByName(shared).withColumn("_take", F.explode(wanted))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"))
-    cut = F.when(F.col("_take") >= 0, F.array_join(F.slice(words, F.lit(1), F.col("_take").cast("int")), " ")).otherwise(text)
-    return rows.withColumn(text_col, cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = keyed.join(given, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("key") == F.col("text_key")))
+    rows = joined.where("n = 1").unionByName(joined.where("n > 1").dropDuplicates(["id", "key"]))
+    take = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int")), F.col("parts"))
+    rows = rows.select("row", "text", F.explode(take).alias("take"))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
+    cut = F.when(F.col("take") >= 0, F.array_join(F.slice(words, F.lit(1), F.col("take").cast("int")), " ")).otherwise(F.col("text"))
+    return rows.select(*[
+        cut.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns
+    ])

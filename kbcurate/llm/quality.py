@@ -7,9 +7,10 @@ The finished tables are written to the shared folder in shards of bounded size b
 before the predicted one; a worker takes a batch of documents through one shard after another,
 so its memory is bounded whatever the model's size, and adds up what each shard says.
 
-Characters predict a word said again and again well, so a text also pays for each word that equals
-the one before it what that is worth in trusted text (``-log`` of its share of neighbours), and for
-each that does not.
+Characters predict what is said again and again well, so a text also pays for each word that is a
+repeat what that is worth in trusted text (``-log`` of its share of words), and for each that is not. A
+repeat is a word equal to the one before it, or the last of ``LOOP`` words in a row that stood in the
+text before, which makes loops of any length cost.
 
 A document goes if its shrunk cost per character lies above its language's threshold: a quantile of
 the costs of the trusted documents of that language, each scored by a model that did not see it.
@@ -19,14 +20,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kbcurate.llm.memory import tidy
 from kbcurate.llm.store import Scratch, count_rows, sized
-from kbcurate.llm.words import mix, slices
+from kbcurate.llm.words import Rolling, hash_words, mix, slices, window_starts
 
 ORDER = 4
 #: Rows of a model shard, about 40 bytes each in a worker.
@@ -38,6 +40,9 @@ BINS = 1000
 #: Share of unseen trusted documents of a language at or below its threshold.
 QUANTILE = 0.995
 
+#: Words in a row that make a repeat if they stood in the text before.
+LOOP = 4
+
 #: Bytes of text handled at once; a character takes up to 100 bytes on the way.
 SLICE = 2 << 20
 
@@ -125,15 +130,21 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return some.select("lang", d(1, 0.5).alias("d1"), d(2, 1.0).alias("d2"), d(3, 1.5).alias("d3"))
 
 
-def train(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> Model:
-    """Model of the texts of ``trusted``. Null texts count as empty, null languages as ``''``."""
-    spark = trusted.sparkSession
-    scratch = Scratch(spark, "quality")
+def gram_counts(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """(lang, gram, c) of the texts of ``trusted``. Null texts count as empty, null languages as ``''``."""
     plain = trusted.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
-    counts, seen = scratch.write(
-        plain.mapInArrow(_count(order), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")),
-        count_rows(),
-    )
+    return plain.mapInArrow(tidy(_count(order)), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def train(trusted: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> Model:
+    """Model of the texts of ``trusted``."""
+    return train_counts(gram_counts(trusted, lang_col, text_col, order), order)
+
+
+def train_counts(grams: DataFrame, order: int = ORDER) -> Model:
+    """Model of counted grams of the highest order."""
+    scratch = Scratch(grams.sparkSession, "quality")
+    counts, seen = scratch.write(grams, count_rows())
     tasks = max(6, -(-seen["n"] // 250_000))
     tables = {order: (counts, seen["n"])}
     for k in range(order - 1, 0, -1):
@@ -210,14 +221,17 @@ class _Shard:
         if system.get_file_info(where).type == fs.FileType.NotFound:
             return  # nothing was trusted
         table = ds.dataset(where, filesystem=system, format="parquet").to_table()
+        table = table.combine_chunks()
         langs, kinds = table.column("lang").to_numpy(), table.column("kind").to_numpy()
-        grams, values = table.column("gram").to_pylist(), table.column("value").to_numpy()
-        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
-        hashes = np.zeros(len(grams), np.uint64)
+        values, grams = table.column("value").to_numpy(), table.column("gram").cast(pa.large_string())
+        sizes = pc.utf8_length(grams).to_numpy()
+        hashes = np.zeros(len(sizes), np.uint64)
         for k in range(1, model.order + 1):
-            rows = np.flatnonzero(sizes == k)
-            raw = "".join([grams[i] for i in rows]).encode("utf-32-le", "surrogatepass")
-            hashes[rows] = _keys(np.frombuffer(raw, np.uint32), k)[k][k - 1::k]
+            same = sizes == k
+            if same.any():
+                raw = _joined(grams.filter(pa.array(same))).encode("utf-32-le", "surrogatepass")
+                hashes[same] = _keys(np.frombuffer(raw, np.uint32), k)[k][k - 1::k]
+        del table, grams
         for lang in set(langs):
             mine, found = langs == lang, []
             for kind in (0, 1):
@@ -228,6 +242,15 @@ class _Shard:
             self.tables[lang] = (*found, unknown[0] if len(unknown) else 0.0)
 
 
+def _joined(column: pa.ChunkedArray) -> str:
+    """All values in a row, without a Python string of each."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset:chunk.offset + len(chunk) + 1]
+        parts.append(chunk.buffers()[2][int(ends[0]):int(ends[-1])].to_pybytes())
+    return b"".join(parts).decode("utf-8", "surrogatepass")
+
+
 def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     hashes, values = table
     if not len(hashes):
@@ -252,20 +275,28 @@ def _log_probabilities(keys: list[np.ndarray], places: np.ndarray, order: int, t
     return out
 
 
-def _neighbours(texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
-    """Neighbouring words of each text, and how many of them are equal."""
-    pairs, repeats = [], []
-    for text in texts:
-        words = (text or "").split()
-        pairs.append(max(0, len(words) - 1))
-        repeats.append(sum(map(eq, words, words[1:])))
-    return pa.array(pairs, pa.int64()), pa.array(repeats, pa.int64())
+def _repeats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words after the first of each text, and how many of them are repeats: equal to the word before,
+    or the last of ``LOOP`` words in a row that stood in the text before."""
+    words = hash_words(texts)
+    counts = words.counts
+    doc = np.repeat(np.arange(len(counts)), counts)
+    again = np.zeros(len(doc), bool)
+    if len(doc):
+        again[1:] = (words.hash[1:] == words.hash[:-1]) & (doc[1:] == doc[:-1])
+        begin, of = window_starts(words.start, LOOP)
+        grams = Rolling(words.hash).spans(begin, begin + LOOP)
+        order = np.lexsort((begin, grams, of))
+        known = np.zeros(len(order), bool)
+        known[1:] = (grams[order[1:]] == grams[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+        again[begin[order[known]] + LOOP - 1] = True
+    return np.maximum(counts - 1, 0), np.bincount(doc[again], minlength=len(counts))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(id, lang, n, logp, pairs, repeats) per row: predicted characters (the end included) and their
-    summed log probability, neighbouring words and how many of them are equal; logp is null in a
-    language without trusted text."""
+    summed log probability, words after the first and how many of them are repeats; logp is null in
+    a language without trusted text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, _Shard] = {}
@@ -273,7 +304,7 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str
             for part in slices(batch, size=SLICE // 2):
                 n, logp = np.ones(part.num_rows, np.int64), np.zeros(part.num_rows)
                 known = np.zeros(part.num_rows, bool)
-                pairs, repeats = _neighbours(part.column("text").to_pylist())
+                pairs, repeats = _repeats(part.column("text"))
                 for shard in range(model.shards):
                     if shard not in kept:
                         kept = {shard: _Shard(model, shard)}
@@ -294,19 +325,20 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", lang_col: str
                         ends = np.searchsorted(places, bounds)
                         logp[rows] += sums[ends[1:]] - sums[ends[:-1]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("lang"), pa.array(n), pa.array(logp, mask=~known), pairs, repeats],
+                    [part.column("id"), part.column("lang"), pa.array(n), pa.array(logp, mask=~known),
+                     pa.array(pairs, pa.int64()), pa.array(repeats, pa.int64())],
                     names=["id", "lang", "n", "logp", "pairs", "repeats"],
                 )
 
     plain = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
     )
-    return plain.mapInArrow(run, "id long, lang string, n long, logp double, pairs long, repeats long")
+    return plain.mapInArrow(tidy(run), "id long, lang string, n long, logp double, pairs long, repeats long")
 
 
 def thresholds(trusted: DataFrame) -> DataFrame:
-    """(lang, rate, mean, threshold) from scores of trusted documents: the share of neighbouring words
-    that are equal, the mean cost per character, and the ``QUANTILE`` of shrunk costs."""
+    """(lang, rate, mean, threshold) from scores of trusted documents: the share of words that are
+    repeats, the mean cost per character, and the ``QUANTILE`` of shrunk costs."""
     rates = trusted.groupBy("lang").agg(((F.sum("repeats") + 0.5) / (F.sum("pairs") + 1)).alias("rate"))
     rated = trusted.join(F.broadcast(rates), "lang")  # one row per language
     means = rated.groupBy("lang").agg((-F.sum(whole()) / F.sum("n")).alias("mean"))
@@ -321,7 +353,7 @@ def thresholds(trusted: DataFrame) -> DataFrame:
 
 
 def whole() -> Column:
-    """Log probability of a text's characters and of which of its words repeat the one before."""
+    """Log probability of a text's characters and of which of its words are repeats."""
     repeats, pairs, rate = F.col("repeats"), F.col("pairs"), F.col("rate")
     return F.col("logp") + repeats * F.log(rate) + (pairs - repeats) * F.log(1 - rate)
 
@@ -339,7 +371,7 @@ def classify(
 
     The model is trained on the documents whose id is in ``trusted_ids`` (column ``id``); thresholds
     come from two further models, each of one half of them by a hash of the id and scoring the other
-    half (a language with one half only has the costs of the model that saw it). ``perplexity`` is of the
+    half; the counts of both halves add up to the model's (a language with one half only has the costs of the model that saw it). ``perplexity`` is of the
     characters alone. A text
     without characters has the cost of its end alone, shrunk to the mean, and stays; so does
     a document in a language without trusted text, with null figures. A null language is one of
@@ -353,13 +385,15 @@ def classify(
     trusted = scratch.write(docs.join(few, F.col(f"`{id_col}`").cast("long") == F.col("_trusted"), "left_semi").select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
     ))
-    scored = scratch.write(scores(docs, train(trusted, order=order), id_col, lang_col, text_col))
     half = F.xxhash64(F.col("id").cast("long")).bitwiseAND(F.lit(1))
+    halves = [scratch.write(gram_counts(trusted.where(half == k), order=order)) for k in (0, 1)]
+    all_counts = halves[0].union(halves[1]).groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    scored = scratch.write(scores(docs, train_counts(all_counts, order), id_col, lang_col, text_col))
     unseen = [
-        scratch.write(scores(trusted.where(half == k), train(trusted.where(half != k), order=order), "id").where("logp IS NOT NULL"))
+        scratch.write(scores(trusted.where(half == k), train_counts(halves[1 - k], order), "id").where("logp IS NOT NULL"))
         for k in (0, 1)
     ]
-    scratch.drop(trusted)
+    scratch.drop(trusted, *halves)
     fitted = scratch.write(thresholds(unseen[0].union(unseen[1])).coalesce(1))
     seen_only = scored.join(sized(ids, seen["n"]), "id", "left_semi").where("logp IS NOT NULL")
     seen_only = seen_only.join(F.broadcast(fitted.select("lang")), "lang", "left_anti").select(scored.columns)

@@ -64,3 +64,27 @@ def test_defined_results_on_odd_rows(spark, tmp_path):
     spark.createDataFrame([], kind).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], labels).write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    """Columns named like those the stages make pass through every stage but the last."""
+    names = ["text_key", "id2", "_take", "_key", "_copies", "_parts", "_rows", "_id", "row", "spans", "id", "component", "keep", "n"]
+    rng = random.Random(3)
+    words = ["the", "of", "and", "er", "in"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(70)), "en", f"s{i % 2}", 1, *[f"{c}{i}" for c in names]) for i in range(12)]
+    rows.append((None, None, None, None, None, *[None] * len(names)))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        if at < 4:
+            assert out.columns == docs.columns, name
+            for r in out.collect():
+                if r.doc_id is not None:
+                    assert [r[c] for c in names] == [f"{c}{r.doc_id}" for c in names], name
+        path = f"{folder}/{at}"
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    assert docs.count() > 0

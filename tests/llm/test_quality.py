@@ -131,3 +131,50 @@ def test_one_trusted_document_has_a_threshold(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat", "en")], "doc_id long, text string, lang string")
     row = quality.classify(docs, spark.createDataFrame([(1,)], "id long")).collect()[0]
     assert row["threshold"] is not None and row["keep"]
+
+
+def test_loops_of_words_and_sentences_go(spark):
+    """A pair of words, five words, or twenty words of a good text said 20 to 200 times, in each language:
+    trained on even labelled documents, the loops made of odd ones; good odd documents stay."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id % 2 = 0").selectExpr("doc_id AS id")
+    good = docs.join(labels.where("quality = 1 AND toxic = 0 AND doc_id % 2 = 1").select("doc_id"), "doc_id")
+    made, rng = [], random.Random(8)
+    for lang in sorted({r["lang"] for r in good.select("lang").distinct().collect()}):
+        texts = [r["text"].split() for r in good.where(good["lang"] == lang).orderBy("doc_id").limit(60).collect()]
+        texts = [t for t in texts if len(t) >= 25]
+        for size in (2, 5, 20):
+            for _ in range(20):
+                words = rng.choice(texts)
+                at = rng.randrange(len(words) - size)
+                made.append((-1 - len(made), lang, size, " ".join(words[at:at + size] * rng.randint(20, 200))))
+    loops = spark.createDataFrame(made, "doc_id long, lang string, size int, text string")
+    every = docs.select("doc_id", "lang", "text").unionByName(loops.select("doc_id", "lang", "text"))
+    kept = {r["id"]: r["keep"] for r in quality.classify(every, trusted).collect()}
+    share = {n: [kept[i] for i, _, size, _ in made if size == n] for n in (2, 5, 20)}
+    fine = [kept[r["doc_id"]] for r in good.select("doc_id").collect()]
+    print({n: (sum(x), len(x)) for n, x in share.items()}, sum(fine), len(fine))
+    every = sum(share.values(), [])
+    assert sum(every) <= 0.1 * len(every) and all(sum(x) <= 0.2 * len(x) for x in share.values())
+    assert sum(fine) >= 0.99 * len(fine)
+
+
+def test_repeats():
+    import pyarrow as pa
+
+    pairs, repeats = quality._repeats(pa.array(["a a b", None, "", "x", "a b c d e a b c d f", "p q " * 5, "a b c d", "a b c d"]))
+    assert pairs.tolist() == [2, 0, 0, 0, 9, 9, 3, 3]
+    assert repeats.tolist() == [1, 0, 0, 0, 1, 5, 0, 0]
+
+
+def test_ties_repeated_rows_and_a_very_long_text(spark):
+    rows = [(1, "the cat sat on the mat", "en"), (1, "the cat sat on the mat", "en"), (2, "the cat sat on the mat", "en"),
+            (3, "the dog sat on the cat " * 30_000, "en"), (None, "the cat sat on the mat", "en"), (4, "the cat sat", None)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, cost string")
+    got = quality.classify(docs, spark.createDataFrame([(1,), (2,), (1,), (None,)], "id long")).collect()
+    assert len(got) == len(rows)
+    same = {(r["cost"], r["threshold"], r["keep"]) for r in got if r["n_chars"] == 23}
+    assert len(same) == 1 and same.pop()[2]  # equal texts at the threshold stay together
+    assert [r["keep"] for r in got if r["lang"] == ""] == [True]
+    assert [r["keep"] for r in got if r["id"] == 3] == [False]
