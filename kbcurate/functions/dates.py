@@ -70,7 +70,7 @@ def _day0(d: Column) -> Column:
 
 def date_key(d: Column) -> Column:
     """Chronological sort key: year, month or 0, day or 0, as one number."""
-    return (year(d) * 10000 + _month0(d) * 100 + _day0(d)).cast("long")
+    return year(d).cast("long") * 10000 + _month0(d) * 100 + _day0(d)
 
 
 def text_time(text: Column) -> Column:
@@ -139,42 +139,38 @@ def over_years_ago(d: Column, years: int, as_of: Column) -> Column:
     return F.when(d.isNotNull(), verdict)
 
 
-def _pick(cond: Column, a: Column, b: Column) -> Column:
-    return F.when(cond, a).otherwise(b)
+def span(d: Column) -> Column:
+    """The period a date names, as struct<level,own,key,low,high>: its precision, its own number at that
+    precision, its sort key, and the least and greatest sort key of a finer date in it. A precision
+    below a millennium or beyond a day holds no finer date."""
+    p, y = _p(d), year(d).cast("long")
+    key = y * 10000 + _month0(d) * 100 + _day0(d)
+    month_key = y * 10000 + _month0(d) * 100
+    whole_years = p.between(MILLENNIUM, YEAR)
+    years = F.when(p == MILLENNIUM, 1000).when(p == CENTURY, 100).when(p == DECADE, 10).otherwise(1)
+    first = F.when(p == MILLENNIUM, F.floor((y - 1) / 1000) * 1000 + 1).when(p == DECADE, F.floor(y / 10) * 10).otherwise(y)
+    low = F.when(whole_years, first * 10000).when(p == MONTH, month_key).when(p == DAY, key).otherwise(1)
+    high = F.when(whole_years, (first + years) * 10000 - 1).when(p == MONTH, month_key + 99).when(p == DAY, key).otherwise(0)
+    own = F.when(p <= YEAR, y * 10000).when(p == MONTH, month_key).otherwise(key)
+    return F.struct(p.alias("level"), own.alias("own"), key.alias("key"), low.alias("low"), high.alias("high"))
+
+
+def may_agree(a: Column, b: Column) -> Column:
+    """:func:`could_be_same` of two spans: equal at a shared level, or the finer one's key in the period
+    of the coarser."""
+    return F.when(a["level"] == b["level"], a["own"] == b["own"]).otherwise(
+        F.when(a["level"] < b["level"], b["key"].between(a["low"], a["high"]))
+        .otherwise(a["key"].between(b["low"], b["high"]))
+    )
 
 
 def could_be_same(a: Column, b: Column) -> Column:
     """Two dates may name the same time: equal at a shared precision, or the finer one falls in
     the period of the coarser one. Two nulls agree, one null never does."""
-    pa, pb = _p(a), _p(b)
-    ya, yb = year(a), year(b)
-    same_month = _month0(a) == _month0(b)
-    same_day = _day0(a) == _day0(b)
-    coarse_p = F.least(pa, pb)
-    coarse_y, fine_y = _pick(pa <= pb, ya, yb), _pick(pa <= pb, yb, ya)
-    equal_level = (
-        F.when(pa <= YEAR, ya == yb)
-        .when(pa == MONTH, (ya == yb) & same_month)
-        .otherwise((ya == yb) & same_month & same_day)
-    )
-    contained = (
-        F.when(
-            coarse_p == MILLENNIUM,
-            F.floor((coarse_y - 1) / 1000) == F.floor((fine_y - 1) / 1000),
-        )
-        .when(coarse_p == CENTURY, fine_y.between(coarse_y, coarse_y + 99))
-        .when(coarse_p == DECADE, F.floor(coarse_y / 10) == F.floor(fine_y / 10))
-        .when(coarse_p == YEAR, ya == yb)
-        .when(coarse_p == MONTH, (ya == yb) & same_month)
-        .when(coarse_p == DAY, (ya == yb) & same_month & same_day)
-        .otherwise(F.lit(False))
-    )
-    return (
-        F.when(a.isNull() & b.isNull(), F.lit(True))
-        .when(a.isNull() | b.isNull(), F.lit(False))
-        .when(pa == pb, equal_level)
-        .otherwise(contained)
-    )
+    # each span is made once, as an element that a lambda is given
+    both = F.array(F.struct(span(a).alias("a"), span(b).alias("b")))
+    verdict = F.get(F.transform(both, lambda x: may_agree(x["a"], x["b"])), F.lit(0))
+    return F.when(a.isNull() & b.isNull(), F.lit(True)).when(a.isNull() | b.isNull(), F.lit(False)).otherwise(verdict)
 
 
 def more_precise(a: Column, b: Column) -> Column:

@@ -185,16 +185,31 @@ def infobox(wikitext: Column) -> Column:
     return F.when(end > 0, F.nullif(F.regexp_replace(inside, r"(?i)^\s*infobox", ""), F.lit("")))
 
 
-# a template, with templates inside to a depth of three
-_ONE = r"\{\{[^{}]*\}\}"
-_TWO = rf"\{{\{{(?:[^{{}}]|{_ONE})*\}}\}}"
-_TEMPLATE = rf"\{{\{{(?:[^{{}}]|{_TWO})*\}}\}}"
+# comments whole, brackets of templates and links, bars, and what lies between
+_MARKS = r"(?s)(<!--.*?-->|\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|<]++|.)"
+_BAR = "\u0002"
+
+
+def _fields(box: Column) -> Column:
+    """Fields of a template's text: it is split at the bars outside of templates, links and comments,
+    however deep they nest, by a running depth of their brackets."""
+    parts = F.regexp_extract_all(box, F.lit(_MARKS), 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, part: Column) -> Column:
+        opened = part.isin("{{", "[[").cast("int") - part.isin("}}", "]]").cast("int")
+        piece = F.when((part == "|") & (s["depth"] == 0), _BAR).otherwise(part)
+        return F.struct(
+            F.greatest(s["depth"] + opened, F.lit(0)).alias("depth"), F.concat(s["out"], F.array(piece)).alias("out")
+        )
+
+    return F.split(F.array_join(F.aggregate(parts, zero, step)["out"], ""), _BAR)
 
 
 def _field(box: Column, name: str) -> Column:
-    raw = F.regexp_extract(
-        box, rf"(?is)\|\s*{name}\s*=((?:[^|{{}}\[\]]|{_TEMPLATE}|\[\[[^\[\]]*\]\]|[\[\]](?![\[\]]))*)", 1
-    )
+    """Value of the first field of a name, in any case; null without one or if it is blank."""
+    first = F.get(F.filter(_fields(box), lambda f: f.rlike(rf"(?i)^\s*{name}\s*=")), F.lit(0))
+    raw = F.regexp_replace(first, r"(?s)^[^=]*=", "")
     return F.nullif(F.btrim(raw, F.lit(" \t\r\n")), F.lit(""))
 
 

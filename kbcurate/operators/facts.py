@@ -28,17 +28,22 @@ BLOCK = ["politician_id", "type", "place"]
 # --- pairwise comparison --------------------------------------------------------------------
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Adds ``place`` (the entity, for facts that need one), of which no text is parsed."""
+    is_date = F.col("type").isin(DATE_TYPES)
+    return df.withColumn("place", F.when(is_date, F.lit("")).otherwise(F.coalesce("entity_id", F.lit(""))))
+
+
 def fact_view(df: DataFrame) -> DataFrame:
-    """Adds ``date``, ``start``, ``end`` and ``place`` (the entity, for facts that need one)."""
+    """Adds ``date``, ``start``, ``end`` and ``place``."""
     is_date = F.col("type").isin(DATE_TYPES)
     terms = F.when(F.col("type") == POSITION, F.col("qualifiers_json"))
     return (
-        D.with_qualifiers(df, terms)
+        D.with_qualifiers(placed(df), terms)
         .withColumns({
             "date": F.when(is_date, D.imprecise(F.col("value"), F.col("value_precision"))),
             "start": D.first_date("P580"),
             "end": D.first_date("P582"),
-            "place": F.when(is_date, F.lit("")).otherwise(F.coalesce("entity_id", F.lit(""))),
         })
         .drop("P580", "P582")
     )
@@ -101,47 +106,33 @@ def value_key() -> Column:
     )
 
 
-def _frame_keys(view: DataFrame, keep: list[str], kinds: list[tuple[str, Column, Column]]) -> DataFrame:
-    """One row per combination of a start key and an end key, for each ``(tag, start keys, end
-    keys)``. Key arrays are made once per row, combinations by two generators."""
-    arrays = view.select(
-        *keep,
-        F.array(*[
-            F.struct(F.lit(tag).alias("tag"), starts.alias("starts"), ends.alias("ends"))
-            for tag, starts, ends in kinds
-        ]).alias("kinds"),
-    )
-    return (
-        arrays.select(*keep, F.inline("kinds"))
-        .select(*keep, "tag", "ends", F.explode("starts").alias("s"))
-        .select(*keep, "tag", "s", F.explode("ends").alias("e"))
-        .select(*keep, F.concat_ws("|", "tag", "s", "e").alias("key"))
-    )
+def _start_bins(view: DataFrame, keep: list[str], stored: bool, coarser_too: bool = True) -> DataFrame:
+    """Rows of ``view`` under the bins of their start: two terms whose starts may name the same time
+    meet in one. Terms on file lie in their own bin and those of coarser dates (``a``), candidates look
+    in their own and in those of finer ones; with ``coarser_too`` also the other way around (``b``)."""
+    near, far = (_same_or_finer, D.container_keys) if stored else (_same_or_coarser, D.ancestor_keys)
+    bins = F.transform(near("start"), lambda k: F.concat(F.lit("a"), k))
+    if coarser_too:
+        bins = F.concat(bins, F.transform(far("start"), lambda k: F.concat(F.lit("b"), k)))
+    return view.select(*keep, F.explode(bins).alias("key"))
 
 
 def _match_keys(view: DataFrame, keep: list[str], stored: bool) -> DataFrame:
-    """Rows of ``view`` under their match keys.
+    """Rows of ``view`` under their match keys, office terms left out.
 
     Known facts (``stored``) are filed as they are and as the finer one; candidates look as they
-    are and as the coarser one. Office terms combine both ends, and may also be finer at one end
-    and coarser at the other, which counts as equal. An undated candidate term, a birthplace or a
-    citizenship only asks for anything in its block.
+    are and as the coarser one. An undated candidate term, a birthplace or a citizenship only asks
+    for anything in its block.
     """
-    start, end = F.col("start"), F.col("end")
     side = _same_or_finer if stored else _same_or_coarser
     is_date = F.col("type").isin(DATE_TYPES)
-    dated = (F.col("type") == POSITION) & (start.isNotNull() | end.isNotNull())
     dates = view.where(is_date).select(*keep, F.explode(side("date")).alias("key"))
-    whole = view.where(~is_date if stored else ~is_date & ~dated).select(
-        *keep, F.lit("any").alias("key")
-    )
-    up, down = (D.ancestor_keys, D.container_keys) if not stored else (D.container_keys, D.ancestor_keys)
-    frames = _frame_keys(
-        view.where(dated), keep,
-        [("=", side("start"), side("end")), (">", up("start"), down("end")),
-         ("<", down("start"), up("end"))],
-    )
-    return dates.unionByName(whole).unionByName(frames)
+    whole = view.where(~is_date if stored else ~is_date & ~_is_term()).select(*keep, F.lit("any").alias("key"))
+    return dates.unionByName(whole)
+
+
+def _is_term() -> Column:
+    return (F.col("type") == POSITION) & (F.col("start").isNotNull() | F.col("end").isNotNull())
 
 
 def _candidate_values(view: DataFrame) -> DataFrame:
@@ -151,32 +142,43 @@ def _candidate_values(view: DataFrame) -> DataFrame:
     )
 
 
+def _in_blocks(facts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Live facts of the blocks that candidates ask for; nothing of either is parsed."""
+    live = placed(facts.where(F.col("deleted_at").isNull()))
+    return live.join(placed(candidates).select(*BLOCK).distinct(), BLOCK, "left_semi")
+
+
 def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """(cand_id, fact_id): the first live fact, by creation time and id, that equals a candidate
     or is more precise than it.
 
-    Distinct candidate values, and the facts of their blocks, are written first: each is read
-    once per kind of key, and their dates are parsed once.
+    Facts are cut to the candidates' blocks before their dates are parsed; distinct values of both
+    are written first, as each is read once per kind of key. Office terms meet in bins of
+    their start, and their ends and precisions are compared there; pairs are made only of
+    distinct terms of one politician, office and bin.
     """
     cands = fact_view(candidates).withColumn("vkey", value_key())
     values = written(_candidate_values(cands), "values")
-    stored = fact_view(facts.where(F.col("deleted_at").isNull()))
+    stored = fact_view(_in_blocks(facts, candidates)).withColumn("vkey", value_key())
     filed = written(
-        stored.join(values.select(*BLOCK).distinct(), BLOCK, "left_semi")
-        .withColumn("fact", F.struct("created_at", "id"))
-        .select(*BLOCK, "date", "start", "end", "fact"),
-        "filed",
+        stored.groupBy(*BLOCK, "vkey").agg(
+            F.first("date").alias("date"), F.first("start").alias("start"), F.first("end").alias("end"),
+            F.min(F.struct("created_at", "id")).alias("fact"),
+        ), "filed",
     )
     index = (
         _match_keys(filed, [*BLOCK, "fact"], stored=True)
         .groupBy(*BLOCK, "key").agg(F.min("fact").alias("fact"))
     )
-    found = (
-        _match_keys(values, [*BLOCK, "vkey"], stored=False)
-        .join(index, [*BLOCK, "key"])
-        .groupBy(*BLOCK, "vkey")
-        .agg(F.min("fact").alias("fact"))
-    )
+    plain = _match_keys(values, [*BLOCK, "vkey"], stored=False).join(index, [*BLOCK, "key"]).select(*BLOCK, "vkey", "fact")
+    theirs = _start_bins(filed.where(_is_term()), [*BLOCK, "fact", "start", "end"], stored=True)
+    ours = _start_bins(values.where(_is_term()), [*BLOCK, "vkey", F.col("start").alias("s"), F.col("end").alias("e")], stored=False)
+    start, end, s, e = F.col("start"), F.col("end"), F.col("s"), F.col("e")
+    finer = (D.finer(s, start) | D.finer(e, end)) & ~(D.finer(start, s) | D.finer(end, e))
+    terms = ours.join(theirs, [*BLOCK, "key"]).where(
+        D.could_be_same(s, start) & D.could_be_same(e, end) & ~finer
+    ).select(*BLOCK, "vkey", "fact")
+    found = plain.unionByName(terms).groupBy(*BLOCK, "vkey").agg(F.min("fact").alias("fact"))
     return cands.join(found, [*BLOCK, "vkey"]).select("cand_id", F.col("fact.id").alias("fact_id"))
 
 
@@ -203,10 +205,10 @@ def _distinct_terms(view: DataFrame) -> DataFrame:
 def _office_terms(facts: DataFrame, blocks: DataFrame) -> DataFrame:
     """Live dated terms of the given offices, one row per distinct term, at most two copies of
     it: a third copy links exactly like the second."""
-    view = fact_view(
-        facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull())
-    ).join(blocks, ["politician_id", "place"], "left_semi")
-    return _distinct_terms(view.where(F.col("start").isNotNull()))
+    view = placed(facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull())).join(
+        blocks, ["politician_id", "place"], "left_semi"
+    )
+    return _distinct_terms(fact_view(view).where(F.col("start").isNotNull()))
 
 
 def chain_ends(terms: DataFrame) -> DataFrame:
@@ -274,16 +276,13 @@ def subsumed(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     )
     blocks = values.select(*office).distinct().join(many, office, "left_semi")
     chains = chain_ends(written(_office_terms(facts, blocks), "terms"))
-    offered = _frame_keys(
-        chains, office,
-        [("=", _same_or_finer("start"), _same_or_finer("chain_end"))],
-    ).distinct()
+    offered = written(chains.select(*office, "start", "chain_end").distinct(), "offered")
+    theirs = _start_bins(offered, [*office, "chain_end"], stored=True, coarser_too=False)
+    ours = _start_bins(values, [*office, "vkey", "end"], stored=False, coarser_too=False)
+    end, told = F.col("end"), F.col("chain_end")
+    same = [ours[c] == theirs[c] for c in [*office, "key"]]
     hit = (
-        _frame_keys(
-            values, [*office, "vkey"],
-            [("=", _same_or_coarser("start"), _same_or_coarser("end"))],
-        )
-        .join(offered, [*office, "key"], "left_semi")
+        ours.join(theirs, [*same, D.could_be_same(end, told) & ~D.finer(end, told)], "left_semi")
         .select(*office, "vkey").distinct()
     )
     return cands.join(hit, [*office, "vkey"], "left_semi").select("cand_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,6 +15,7 @@ from kbcurate.schemas import (
     BIRTHPLACE, CITIZENSHIP, COUNTRY, DATE_TYPES, INSTANCE_OF, JURISDICTION, LOCATED_IN, PART_OF,
     POSITION, SUBCLASS_OF,
 )
+from kbcurate.session import written
 from kbcurate.sources.tables import live
 
 # Fixed value: name of the coverage row of people without citizenship.
@@ -318,6 +321,46 @@ def review_sections(facts: DataFrame) -> DataFrame:
             tie_break("id").alias("tie"),
         )
     )
+    rows = written(rows, "review")  # qualifiers are parsed once
+    counts = rows.groupBy("politician_id").agg(F.count(F.lit(1)).alias("n"))
+    heavy = counts.where(F.col("n") > HEAVY).select("politician_id")
+    if heavy.isEmpty():
+        return _placed_together(rows)
+    return _placed_together(rows.join(heavy, "politician_id", "left_anti")).unionByName(
+        _placed_in_steps(rows.join(heavy, "politician_id", "left_semi"))
+    )
+
+
+#: Facts of a politician that are placed in one task; those of one with more are placed in steps.
+HEAVY = 100_000
+_PLACES = ["politician_id", "section", "group_rank", "group_key", "item_rank", "id"]
+
+
+def _group_order() -> tuple[Column, Column]:
+    """Dates keep birth before death whatever their values."""
+    dates = F.col("section") == 0
+    return (
+        F.when(dates, 0).otherwise(F.col("prec")),
+        F.when(dates, F.substring("group_key", 2, 9).try_cast("long")).otherwise(F.col("key")),
+    )
+
+
+def _placed_together(rows: DataFrame) -> DataFrame:
+    """Both ranks over one shuffle by politician."""
+    section = Window.partitionBy("politician_id", "section")
+    group = Window.partitionBy("politician_id", "section", "group_key").orderBy("prec", "key", "tie", "id")
+    prec, key = _group_order()
+    first = F.first(F.struct(prec.alias("prec"), key.alias("key"))).over(group)
+    ranked = rows.repartition("politician_id").select(
+        "*", F.row_number().over(group).cast("long").alias("item_rank"), first.alias("first"),
+        tie_break("group_key").alias("gtie"),
+    )
+    order = section.orderBy("first.prec", "first.key", "gtie", "group_key")
+    return ranked.withColumn("group_rank", F.dense_rank().over(order).cast("long")).select(*_PLACES)
+
+
+def _placed_in_steps(rows: DataFrame) -> DataFrame:
+    """Both ranks without a whole politician in one task."""
     group = ["politician_id", "section", "group_key"]
     steps = {
         "prec": F.col("prec"), "year": F.floor(F.col("key") / 10000),
@@ -329,16 +372,12 @@ def review_sections(facts: DataFrame) -> DataFrame:
         "prec": F.col("prec"), "year": F.floor(F.col("key") / 10000),
         "key": F.col("key"), "tie": F.substring("gtie", 1, 2),
     }
-    # dates keep birth before death whatever their values
+    prec, key = _group_order()
     placed = spread_rank(
-        firsts.withColumn("prec", F.when(F.col("section") == 0, 0).otherwise(F.col("prec")))
-        .withColumn("key", F.when(F.col("section") == 0, F.substring("group_key", 2, 9).try_cast("long"))
-                    .otherwise(F.col("key"))),
+        firsts.withColumns({"prec": prec, "key": key}),
         ["politician_id", "section"], gsteps, [F.col("gtie"), F.col("group_key")], "group_rank",
     ).select(*group, "group_rank")
-    return items.join(placed, group).select(
-        "politician_id", "section", "group_rank", "group_key", "item_rank", "id"
-    )
+    return items.join(placed, group).select(*_PLACES)
 
 
 def initial_source(sections: DataFrame, facts: DataFrame, references: DataFrame) -> DataFrame:
@@ -406,15 +445,29 @@ def politician_context(
 # --- filter form ----------------------------------------------------------------------------
 
 
-def plain_text(text: Column) -> Column:
-    """Lower case without accents: decomposition is not a Spark function, so the Latin letters
-    that carry accents are translated."""
-    return F.translate(F.lower(text), ACCENTED, UNACCENTED)
+#: Combining marks that are accents.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
 
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Letters that carry accents and what is left of them: each character whose canonical decomposition
+    without accents is one other character, of all of Unicode."""
+    carried, left = [], []
+    for code in range(0xC0, 0x110000):
+        letter = chr(code)
+        if unicodedata.decomposition(letter) and letter not in MARKS:
+            plain = "".join(c for c in unicodedata.normalize("NFD", letter) if c not in MARKS)
+            if len(plain) == 1 and plain != letter:
+                carried.append(letter)
+                left.append(plain)
+    return "".join(carried), "".join(left)
 
-# Accented Latin letters and their base letters.
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-UNACCENTED = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+def plain_text(text: Column) -> Column:
+    """Lower case without accents, whether a letter is stored with its accents or before them."""
+    carried, left = _accents()
+    return F.lower(F.translate(text, carried + MARKS, left))  # what has no counterpart is removed
 
 
 def filter_options(
