@@ -117,34 +117,46 @@ def _gaps(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, gaps
 
 
-def find_quote(stream: str, quote: str) -> tuple[int, int]:
-    """(hits, 1-based place of the first) of a needle in a quote stream. A mark matches a space of
-    the needle or nothing; hits do not overlap."""
+def find_quotes(stream: str, quotes: list[str]) -> list[tuple[int, int]]:
+    """(hits, 1-based place of the first) of each needle in a quote stream. A mark matches a space of
+    a needle or nothing; hits of one needle do not overlap. The stream is taken apart once, and
+    only if the letters of some needle occur in it."""
     letters_in = stream.replace(" ", "").replace(BOUNDARY, "")
-    wanted = quote.replace(" ", "")
-    if not wanted:
-        return 0, 0
-    at, gaps = _gaps(stream)
-    _, needed = _gaps(quote)
-    hits, first, o = 0, 0, letters_in.find(wanted)
-    while o >= 0:
-        inside = gaps[o + 1:o + len(wanted)]
-        if ((inside == 2) | (inside == needed[1:])).all():
-            hits += 1
-            first = first or int(at[o]) + 1
-            o = letters_in.find(wanted, o + len(wanted))
-        else:
-            o = letters_in.find(wanted, o + 1)
-    return hits, first
+    at = gaps = None
+    out = []
+    for quote in quotes:
+        wanted = quote.replace(" ", "")
+        hits, first = 0, 0
+        o = letters_in.find(wanted) if wanted else -1
+        if o >= 0:
+            _, needed = _gaps(quote)
+            if at is None:
+                at, gaps = _gaps(stream)
+        while o >= 0:
+            inside = gaps[o + 1:o + len(wanted)]
+            if ((inside == 2) | (inside == needed[1:])).all():
+                hits += 1
+                first = first or int(at[o]) + 1
+                o = letters_in.find(wanted, o + len(wanted))
+            else:
+                o = letters_in.find(wanted, o + 1)
+        out.append((hits, first))
+    return out
+
+
+def find_quote(stream: str, quote: str) -> tuple[int, int]:
+    """:func:`find_quotes` of one needle."""
+    return find_quotes(stream, [quote])[0]
 
 
 def quote_hits() -> Callable[[Column, Column], Column]:
-    """Vectorised :func:`find_quote`: ``struct<hits,first_at>`` of (stream, needle)."""
+    """Vectorised :func:`find_quotes`: ``array<struct<hits,first_at>>`` of (stream, needles)."""
 
-    @F.pandas_udf("struct<hits:long,first_at:long>")
-    def search(streams: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-        found = [find_quote(s, q) for s, q in zip(streams, quotes)]
-        return pd.DataFrame(found, columns=["hits", "first_at"], dtype="int64")
+    @F.pandas_udf("array<struct<hits:long,first_at:long>>")
+    def search(streams: pd.Series, needles: pd.Series) -> pd.Series:
+        return pd.Series([
+            [{"hits": h, "first_at": f} for h, f in find_quotes(s, list(q))] for s, q in zip(streams, needles)
+        ])
 
     return search
 

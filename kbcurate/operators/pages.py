@@ -34,25 +34,36 @@ def source_outcomes(fetches: DataFrame) -> DataFrame:
     )
 
 
+#: Needles searched in a page at once, about.
+NEEDLES = 64
+
+
 def verify_quotes(references: DataFrame, pages: DataFrame) -> DataFrame:
     """Occurrences of each quote in its source's page ``(source_id, html)``: number of
     non-overlapping hits and place of the first (1-based, 0 without).
 
-    Copies of a quote are searched once per page, and only where its letters occur in order; a
-    page with very many quotes is a hot key of the quote side, which adaptive execution splits
-    (its other side is one row).
+    Only pages that are quoted are read for their text, each once. Copies of a quote are
+    searched once per page, and the quotes of a page together, in groups of about ``NEEDLES``, so a page
+    with very many quotes is a few dozen rows a thousand quotes and no hot key.
     """
     quoted = references.select("property_id", "source_id", F.explode("supporting_quotes").alias("quote"))
-    wanted = quoted.select("source_id", "quote").distinct().withColumn(
-        "needle", X.needle(F.col("quote"))
+    wanted = quoted.select("source_id", "quote").distinct().withColumn("needle", X.needle(F.col("quote")))
+    wanted = wanted.where(F.col("needle") != "")
+    counts = wanted.groupBy("source_id").agg(F.ceil(F.count(F.lit(1)) / NEEDLES).alias("groups"))
+    asked = (
+        wanted.join(counts, "source_id")
+        .groupBy("source_id", F.pmod(F.xxhash64("quote"), "groups").alias("part"))
+        .agg(F.collect_list(F.struct("quote", "needle")).alias("asks"))
+    )
+    streams = pages.join(counts.select("source_id"), "source_id", "left_semi").select(
+        "source_id", X.quote_stream(F.col("html")).alias("stream")
     )
-    streams = pages.select("source_id", X.quote_stream(F.col("html")).alias("stream"))
     search = X.quote_hits()
     found = (
-        wanted.join(streams, "source_id")
-        .where(X.letters(F.col("stream")).contains(X.letters(F.col("needle"))) & (F.col("needle") != ""))
-        .select("source_id", "quote", search("stream", "needle").alias("h"))
-        .select("source_id", "quote", "h.hits", "h.first_at")
+        asked.join(streams, "source_id")
+        .select("source_id", F.col("asks.quote").alias("quote"), search("stream", F.col("asks.needle")).alias("found"))
+        .select("source_id", F.inline(F.arrays_zip("quote", "found")))
+        .select("source_id", "quote", "found.hits", "found.first_at").where("hits > 0")
     )
     return quoted.join(found, ["source_id", "quote"], "left").select(
         "property_id", "source_id", "quote", F.coalesce("hits", F.lit(0)).alias("hits"),

@@ -280,19 +280,19 @@ def _usable_facts(c: Catalog) -> DataFrame:
 @query(f"""
     SELECT k, CASE WHEN k % 6 = 0 THEN 'NO_MATCH' WHEN k % 6 < 3 THEN {_date_verdict(A, B)}
                    ELSE {_frame_verdict(A, B, B, A)} END AS verdict
-    FROM v_date_pairs WHERE asign = '+'""")
+    FROM v_date_pairs""")
 def compare_facts(c: Catalog) -> DataFrame:
-    """The pairs without a BCE date; ``compare_all_facts`` has all."""
-    return _fact_verdicts(_pairs(c).join(c.v_date_pairs.where("asign = '+'").select("k"), "k", "left_semi"))
+    """All pairs; years are compared without their sign, so 44 BCE and 44 CE are the same."""
+    return _fact_verdicts(_pairs(c))
 
 
 @query(f"""
-    SELECT k, CASE WHEN k % 6 = 0 THEN 'NO_MATCH' WHEN k % 6 < 3 THEN {_date_verdict(A, B)}
-                   ELSE {_frame_verdict(A, B, B, A)} END AS verdict
+    SELECT k, CASE WHEN k % 6 = 0 THEN 'NO_MATCH' WHEN k % 6 < 3 THEN {_date_verdict(B, A)}
+                   ELSE {_frame_verdict(B, A, A, B)} END AS verdict
     FROM v_date_pairs""")
 def compare_all_facts(c: Catalog) -> DataFrame:
-    """All pairs; years are compared without their sign, so 44 BCE and 44 CE are the same."""
-    return _fact_verdicts(_pairs(c))
+    """All pairs the other way around."""
+    return _fact_verdicts(_pairs(c).select("k", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def _fact_verdicts(pairs: DataFrame) -> DataFrame:
@@ -407,10 +407,9 @@ def invalid_sources(c: Catalog) -> DataFrame:
     SELECT property_id, source_id, string_agg(quote, '|' ORDER BY quote) AS quotes
     FROM v_quotes GROUP BY property_id, source_id""")
 def merge_references(c: Catalog) -> DataFrame:
-    """Two batches of references, overlapping, one quote in each row."""
+    """All references twice, one quote in each row."""
     rows = c.v_quotes.select("property_id", "source_id", F.array("quote").alias("supporting_quotes"))
-    again = rows.where(F.element_at("supporting_quotes", 1).startswith("A"))
-    return R.merge_references(rows, again).select(
+    return R.merge_references(rows, rows).select(
         "property_id", "source_id", F.array_join("supporting_quotes", "|").alias("quotes")
     )
 
@@ -427,8 +426,9 @@ def merge_extractions(c: Catalog) -> DataFrame:
 
 
 def quote_fixture(c: Catalog) -> tuple[DataFrame, DataFrame]:
-    """Documents as pages, each paragraph its own element, and two quotes of each: its first
-    sentence, and a text across the first element boundary."""
+    """Documents as pages, each paragraph its own element, and quotes of each: its first sentence,
+    its last words with the first of the next paragraph, its second paragraph whole, and one with
+    words that it does not have."""
     text = F.col("text")
     html = F.concat(
         F.lit("<html><body><script>var quote;</script><p>"),
@@ -438,9 +438,13 @@ def quote_fixture(c: Catalog) -> tuple[DataFrame, DataFrame]:
     )
     pages = c.table("documents").select(F.col("doc_id").alias("source_id"), html.alias("html"))
     first = F.upper(F.substring_index(F.substring_index(text, "\n", 1), ".", 1))
+    lines = F.split(text, "\n")
+    last = F.element_at(F.split(F.get(lines, F.lit(0)), " "), -1)
+    across = F.concat(last, F.lit(" "), F.get(F.split(F.get(lines, F.lit(1)), " "), F.lit(0)))
+    quotes = F.array(first, across, F.get(lines, F.lit(1)), F.concat(first, F.lit(" no such words")))
     refs = c.table("documents").select(
         F.col("doc_id").alias("property_id"), F.col("doc_id").alias("source_id"),
-        F.array(first, F.concat_ws(" ", F.substring(text, 1, 4), F.lit("no such words"))).alias("supporting_quotes"),
+        F.array_compact(quotes).alias("supporting_quotes"),
     )
     return refs, pages
 

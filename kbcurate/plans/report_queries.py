@@ -271,20 +271,41 @@ def initial_source(c: Catalog) -> DataFrame:
     )
 
 
-@query("""
-    SELECT p.politician_id AS id, string_agg(CASE WHEN p.type = 'P569' THEN p.type || ': ' || p.value END, ';' ORDER BY p.value) AS dates,
-           string_agg(CASE WHEN p.type = 'P27' THEN n.name END, ';' ORDER BY n.name) AS countries
-    FROM v_properties p LEFT JOIN v_entities n ON n.wikidata_id = p.entity_id
-    WHERE p.type IN ('P569', 'P27') GROUP BY 1""")
+def _shown_sql(p: str, y: str, m: str, d: str) -> str:
+    return (
+        f"CASE WHEN {p} >= 11 AND {m} > 0 AND {d} > 0 THEN printf('%04d-%02d-%02d', {y}, {m}, {d}) "
+        f"WHEN {p} >= 10 AND {m} > 0 THEN printf('%04d-%02d', {y}, {m}) ELSE printf('%04d', {y}) END"
+    )
+
+
+_START, _END = _shown_sql("sp", "sy", "sm", "sd"), _shown_sql("ep", "ey", "em", "ed")
+
+
+@query(f"""
+    WITH lines AS (
+        SELECT p.politician_id, p.type, CASE
+            WHEN p.type = 'P569' THEN CASE WHEN p.value IS NULL THEN p.type ELSE p.type || ': ' || p.value END
+            WHEN p.type = 'P39' THEN n.name || CASE
+                WHEN sp IS NOT NULL AND ep IS NOT NULL THEN ' (' || {_START} || ' - ' || {_END} || ')'
+                WHEN sp IS NOT NULL THEN ' (' || {_START} || ' - present)'
+                WHEN ep IS NOT NULL THEN ' (until ' || {_END} || ')' ELSE '' END
+            ELSE n.name END AS text
+        FROM v_properties p LEFT JOIN v_entities n ON n.wikidata_id = p.entity_id LEFT JOIN v_terms t ON t.id = p.id)
+    SELECT p.id, string_agg(CASE WHEN type = 'P569' THEN text END, ';' ORDER BY text) AS dates,
+           string_agg(CASE WHEN type = 'P39' THEN text END, ';' ORDER BY text) AS positions,
+           string_agg(CASE WHEN type = 'P19' THEN text END, ';' ORDER BY text) AS birthplaces,
+           string_agg(CASE WHEN type = 'P27' THEN text END, ';' ORDER BY text) AS countries
+    FROM v_politicians p LEFT JOIN lines l ON l.politician_id = p.id GROUP BY p.id""")
 def politician_context(c: Catalog) -> DataFrame:
-    out = A.politician_context(c.v_politicians, c.v_properties, c.v_entities, ["P569", "P27"])
+    out = A.politician_context(c.v_politicians, c.v_properties, c.v_entities, ["P569", "P570", "P39", "P19", "P27"])
 
     def texts(field: str) -> Column:
         items = F.from_json(F.get_json_object("context", f"$.{field}"), "array<string>")
         return F.when(F.size(items) > 0, F.array_join(items, ";"))
 
     return out.select(
-        "id", texts("existing_wikidata").alias("dates"),
+        "id", texts("existing_wikidata").alias("dates"), texts("existing_wikidata_positions").alias("positions"),
+        texts("existing_wikidata_birthplaces").alias("birthplaces"),
         texts("existing_wikidata_citizenships").alias("countries"),
     )
 
@@ -379,22 +400,24 @@ def decide_pushes(c: Catalog) -> DataFrame:
 
 
 @query(f"""
-    SELECT p.id, max(CASE WHEN push = 'create_statement' AND length(x.evaluation_id) % 2 = 0
-                     THEN 'made-' || x.evaluation_id END) AS statement_id,
-           coalesce(bool_or(push = 'soft_delete' OR (push = 'deprecate_statement' AND length(x.evaluation_id) % 2 = 0)), false) AS gone
-    FROM ({_PUSH}) x JOIN v_properties p ON p.id = x.property_id
-    WHERE p.statement_id IS NULL AND p.deleted_at IS NULL GROUP BY p.id""")
+    WITH done AS (
+        SELECT property_id, max(CASE WHEN push = 'create_statement' AND length(evaluation_id) % 2 = 0
+                                     THEN 'made-' || evaluation_id END) AS made,
+               bool_or(push = 'soft_delete' OR (push = 'deprecate_statement' AND length(evaluation_id) % 2 = 0)) AS gone
+        FROM ({_PUSH}) x GROUP BY property_id)
+    SELECT p.id, coalesce(made, p.statement_id) AS statement_id,
+           CAST(CASE WHEN deleted_at IS NULL AND gone THEN {AS_OF} ELSE deleted_at END AS STRING) AS deleted_at
+    FROM v_properties p LEFT JOIN done ON done.property_id = p.id""")
 def settle_pushes(c: Catalog) -> DataFrame:
+    """All facts after all pushes: creations, deprecations of stored statements, and rejections of both;
+    every other push fails."""
     outbox = V.decide_pushes(c.v_evaluations, c.v_properties)
     results = outbox.select(
         "evaluation_id", (F.length("evaluation_id") % 2 == 0).alias("ok"),
         F.concat(F.lit("made-"), "evaluation_id").alias("statement_id"),
     )
-    facts = c.v_properties.where("statement_id IS NULL AND deleted_at IS NULL").join(
-        outbox.select(F.col("property_id").alias("id")).distinct(), "id", "left_semi"
-    )
-    return V.settle_pushes(facts, outbox, results, as_of()).select(
-        "id", "statement_id", F.col("deleted_at").isNotNull().alias("gone")
+    return V.settle_pushes(c.v_properties, outbox, results, as_of()).select(
+        "id", "statement_id", F.col("deleted_at").cast("string").alias("deleted_at")
     )
 
 
@@ -408,14 +431,32 @@ def _rest(prop: str, time: str, precision: str) -> str:
     )
 
 
+_DATE_CONTENT = """'{"time":"' || value || '","timezone":0,"before":0,"after":0,'
+    || CASE WHEN value_precision IS NULL THEN '' ELSE '"precision":' || CAST(value_precision AS STRING) || ',' END
+    || '"calendarmodel":"http://www.wikidata.org/entity/Q1985727"}'"""
+_NO_DATE = "type = 'P569' AND (value IS NULL OR substr(value, 1, 1) NOT IN ('+', '-'))"
+
+
 @query(f"""
-    SELECT id, '{{"type":"value","content":"' || entity_id || '"}}' AS value,
+    WITH facts AS (
+        SELECT id, type, value, value_precision, entity_id FROM v_properties
+        UNION ALL SELECT 'odd-' || id, 'P1', value, value_precision, entity_id FROM v_properties WHERE type = 'P19')
+    SELECT f.id, type AS property,
+           CASE WHEN type = 'P1' OR {_NO_DATE} THEN NULL
+                WHEN type = 'P569' THEN '{{"type":"value","content":' || {_DATE_CONTENT} || '}}'
+                ELSE '{{"type":"value","content":"' || f.entity_id || '"}}' END AS value,
            CASE WHEN sp IS NOT NULL AND ep IS NOT NULL THEN '[' || {_rest('P580', 'start_time', 'sp')} || ',' || {_rest('P582', 'end_time', 'ep')} || ']'
                 WHEN sp IS NOT NULL THEN '[' || {_rest('P580', 'start_time', 'sp')} || ']'
-                WHEN ep IS NOT NULL THEN '[' || {_rest('P582', 'end_time', 'ep')} || ']' END AS qualifiers
-    FROM v_terms""")
+                WHEN ep IS NOT NULL THEN '[' || {_rest('P582', 'end_time', 'ep')} || ']' END AS qualifiers,
+           CASE WHEN type = 'P1' THEN 'unknown type' WHEN {_NO_DATE} THEN 'invalid date' END AS error
+    FROM facts f LEFT JOIN v_terms t ON t.id = f.id""")
 def statement_payload(c: Catalog) -> DataFrame:
-    return V.statement_payload(c.v_properties.where("type = 'P39'")).select("id", "value", "qualifiers")
+    """All facts, and birthplaces again under a type that is not known."""
+    facts = c.v_properties
+    odd = facts.where("type = 'P19'").withColumns({
+        "id": F.concat(F.lit("odd-"), "id"), "type": F.lit("P1"),
+    })
+    return V.statement_payload(facts.unionByName(odd))
 
 
 def _part(prop: str, content: str) -> str:

@@ -220,3 +220,88 @@ def test_first_dump_collects_nothing(spark):
     assert out.index_deletes.collect() == []
     two = dumps.union(spark.sql("SELECT 'd2', TIMESTAMP '2024-01-02'"))
     assert len(V.run_gc(two, table, table, table, seen, seen, F.current_timestamp()).index_deletes.collect()) == 1
+
+
+def test_fields_nest_to_any_depth(spark):
+    from kbcurate.functions import text as X
+
+    deep = "{{a|{{b|{{c|{{d|{{e|{{f|x}}}}}}}}}}}}"
+    cases = [
+        (f"person|birth_date={deep}|birth_place=[[Rome|the [[city]]]], {deep} <!-- | birth_place = no -->|name=z", f"the [[city, {deep}"),
+        ("person| BIRTH_PLACE = { one } [x] ", "{ one } [x]"),
+        ("person|note={{cite|birth_place=wrong}}|birth_place=right", "right"),
+        ("person|birth_place=|name=z", None), ("person", None), ("person|xbirth_place=no", None),
+        ("person|birth_place=a = b", "a = b"),
+    ]
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i int, b string")
+    got = {r.i: r for r in df.select("i", X.birth_place(F.col("b")).alias("p"), X._field(F.col("b"), "birth_date").alias("d")).collect()}
+    assert got[0].d == deep and got[0].p.endswith(deep)
+    assert [got[i].p for i in range(1, len(cases))] == [p for _, p in cases[1:]]
+
+
+def test_accents_of_all_letters(spark):
+    import unicodedata
+
+    from kbcurate.operators import stats as A
+
+    letters = [chr(c) for a, b in ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000)) for c in range(a, b)
+               if unicodedata.category(chr(c)).startswith("L")]
+
+    def plain(x):
+        return "".join(c for c in unicodedata.normalize("NFD", x) if not "̀" <= c <= "ͯ").lower()
+
+    rows = [(c, unicodedata.normalize("NFD", c), plain(c)) for c in letters]
+    got = spark.createDataFrame(rows, "c string, d string, p string").select(
+        "p", A.plain_text(F.col("c")).alias("c"), A.plain_text(F.col("d")).alias("d"), F.lower("p").alias("l")
+    ).collect()
+    assert all(r.c == r.l == r.d for r in got), [r for r in got if not r.c == r.l == r.d][:5]
+    df = spark.createDataFrame([("a", "Việt Nam", 1), ("b", unicodedata.normalize("NFD", "Việt Minh"), 2)], "value string, label string, count int")
+    assert [r.value for r in A.filter_options(df, "viet").collect()] == ["b", "a"]
+    assert [r.value for r in A.filter_options(df, "VIỆT n").collect()] == ["a"]
+
+
+def test_review_places_in_steps_like_together(spark, monkeypatch):
+    """A politician with very many facts is placed in steps, with the same places."""
+    from kbcurate.operators import stats as A
+    from kbcurate.plans.views import Catalog
+
+    facts = Catalog.of(spark, "/root/testdata/sf0.001").v_properties
+    together = sorted(map(tuple, A.review_sections(facts).collect()))
+    monkeypatch.setattr(A, "HEAVY", 12)
+    assert sorted(map(tuple, A.review_sections(facts).collect())) == together
+    monkeypatch.setattr(A, "HEAVY", 0)
+    assert sorted(map(tuple, A.review_sections(facts).collect())) == together
+
+
+def test_quotes_of_whole_pages_letter_by_letter(spark):
+    """Every quote of the fixture against a pattern that allows a mark for a space or between letters."""
+    import re
+
+    from kbcurate.operators import pages as P
+    from kbcurate.plans.fact_queries import quote_fixture
+    from kbcurate.plans.views import Catalog
+
+    c = Catalog.of(spark, "/root/testdata/sf0.001")
+    texts = {r.doc_id: r.text for r in c.table("documents").select("doc_id", "text").collect()}
+    refs, pages = quote_fixture(c)
+    rows = P.verify_quotes(refs, pages).collect()
+    hits = 0
+    for r in rows:
+        stream = re.sub(r"\n+", "\x01", re.sub(r"\n*[ \t\r\x0b\x0c\xa0]+[ \t\r\x0b\x0c\xa0\n]*", " ", texts[r.source_id])).lower().strip(" \x01")
+        words = re.sub(r"\s+", " ", r.quote).strip().lower()
+        pattern = "".join("[ \x01]" if x == " " else re.escape(x) + "\x01?" for x in words[:-1]) + re.escape(words[-1:])
+        found = [m.start() + 1 for m in re.finditer(pattern.replace("\x01?[ \x01]", "[ \x01]"), stream)] if words else []
+        assert (r.hits, r.first_at) == (len(found), found[0] if found else 0), (r.source_id, r.quote[:60])
+        hits += r.hits
+    assert hits > len(texts)
+
+
+def test_very_many_quotes_of_one_page(spark):
+    from kbcurate.operators import pages as P
+
+    words = [f"word{i}" for i in range(3000)]
+    pages = spark.createDataFrame([(1, "<p>" + " ".join(words) + "</p>"), (2, "<p>not quoted</p>")], "source_id long, html string")
+    quotes = [f"{a} {b}" for a, b in zip(words, words[1:])] + ["", "  ", "absent"]
+    refs = spark.createDataFrame([(1, 1, quotes), (2, 1, quotes[:5]), (3, 7, ["no page"])], "property_id long, source_id long, supporting_quotes array<string>")
+    got = P.verify_quotes(refs, pages).collect()
+    assert len(got) == len(quotes) + 6 and sum(r.hits for r in got) == 2999 + 5
