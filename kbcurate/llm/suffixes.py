@@ -175,14 +175,18 @@ def _ranked(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.orderBy(*by).select(*by, F.monotonically_increasing_id().alias("rank"))
 
 
+def _shuffled(keys: DataFrame) -> DataFrame:
+    """Keys that grow with the texts: joined by a shuffle at every size."""
+    return keys.hint("merge")
+
+
 def double(phrases: DataFrame, scratch: Scratch) -> list[DataFrame]:
     """Per level l: (tid, x, rank) of the positions whose first 2**l phrases occur again."""
     def shared(rows: DataFrame, by: list[str], level: int) -> tuple[DataFrame, int]:
-        again, seen = scratch.write(_ranked(
-            rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), by
-        ), count_rows())
+        again = scratch.write(_ranked(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where("c > 1"), by))
+        scratch.sweep()
         kept, found = scratch.write(
-            rows.join(sized(again, seen["n"]), by).select("tid", "x", "reach", "rank"), count_rows()
+            rows.join(_shuffled(again), by).select("tid", "x", "reach", "rank"), count_rows()
         )
         scratch.drop(again)
         scratch.sweep()
@@ -447,34 +451,39 @@ def remove_repeated_bytes(
         "c > 1 AND any"
     ).select("inner")
     asked, count = scratch.write(
-        heads.join(open_runs, "inner", "left_semi").groupBy("tid")
+        heads.join(_shuffled(open_runs), "inner", "left_semi").groupBy("tid")
         .agg(F.collect_list(F.struct(*string[1:-1])).alias("asked")), count_rows(),
     )
     scratch.sweep()
+    ranges = ["tid", "p0", "p1"]
+    certain = scratch.write(
+        strings.where("sure AND NOT copied").select(*ranges).union(
+            strings.where("NOT copied").join(_shuffled(outer.where("c > 1").select("outer")), "outer", "left_semi")
+            .select(*ranges)
+        )
+    )
+    scratch.drop(strings, outer)
+    scratch.sweep()
     windows = scratch.write(
         with_text(texts.join(asked, "tid"), count["n"]).mapInArrow(
             _ends(size), "tid long, p long, inner long, ends long"
         )
     )
-    again, found = scratch.write(
-        windows.groupBy("inner", "ends").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("inner", "ends"),
-        count_rows(),
+    again = scratch.write(
+        windows.groupBy("inner", "ends").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("inner", "ends")
     )
     scratch.sweep()
-    covered = windows.join(sized(again, found["n"]), ["inner", "ends"], "left_semi").select(
-        "tid", F.col("p").alias("p0"), F.col("p").alias("p1")
-    ).union(
-        strings.where("sure AND NOT copied").select("tid", "p0", "p1")
-    ).union(
-        strings.where(~F.col("copied")).join(outer.where("c > 1").select("outer"), "outer", "left_semi")
-        .select("tid", "p0", "p1")
+    found = scratch.write(
+        windows.join(_shuffled(again), ["inner", "ends"], "left_semi")
+        .select("tid", F.col("p").alias("p0"), F.col("p").alias("p1"))
     )
+    scratch.drop(asked, windows, again)
+    scratch.sweep()
     spans = scratch.write(
-        covered.groupBy("tid").agg(F.collect_list(F.struct("p0", "p1")).alias("ranges"))
+        certain.union(found).groupBy("tid").agg(F.collect_list(F.struct("p0", "p1")).alias("ranges"))
         .mapInArrow(_merge(size), "tid long, spans array<struct<start: long, end: long>>")
     )
-    scratch.drop(strings, outer, asked, windows, again)
-    scratch.sweep()
+    scratch.drop(certain, found)
     gone, count = scratch.write(
         texts.join(spans, "tid", "left").where(F.col("copied") | F.col("spans").isNotNull())
         .select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "copied", "spans"),
