@@ -421,10 +421,6 @@ def _first_claims(rest: DataFrame) -> DataFrame:
     )
 
 
-_ROW = (
-    "politician_id string, place string, kind string, vkey string, seq long, after long, "
-    "sp int, sy int, sm int, sd int, ep int, ey int, em int, ed int, copies long, cand_id string"
-)
 _OUTCOME = (
     "politician_id string, place string, vkey string, outcome string, seq long, owner string"
 )
@@ -521,15 +517,20 @@ def _order(term) -> tuple:
     return (start[1:], start[0], end is not None, end or ())
 
 
+#: First copies of a term that its office has at hand.
+COPIES = 1_000
+
+
 def _settle_office(rows: pd.DataFrame) -> pd.DataFrame:
     """Replay one office's distinct unmatched terms in order of first appearance.
 
-    Input is bounded by distinct timeframes, not by candidates. A dropped term may match or stand
-    on its own once a later fact changed the state; only its next copy can tell, so a ``next`` row
-    is asked for (outcome ``ask``) and the office replayed with it.
+    A dropped term may match or stand on its own once a later fact changed the state; only its next
+    copy can tell, which is looked up in the sorted list of the term's first copies. Where that list
+    ends and there are more, a ``next`` row is asked for (outcome ``ask``) and the office replayed with
+    it. Input is bounded by ``COPIES`` times the distinct timeframes, whatever the candidates.
     """
     block = (rows["politician_id"].iloc[0], rows["place"].iloc[0])
-    terms, known, events, values, followers = [], 0, [], {}, {}
+    terms, known, events, values, followers, later = [], 0, [], {}, {}, {}
     for r in rows.itertuples():
         if r.kind == "term":
             known += int(r.copies)
@@ -541,10 +542,22 @@ def _settle_office(rows: pd.DataFrame) -> pd.DataFrame:
         elif r.kind == "value":
             values[r.vkey] = (_date_of(r, "s"), _date_of(r, "e"))
             heapq.heappush(events, (int(r.seq), r.cand_id, r.vkey))
+            later[r.vkey] = list(r.seqs), list(r.cand_ids), bool(r.more)
         else:
             followers[(r.vkey, int(r.after))] = None if pd.isna(r.seq) else (int(r.seq), r.cand_id)
     terms.sort()
     created, waiting, out = [], set(), []
+
+    def copy_after(vkey: str, seq: int):
+        """(known, next copy or None) of a term after ``seq``."""
+        if (vkey, seq) in followers:
+            return True, followers[(vkey, seq)]
+        seqs, ids, more = later[vkey]
+        at = bisect.bisect_right(seqs, seq)
+        if at < len(seqs):
+            return True, (int(seqs[at]), ids[at])
+        return not more, None
+
     while events:
         seq, cand_id, vkey = heapq.heappop(events)
         cand = values[vkey]
@@ -562,13 +575,13 @@ def _settle_office(rows: pd.DataFrame) -> pd.DataFrame:
             bisect.insort(terms, (_order(cand), *cand))
         for w in sorted(waiting):
             if _term_matches(values[w], cand) or not _told_by(values[w], terms):
-                if (w, seq) not in followers:
+                told, nxt = copy_after(w, seq)
+                if not told:
                     return pd.DataFrame(
                         [(*block, w, "ask", seq, None)],
                         columns=["politician_id", "place", "vkey", "outcome", "seq", "owner"],
                     )
                 waiting.discard(w)
-                nxt = followers[(w, seq)]
                 if nxt is not None:
                     heapq.heappush(events, (*nxt, w))
                 else:
@@ -591,6 +604,13 @@ def _settle_terms(rest: DataFrame, facts: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("seq", "cand_id")).alias("first"),
              F.first("start").alias("start"), F.first("end").alias("end"))
     )
+    copies = Window.partitionBy(*office, "vkey").orderBy("seq", "cand_id")  # limited before the shuffle
+    lists = (
+        rest.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= COPIES + 1)
+        .groupBy(*office, "vkey").agg(F.array_sort(F.collect_list(F.struct("seq", "cand_id"))).alias("first_copies"))
+        .select(*office, "vkey", F.slice("first_copies", 1, COPIES).alias("c"), (F.size("first_copies") > COPIES).alias("more"))
+        .select(*office, "vkey", F.col("c.seq").cast("array<long>").alias("seqs"), F.col("c.cand_id").alias("cand_ids"), "more")
+    )
     blocks = values.groupBy(*office).agg(F.count(F.lit(1)).alias("distinct_terms"))
     known = (
         fact_view(facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull()))
@@ -607,19 +627,21 @@ def _settle_terms(rest: DataFrame, facts: DataFrame) -> DataFrame:
     hard = sized.join(simple, office, "left_anti").select(*office)
     null_long, null_text = F.lit(None).cast("long"), F.lit(None).cast("string")
 
-    def shaped(df: DataFrame, kind: str, vkey, seq, after, copies, cand_id) -> DataFrame:
+    no_seqs, no_ids = F.array().cast("array<long>"), F.array().cast("array<string>")
+
+    def shaped(df: DataFrame, kind: str, vkey, seq, after, copies, cand_id, seqs=no_seqs, ids=no_ids, more=F.lit(False)) -> DataFrame:
         return df.select(
             *office, F.lit(kind).alias("kind"), vkey.alias("vkey"), seq.cast("long").alias("seq"),
             after.cast("long").alias("after"), *_parts("s", F.col("start")),
             *_parts("e", F.col("end")), copies.cast("long").alias("copies"),
-            cand_id.alias("cand_id"),
+            cand_id.alias("cand_id"), seqs.alias("seqs"), ids.alias("cand_ids"), more.alias("more"),
         )
 
     terms = _distinct_terms(known.join(hard, office, "left_semi"))
     rows = shaped(terms, "term", null_text, null_long, null_long, F.col("copies"), null_text).union(
         shaped(
-            values.join(hard, office, "left_semi"), "value", F.col("vkey"), F.col("first.seq"),
-            null_long, null_long, F.col("first.cand_id"),
+            values.join(hard, office, "left_semi").join(lists, [*office, "vkey"]), "value", F.col("vkey"), F.col("first.seq"),
+            null_long, null_long, F.col("first.cand_id"), F.col("seqs"), F.col("cand_ids"), F.col("more"),
         )
     )
     rows = written(rows, "terms")

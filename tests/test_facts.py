@@ -145,7 +145,27 @@ def test_merge_reconsiders_a_dropped_term_after_the_state_changed(spark):
     check_merge(spark, facts, cands)
 
 
+def test_merge_asks_for_copies_beyond_those_at_hand(spark, monkeypatch):
+    """With one copy at hand, later ones are asked for in rounds, with the same outcome."""
+    facts, cands = world(12, 30, 250, people=2)
+    check_merge(spark, facts, cands)
+    monkeypatch.setattr(R, "COPIES", 1)
+    monkeypatch.setattr(R, "_settle_terms", counted := Counted(R._settle_terms))
+    check_merge(spark, facts, cands)
+    assert counted.n == 1
+
+
+class Counted:
+    def __init__(self, f):
+        self.f, self.n = f, 0
+
+    def __call__(self, *args):
+        self.n += 1
+        return self.f(*args)
+
+
 def test_all_pairs_of_facts_are_compared(spark):
+    from kbcurate.plans import fact_queries  # noqa: F401
     from kbcurate.plans.registry import QUERIES
     from kbcurate.plans.views import Catalog
 
