@@ -375,15 +375,34 @@ def subsumed(c: Catalog) -> DataFrame:
     return cands.select("cand_id", "seq").join(told, "cand_id", "left_semi").select("seq")
 
 
-@query("""
-    SELECT kind, count(*) AS n FROM (
-        SELECT CASE WHEN value LIKE 'about%' THEN 'rejected' ELSE kind END AS kind FROM v_extractions) e GROUP BY kind""")
+def _text_time_sql(t: str) -> str:
+    return f"""CASE length({t}) WHEN 4 THEN '+' || {t} || '-00-00T00:00:00Z' WHEN 7 THEN '+' || {t} || '-00T00:00:00Z'
+        WHEN 10 THEN '+' || {t} || 'T00:00:00Z' END"""
+
+
+@query(f"""
+    WITH e AS (SELECT *, coalesce(value LIKE 'about%', false) AS bad FROM v_extractions)
+    SELECT CASE WHEN bad THEN 'rejected' ELSE 'candidate' END AS outcome, seq, politician_id, source_id, kind AS type,
+           CASE WHEN bad THEN value ELSE {_text_time_sql('value')} END AS value,
+           CASE WHEN bad THEN NULL ELSE CAST(CASE length(value) WHEN 4 THEN 9 WHEN 7 THEN 10 WHEN 10 THEN 11 END AS INTEGER) END AS precision,
+           CASE WHEN kind <> 'P569' THEN entity_id END AS entity_id,
+           {_text_time_sql('start_date')} AS start_time, {_text_time_sql('end_date')} AS end_time
+    FROM e""")
 def candidate_rows(c: Catalog) -> DataFrame:
+    """All extraction results: candidates with their dates, and those set aside as they came."""
     out = R.candidate_rows(c.v_extractions.withColumn("supporting_quotes", F.array().cast("array<string>")))
-    rows = out.valid.select(F.col("type").alias("kind")).unionByName(
-        out.rejected.select(F.lit("rejected").alias("kind"))
+
+    def time(prop: str) -> Column:
+        return F.get_json_object("qualifiers_json", f"$.{prop}[0].datavalue.value.time")
+
+    none = F.lit(None).cast("string")
+    valid = out.valid.select(
+        F.lit("candidate").alias("outcome"), "seq", "politician_id", "source_id", "type", "value",
+        F.col("value_precision").alias("precision"), "entity_id", time("P580").alias("start_time"), time("P582").alias("end_time"),
     )
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return valid.union(out.rejected.select(
+        F.lit("rejected"), "seq", "politician_id", "source_id", "kind", "value", none.cast("int"), none, none, none
+    ))
 
 
 @query("SELECT source_id, count(*) AS items FROM v_extractions GROUP BY source_id")

@@ -199,13 +199,19 @@ _DOOMED = """SELECT id, politician_id FROM v_properties WHERE statement_id IS NU
 
 
 @query(f"""
-    SELECT (SELECT count(*) FROM ({_DOOMED}) d) AS facts, (SELECT count(DISTINCT politician_id) FROM ({_DOOMED}) d) AS politicians,
-           (SELECT count(*) FROM v_properties) - (SELECT count(*) FROM ({_DOOMED}) d) AS left_facts,
-           (SELECT count(*) FROM v_politicians WHERE enriched_at IS NOT NULL
-            AND id NOT IN (SELECT politician_id FROM ({_DOOMED}) d)) AS still_read""")
+    WITH doomed AS ({_DOOMED})
+    SELECT 'fact left' AS kind, id, CAST(NULL AS STRING) AS value FROM v_properties WHERE id NOT IN (SELECT id FROM doomed)
+    UNION ALL SELECT 'politician', id,
+        CASE WHEN id NOT IN (SELECT politician_id FROM doomed) THEN CAST(enriched_at AS STRING) END FROM v_politicians
+    UNION ALL SELECT 'count', 'facts', CAST(count(*) AS STRING) FROM doomed
+    UNION ALL SELECT 'count', 'politicians', CAST(count(DISTINCT politician_id) AS STRING) FROM doomed""")
 def purge_unreviewed(c: Catalog) -> DataFrame:
+    """The facts left, all politicians with when they were read, and the two counts."""
     out = K.purge_unreviewed(c.v_properties, c.v_politicians, c.v_evaluations)
-    parts = out.counts.select("facts", "politicians", F.lit(0).alias("left_facts"), F.lit(0).alias("still_read")).union(
-        out.facts.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0), F.lit(0), "n", F.lit(0))
-    ).union(out.politicians.agg(F.count("enriched_at").alias("n")).select(F.lit(0), F.lit(0), F.lit(0), "n"))
-    return parts.agg(*[F.sum(x).alias(x) for x in ("facts", "politicians", "left_facts", "still_read")])
+    none = F.lit(None).cast("string")
+    counts = out.counts.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("id"), F.col(n).cast("string").alias("value")) for n in ("facts", "politicians")
+    ])))
+    return out.facts.select(F.lit("fact left").alias("kind"), "id", none.alias("value")).union(
+        out.politicians.select(F.lit("politician"), "id", F.col("enriched_at").cast("string"))
+    ).union(counts.select(F.lit("count"), "id", "value"))
