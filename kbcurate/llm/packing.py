@@ -16,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from kbcurate.llm.memory import tidy
 from kbcurate.llm.store import Scratch
 from kbcurate.llm.tokens import word_ids
 from kbcurate.llm.words import slices
 
 SIZE = 2048
+#: Bytes of text handled at once.
+SLICE = 2 << 20
 #: Pieces of a length that are ranked in one task.
 RANKED = 50_000
 
@@ -71,7 +74,7 @@ def _pieces(tokenizer: str, end_id: int, size: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 bounds, ids = words.encode(part.column("text"), end_id)
                 total = np.diff(bounds)
                 cuts = -(-total // size)
@@ -107,7 +110,7 @@ def pack(
     scratch = Scratch(spark, "packing")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    pieces = scratch.write(plain.mapInArrow(_pieces(tokenizer, end_id, size, keep_ids), kind))
+    pieces = scratch.write(plain.mapInArrow(tidy(_pieces(tokenizer, end_id, size, keep_ids)), kind))
 
     # ranks within a length: pieces are dealt to groups of about RANKED, whose counts are summed
     total = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("c"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from kbcurate.llm.memory import tidy
 from kbcurate.llm.store import Scratch, count_rows, sized
 from kbcurate.llm.words import (
     Rolling, hash_words, mix, slices, sliding, split_words, to_long, window_starts,
@@ -32,6 +33,8 @@ from kbcurate.llm.words import (
 
 WINDOW = 50
 ANCHOR = 12
+#: Bytes of text handled at once.
+SLICE = 1 << 20
 
 _SPAN = T.StructType().add("start", "long").add("end", "long")
 _ADDED = T.StructType().add("n_words", "long").add("n_removed", "long").add(
@@ -73,7 +76,7 @@ def _long_list(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 def _seeds(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 words = hash_words(part.column("text"))
                 (doc, _, anchor, context, _, _), _ = _anchors(words, Rolling(words.hash), window, k)
                 key = np.rec.fromarrays([doc, anchor, context])
@@ -89,7 +92,7 @@ def _windows(window: int, k: int):
     """Hashes of the windows picked by the anchors of the contexts asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 words = hash_words(part.column("text"))
                 rolling = Rolling(words.hash)
                 (doc, p, anchor, context, _, _), (wdoc, wanchor, wstart) = _anchors(words, rolling, window, k)
@@ -119,7 +122,7 @@ def _cut(window: int, k: int, names: list[str]):
     """Remove what is covered: words inside covered contexts and covered windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 words = hash_words(part.column("text"))
                 rolling = Rolling(words.hash)
                 (doc, _, _, context, low, high), _ = _anchors(words, rolling, window, k)
@@ -175,7 +178,7 @@ def remove_repeats(
     scratch = Scratch(spark, "substring")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = plain.where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    seeds = scratch.write(known.mapInArrow(_seeds(window, anchor), "id long, anchor long, context long"))
+    seeds = scratch.write(known.mapInArrow(tidy(_seeds(window, anchor)), "id long, anchor long, context long"))
     shared = scratch.write(
         seeds.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where(F.col("first") < F.col("last")).select("anchor", "first")
@@ -197,7 +200,7 @@ def remove_repeats(
     )
     texts = known.join(sized(wanted.select("id"), seen["n"]), "id", "left_semi")
     windows = scratch.write(
-        texts.join(wanted, "id").mapInArrow(_windows(window, anchor), "id long, key long")
+        texts.join(wanted, "id").mapInArrow(tidy(_windows(window, anchor)), "id long, key long")
     )
     firsts = scratch.write(
         windows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
@@ -227,15 +230,15 @@ def remove_repeats(
     touched = rows.join(few, "id", "left_semi").join(hits, "id")
     untouched = rows.join(few, "id", "left_anti").withColumns({"contexts": none, "windows": none})
     columns = ["row", "text", "contexts", "windows"]
-    plain_rows = untouched.select("row", "text").mapInArrow(_count(names), schema)
-    return plain_rows.unionByName(touched.select(*columns).mapInArrow(_cut(window, anchor, names), schema))
+    plain_rows = untouched.select("row", "text").mapInArrow(tidy(_count(names)), schema)
+    return plain_rows.unionByName(touched.select(*columns).mapInArrow(tidy(_cut(window, anchor, names)), schema))
 
 
 def _count(names: list[str]):
     """Rows of which nothing is removed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 start, _ = split_words(part.column("text"))
                 n = part.num_rows
                 spans = pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
