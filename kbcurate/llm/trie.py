@@ -242,6 +242,8 @@ def _splitters(paths: DataFrame, turns: int, deepest: int, shard_turns: int) ->
     wanted = min(shards * DRAWN, max(shards, SKELETON // max(deepest, 1)))
     rows = paths.select("path", "conv").orderBy(F.xxhash64("conv"), "conv").limit(wanted).collect()
     drawn = sorted((bytes(r["path"]), r["conv"]) for r in rows)
+    if not drawn:
+        return []
     return sorted({drawn[len(drawn) * i // shards] for i in range(1, shards)})
 
 
