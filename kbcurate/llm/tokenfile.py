@@ -28,6 +28,8 @@ MAGIC = b"TOKMIX1\n"
 _TAIL = struct.Struct("<QQQI")
 #: A file is closed at the first document end after this many ids.
 FILE_TOKENS = 8 << 20
+#: Bytes of text encoded at once: the more, the fewer words are looked up.
+SLICE = 8 << 20
 
 
 class _Writer:
@@ -96,7 +98,7 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, context, files, writer = word_ids(tokenizer), TaskContext.get(), [], None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 bounds, ids = words.encode(part.column("text"), end_id)
                 if writer is None:
                     name = f"part-{context.partitionId():06d}-{len(files):06d}-{context.taskAttemptId()}.tok"
