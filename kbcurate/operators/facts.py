@@ -203,8 +203,7 @@ def _distinct_terms(view: DataFrame) -> DataFrame:
 
 
 def _office_terms(facts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Live dated terms of the given offices, one row per distinct term, at most two copies of
-    it: a third copy links exactly like the second."""
+    """Live dated terms of the given offices, one row per distinct term with its number of copies."""
     view = placed(facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull())).join(
         blocks, ["politician_id", "place"], "left_semi"
     )
@@ -217,7 +216,8 @@ def chain_ends(terms: DataFrame) -> DataFrame:
 
     Gaps and islands over terms in start order. An office with very many terms is not put into
     one task: terms are linked within a start year, and years are stitched by their edges, of
-    which there are as many as years.
+    which there are as many as years. Of equal terms the first links to what is before and the last to
+    what follows; all between them are alike and one row.
     """
     office = ["politician_id", "place"]
     order = F.struct(*TERM_ORDER, "copy")
@@ -225,9 +225,9 @@ def chain_ends(terms: DataFrame) -> DataFrame:
     years = Window.partitionBy(*office).orderBy("y")
     rows = terms.select(
         *office, *TERM_ORDER, "start", "end", D.year(F.col("start")).alias("y"),
-        "copies", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(2)).cast("int"))).alias("copy"),
+        "copies", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(3)).cast("int"))).alias("copy"),
     ).where(F.col("y").isNotNull()).withColumn(
-        "weight", F.when(F.col("copy") == 2, F.col("copies") - 1).otherwise(1)
+        "weight", F.when((F.col("copy") == 2) & (F.col("copies") > 3), F.col("copies") - 2).otherwise(1)
     )
     edges = (
         rows.groupBy(*office, "y").agg(F.max_by("end", order).alias("last_end"))

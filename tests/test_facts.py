@@ -98,6 +98,15 @@ def test_subsumption_agrees_with_walking_the_terms(spark):
     assert got == want and want
 
 
+def test_only_the_last_of_equal_terms_goes_on(spark):
+    facts = [("p0", "P39", "E1", ((9, 2000, None, None), (9, 2005, None, None)))] * 4
+    facts += [("p0", "P39", "E1", ((9, 2006, None, None), None))]
+    blocks = spark.createDataFrame([("p0", "E1")], "politician_id string, place string")
+    chains = R.chain_ends(R._office_terms(fact_table(spark, facts), blocks)).collect()
+    assert sum(r.weight for r in chains) == 5 and sum(r.gap * r.weight for r in chains) == 4
+    assert sum(r.weight for r in chains if r.chain_end is None) == 2
+
+
 def sequential(facts, cands):
     known = [(f"f{i:04d}", f) for i, f in enumerate(facts)]
     out = {}
