@@ -5,8 +5,8 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from kbcurate.functions import claims as C, text as X
-from kbcurate.operators import curation as V, entities as E, hierarchy as H, importer as I, ranks, search as S, stats as A
+from kbcurate.functions import claims as C, dates as D, text as X
+from kbcurate.operators import curation as V, entities as E, hierarchy as H, importer as I, pages as P, ranks, search as S, stats as A
 from kbcurate.sources.dump import parse_entities
 from kbcurate.sources.tables import upsert
 
@@ -136,6 +136,14 @@ def test_nested_infobox(spark):
     assert [r.b for r in got[2:]] == [None, None]
 
 
+def test_narrow_tables_are_put_in_parts(spark, tmp_path, monkeypatch):
+    from kbcurate.plans import views
+
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 10)
+    assert views.Catalog(spark, str(tmp_path)).table("part").rdd.getNumPartitions() == 5
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     from kbcurate.session import one_process
 
