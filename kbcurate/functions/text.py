@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from kbcurate.functions.once import once
+
 # Elements whose text is not page text.
 UNREAD_ELEMENTS = ["script", "style", "template", "rt", "rp"]
 
@@ -182,8 +184,8 @@ def infobox(wikitext: Column) -> Column:
     The text from its start is split at double braces, and a running depth finds where it ends.
     """
     start = F.regexp_instr(wikitext, F.lit(r"(?i)\{\{\s*infobox"))
-    text = F.when(start > 0, F.substr(wikitext, start))
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\{\{|\}\}|(?:[^{}]++|\{(?!\{)|\}(?!\}))++)"), 1)
+    text = once(start, lambda at: F.when(at > 0, F.substr(wikitext, at)))
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(\{\{|\}\}|(?:[^{}]++|\{(?!\{)|\}(?!\}))++)"), 1)
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
     def step(s: Column, part: Column) -> Column:
@@ -192,9 +194,13 @@ def infobox(wikitext: Column) -> Column:
         end = F.when(s["end"] > 0, s["end"]).when((part == "}}") & (depth == 0), at).otherwise(0)
         return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
-    end = F.aggregate(parts, zero, step)["end"]
-    inside = F.array_join(F.slice(parts, F.lit(2), F.greatest(end - 2, F.lit(0))), "")
-    return F.when(end > 0, F.nullif(F.regexp_replace(inside, r"(?i)^\s*infobox", ""), F.lit("")))
+    def body(parts: Column, end: Column) -> Column:
+        inside = F.array_join(F.slice(parts, F.lit(2), F.greatest(end - 2, F.lit(0))), "")
+        return once(
+            F.regexp_replace(inside, r"(?i)^\s*infobox", ""), lambda box: F.when((end > 0) & (box != ""), box)
+        )
+
+    return once(found, lambda parts: once(F.aggregate(parts, zero, step)["end"], lambda end: body(parts, end)))
 
 
 # comments whole, brackets of templates and links, bars, and what lies between
@@ -206,35 +212,49 @@ def _fields(box: Column) -> Column:
     """Fields of a template's text: it is split at the bars outside of templates, links and comments,
     however deep they nest, by a running depth of their brackets."""
     parts = F.regexp_extract_all(box, F.lit(_MARKS), 1)
-    zero = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
     def step(s: Column, part: Column) -> Column:
         opened = part.isin("{{", "[[").cast("int") - part.isin("}}", "]]").cast("int")
         piece = F.when((part == "|") & (s["depth"] == 0), _BAR).otherwise(part)
         return F.struct(
-            F.greatest(s["depth"] + opened, F.lit(0)).alias("depth"), F.concat(s["out"], F.array(piece)).alias("out")
+            F.greatest(s["depth"] + opened, F.lit(0)).alias("depth"), F.concat(s["out"], piece).alias("out")
         )
 
-    return F.split(F.array_join(F.aggregate(parts, zero, step)["out"], ""), _BAR)
+    return F.split(F.aggregate(parts, zero, step)["out"], _BAR)
 
 
-def _field(box: Column, name: str) -> Column:
+def _value(fields: Column, name: str) -> Column:
     """Value of the first field of a name, in any case; null without one or if it is blank."""
-    first = F.get(F.filter(_fields(box), lambda f: f.rlike(rf"(?i)^\s*{name}\s*=")), F.lit(0))
+    first = F.get(F.filter(fields, lambda f: f.rlike(rf"(?i)^\s*{name}\s*=")), F.lit(0))
     raw = F.regexp_replace(first, r"(?s)^[^=]*=", "")
-    return F.nullif(F.btrim(raw, F.lit(" \t\r\n")), F.lit(""))
+    return once(F.btrim(raw, F.lit(" \t\r\n")), lambda value: F.when(value != "", value))
+
+
+def _field(box: Column, name: str) -> Column:
+    return _value(_fields(box), name)
+
+
+def _shown_date(raw: Column) -> Column:
+    def shown(inside: Column) -> Column:
+        parts = once(F.split(inside, r"\|"), lambda p: F.slice(p, F.lit(2), F.size(p)))
+        args = F.filter(parts, lambda a: ~a.contains("="))
+        args = F.transform(args, lambda a: F.btrim(a, F.lit(" \t\r\n")))
+        three = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(args, i), F.lit("")))
+        full = once(three, lambda t: F.when(F.forall(t, lambda a: a != ""), F.array_join(t, " ")))
+        return F.when(inside != "", full).otherwise(raw)
+
+    return once(F.regexp_extract(raw, r"(?s)\{\{([^{}]*)\}\}", 1), shown)
+
+
+def _shown_place(raw: Column) -> Column:
+    bare = F.regexp_replace(raw, r"(?s)<!--.*?-->", "")
+    return F.btrim(F.regexp_replace(bare, r"\[\[(.*?)\]\]", "$1"), F.lit(" \t\r\n"))
 
 
 def birth_date(box: Column) -> Column:
     """``day month year`` of a dated template (its arguments 1, 2 and 3), else the raw value."""
-    raw = _field(box, "birth_date")
-    inside = F.regexp_extract(raw, r"(?s)\{\{([^{}]*)\}\}", 1)
-    parts = F.split(inside, r"\|")
-    args = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda a: ~a.contains("="))
-    args = F.transform(args, lambda a: F.btrim(a, F.lit(" \t\r\n")))
-    first = [F.get(args, F.lit(i)) for i in range(3)]
-    full = reduce(lambda x, y: x & y, [F.coalesce(a, F.lit("")) != "" for a in first])
-    return F.when(inside != "", F.when(full, F.concat_ws(" ", *first))).otherwise(raw)
+    return once(_field(box, "birth_date"), _shown_date)
 
 
 def birth_date_parsed(text: Column) -> Column:
@@ -243,8 +263,19 @@ def birth_date_parsed(text: Column) -> Column:
 
 def birth_place(box: Column) -> Column:
     """Birth place without comments and link brackets."""
-    raw = F.regexp_replace(_field(box, "birth_place"), r"(?s)<!--.*?-->", "")
-    return F.btrim(F.regexp_replace(raw, r"\[\[(.*?)\]\]", "$1"), F.lit(" \t\r\n"))
+    return _shown_place(_field(box, "birth_place"))
+
+
+def births(wikitext: Column) -> Column:
+    """``struct<found,birth_date,birth_place>`` of the first infobox; its fields are split once."""
+
+    def told(fields: Column) -> Column:
+        return F.struct(
+            fields.isNotNull().alias("found"), once(_value(fields, "birth_date"), _shown_date).alias("birth_date"),
+            _shown_place(_value(fields, "birth_place")).alias("birth_place"),
+        )
+
+    return once(once(infobox(wikitext), _fields), told)
 
 
 # --- addresses ------------------------------------------------------------------------------

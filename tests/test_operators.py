@@ -136,6 +136,14 @@ def test_nested_infobox(spark):
     assert [r.b for r in got[2:]] == [None, None]
 
 
+def test_infobox_fields_are_split_once(spark):
+    text = "{{Infobox x|birth_date={{birth date|3|4|1950|df=y}}|birth_place=[[Rome]]<!-- z -->}}"
+    pages = spark.createDataFrame([(1, text), (2, "none")], "page_id long, wikitext string")
+    births = P.infobox_births(pages)
+    assert [(r.page_id, r.birth_date, r.birth_place) for r in births.collect()] == [(1, "3 4 1950", "Rome")]
+    assert births._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # box, fields
+
+
 def test_narrow_tables_are_put_in_parts(spark, tmp_path, monkeypatch):
     from kbcurate.plans import views
 
