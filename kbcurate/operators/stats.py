@@ -15,7 +15,7 @@ from kbcurate.schemas import (
     BIRTHPLACE, CITIZENSHIP, COUNTRY, DATE_TYPES, INSTANCE_OF, JURISDICTION, LOCATED_IN, PART_OF,
     POSITION, SUBCLASS_OF,
 )
-from kbcurate.session import written
+from kbcurate.session import scratch_path, written, written_counted
 from kbcurate.sources.tables import live
 
 # Fixed value: name of the coverage row of people without citizenship.
@@ -215,6 +215,22 @@ class PoliticianRecords:
     sources: DataFrame
 
 
+#: Entity names that are broadcast: some megabytes.
+FEW_NAMES = 50_000
+
+
+def _with_names(facts: DataFrame, entities: DataFrame) -> DataFrame:
+    """Facts with ``entity_name``. A few entities (offices, countries) are named by most facts, so that all
+    facts of one would meet in one task: names are cut to the entities that facts name and broadcast if
+    they are few. If not, adaptive execution splits what is heavy."""
+    named = facts.select("entity_id").where(F.col("entity_id").isNotNull()).distinct()
+    names = entities.select(F.col("wikidata_id").alias("entity_id"), F.col("name").alias("entity_name"))
+    path = scratch_path(facts.sparkSession, "names")
+    few = written_counted(names.join(named, "entity_id", "left_semi"), path) <= FEW_NAMES
+    found = facts.sparkSession.read.schema(names.schema).parquet(path)
+    return facts.join(F.broadcast(found) if few else found, "entity_id", "left")
+
+
 def politician_documents(
     politicians: DataFrame, facts: DataFrame, entities: DataFrame, references: DataFrame,
     sources: DataFrame, politician_sources: DataFrame,
@@ -224,12 +240,11 @@ def politician_documents(
     is known of one person."""
     who = politicians.select(F.col("id").alias("politician_id"))
     mine = live(facts).join(who, "politician_id", "left_semi")
-    names = entities.select(F.col("wikidata_id").alias("entity_id"), F.col("name").alias("entity_name"))
     item = F.struct(
         "id", "type", "value", "value_precision", "entity_id", "entity_name", "statement_id",
         "qualifiers_json", "references_json",
     )
-    nested = gather(mine.join(names, "entity_id", "left"), ["politician_id"], item, "properties")
+    nested = gather(_with_names(mine, entities), ["politician_id"], item, "properties")
     detail = sources.select(F.col("id").alias("source_id"), *_SOURCE)
     refs = references.join(
         mine.select(F.col("id").alias("property_id"), "politician_id"), "property_id"
@@ -402,8 +417,7 @@ def politician_context(
 ) -> DataFrame:
     """Known facts of a politician as texts per kind, as a language model is shown them (JSON).
     Soft-deleted facts are not left out here."""
-    names = entities.select(F.col("wikidata_id").alias("entity_id"), F.col("name").alias("entity_name"))
-    frame = D.timeframe(F.col("qualifiers_json"))
+    known = facts.where(F.col("type").isin(types))
     kind = F.when(F.col("type").isin(DATE_TYPES), "existing_wikidata")
     for t, k in [(POSITION, "existing_wikidata_positions"),
                  (BIRTHPLACE, "existing_wikidata_birthplaces"),
@@ -412,12 +426,12 @@ def politician_context(
     text = (
         F.when(F.col("type").isin(DATE_TYPES), F.concat_ws(": ", "type", "value"))
         .when(F.col("type") == POSITION,
-              F.concat("entity_name", D.timeframe_text(frame["start"], frame["end"])))
+              F.concat("entity_name", D.shown_timeframe(F.col("qualifiers_json"))))
         .otherwise(F.col("entity_name"))
     )
     lines = (
-        facts.where(F.col("type").isin(types)).join(names, "entity_id", "left")
-        .select("politician_id", "id", kind.alias("kind"), text.alias("text"))
+        _with_names(known, entities)
+        .select("politician_id", F.inline(F.array(F.struct(kind.alias("kind"), text.alias("text")))))
         .where(F.col("text").isNotNull())
     )
     kinds = ["existing_wikidata", "existing_wikidata_positions",

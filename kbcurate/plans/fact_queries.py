@@ -143,9 +143,8 @@ S_, E_ = _cols("sp sy sm sd"), _cols("ep ey em ed")
     FROM v_terms""")
 def timeframe_text(c: Catalog) -> DataFrame:
     """Read from the qualifier JSON of office facts."""
-    frame = D.timeframe(F.col("qualifiers_json"))
     return c.v_properties.where("type = 'P39'").select(
-        "id", D.timeframe_text(frame["start"], frame["end"]).alias("shown")
+        "id", D.shown_timeframe(F.col("qualifiers_json")).alias("shown")
     )
 
 

@@ -144,6 +144,13 @@ def test_infobox_fields_are_split_once(spark):
     assert births._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 2  # box, fields
 
 
+def test_time_frames_are_parsed_once(spark):
+    texts = spark.createDataFrame([(None,), ('{"P580":[{"datavalue":{"value":{"time":"+1999-00-00T00:00:00Z","precision":9}}}]}',)], "q string")
+    shown = texts.select(D.shown_timeframe(F.col("q")).alias("t"))
+    assert [r.t for r in shown.collect()] == ["", " (1999 - present)"]
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_narrow_tables_are_put_in_parts(spark, tmp_path, monkeypatch):
     from kbcurate.plans import views
 
