@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import bisect
 import heapq
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -521,7 +523,32 @@ def _order(term) -> tuple:
 COPIES = 1_000
 
 
-def _settle_office(rows: pd.DataFrame) -> pd.DataFrame:
+_OUTCOME_COLUMNS = ["politician_id", "place", "vkey", "outcome", "seq", "owner"]
+#: Outcome rows that are handed back at once.
+OUTCOMES = 10_000
+
+
+def _outcome_frame(out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=_OUTCOME_COLUMNS)
+    frame["seq"] = frame["seq"].astype("Int64")
+    return frame
+
+
+def _settle_offices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes of offices whose rows follow each other, over batches too. There are as many offices as
+    holders and most have few terms, so a frame per office would cost more than its replay."""
+    rows = (r for part in parts for r in part.itertuples(index=False))
+    out: list[tuple] = []
+    for block, mine in groupby(rows, key=lambda r: (r.politician_id, r.place)):
+        out.extend(_settle_office(block, mine))
+        if len(out) >= OUTCOMES:
+            yield _outcome_frame(out)
+            out = []
+    if out:
+        yield _outcome_frame(out)
+
+
+def _settle_office(block: tuple, rows: Iterable) -> list[tuple]:
     """Replay one office's distinct unmatched terms in order of first appearance.
 
     A dropped term may match or stand on its own once a later fact changed the state; only its next
@@ -529,9 +556,8 @@ def _settle_office(rows: pd.DataFrame) -> pd.DataFrame:
     ends and there are more, a ``next`` row is asked for (outcome ``ask``) and the office replayed with
     it. Input is bounded by ``COPIES`` times the distinct timeframes, whatever the candidates.
     """
-    block = (rows["politician_id"].iloc[0], rows["place"].iloc[0])
     terms, known, events, values, followers, later = [], 0, [], {}, {}, {}
-    for r in rows.itertuples():
+    for r in rows:
         if r.kind == "term":
             known += int(r.copies)
             start = _date_of(r, "s")
@@ -577,21 +603,14 @@ def _settle_office(rows: pd.DataFrame) -> pd.DataFrame:
             if _term_matches(values[w], cand) or not _told_by(values[w], terms):
                 told, nxt = copy_after(w, seq)
                 if not told:
-                    return pd.DataFrame(
-                        [(*block, w, "ask", seq, None)],
-                        columns=["politician_id", "place", "vkey", "outcome", "seq", "owner"],
-                    )
+                    return [(*block, w, "ask", seq, None)]
                 waiting.discard(w)
                 if nxt is not None:
                     heapq.heappush(events, (*nxt, w))
                 else:
                     out.append((*block, w, "dropped", None, None))
     out.extend((*block, w, "dropped", None, None) for w in sorted(waiting))
-    frame = pd.DataFrame(
-        out, columns=["politician_id", "place", "vkey", "outcome", "seq", "owner"]
-    )
-    frame["seq"] = frame["seq"].astype("Int64")
-    return frame
+    return out
 
 
 def _settle_terms(rest: DataFrame, facts: DataFrame) -> DataFrame:
@@ -645,11 +664,11 @@ def _settle_terms(rest: DataFrame, facts: DataFrame) -> DataFrame:
         )
     )
     rows = written(rows, "terms")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = None
     while True:
-        outcome = written(
-            rows.groupBy(*office).applyInPandas(_settle_office, _OUTCOME), "settled"
-        )
+        together = rows.repartition(tasks, *office).sortWithinPartitions(*office)
+        outcome = written(together.mapInPandas(_settle_offices, _OUTCOME), "settled")
         questions = outcome.where(F.col("outcome") == "ask")
         if questions.isEmpty():
             return plain.unionByName(outcome)

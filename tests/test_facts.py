@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 import replay
@@ -173,6 +174,21 @@ class Counted:
         return self.f(*args)
 
 
+def test_offices_are_settled_over_batches():
+    def value(who, seq):
+        row = dict(politician_id=who, place="E1", kind="value", vkey=f"v{seq}", seq=seq, after=None, copies=None,
+                   sp=9, sy=2000 + seq, sm=0, sd=0, ep=None, ey=None, em=None, ed=None,
+                   cand_id=f"c{seq}", seqs=[seq], cand_ids=[f"c{seq}"], more=False)
+        return row
+
+    rows = [value("p0", 0), value("p0", 1), value("p0", 2), value("p1", 3)]
+    batches = [pd.DataFrame(rows[:2]), pd.DataFrame(rows[2:])]
+    frames = list(R._settle_offices(iter(batches)))
+    assert len(frames) == 1
+    assert [(r.politician_id, r.outcome, r.owner) for r in frames[0].itertuples()] == [
+        ("p0", "new", "c0"), ("p0", "new", "c1"), ("p0", "new", "c2"), ("p1", "new", "c3")]
+
+
 def test_all_pairs_of_facts_are_compared(spark):
     from kbcurate.plans import fact_queries  # noqa: F401
     from kbcurate.plans.registry import QUERIES
