@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,63 +52,101 @@ def stream_evaluation_total(evaluations: DataFrame) -> DataFrame:
     return evaluations.groupBy().agg(F.count(F.lit(1)).alias("total"))
 
 
-_PENDING = ["at", "status", "error", "code"]
 _STATUS_STATE = (
-    "status string, since long, known boolean, "
-    "at array<long>, statuses array<string>, errors array<string>, codes array<int>"
+    "sources array<string>, status array<string>, since array<long>, known array<boolean>, "
+    "of array<int>, at array<long>, statuses array<string>, errors array<string>, codes array<int>"
 )
 _STATUS_CHANGE = "source_id string, status string, error string, http_status_code int, ts timestamp"
 
+#: In how many groups sources are kept; a call for a group costs far more than to settle a source.
+SOURCE_GROUPS = 4_096
 
-def _settle(source: str, now: tuple, pending: pd.DataFrame, until: int, expire: int | None):
-    """Changes among the pending updates before ``until`` (microseconds), and the state after them."""
+
+def _settle(now: tuple, pending: list[tuple], until: int, expire: int | None):
+    """Changes among the pending updates (at, status, error, code) before ``until`` (microseconds),
+    and the state after them."""
     status, since, known = now
-    ready = pending["at"] < until
-    due = pending[ready].sort_values(["at", "status"], kind="stable")
+    due = sorted((p for p in pending if p[0] < until), key=lambda p: (p[0], p[1] is None, p[1] or ""))
     changes = []
-    for at, new, error, code in due.itertuples(index=False):
+    for update in due:
+        at, new = update[:2]
         if expire is not None and known and at - since > expire:
             known = False
         if not known or new != status:
-            changes.append((source, new, error, code, at))
+            changes.append(update)
         status, since, known = new, at, True
-    out = pd.DataFrame(changes, columns=["source_id", "status", "error", "http_status_code", "ts"])
-    out["ts"] = pd.to_datetime(out["ts"].astype("int64"), unit="us")
-    out["http_status_code"] = out["http_status_code"].astype("Int32")
-    return out, (status, since, known), pending[~ready]
+    return changes, (status, since, known), [p for p in pending if p[0] >= until] if due else pending
+
+
+def _updates(part: pd.DataFrame) -> Iterator[tuple]:
+    """(source, (at, status, error, code)) of a part's rows, missing values as None."""
+    at = part["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+    source, status, error, code = (
+        [None if pd.isna(v) else v for v in part[c].tolist()] for c in ("source_id", "status", "error", "http_status_code")
+    )
+    return zip(source, zip(at, status, error, [None if c is None else int(c) for c in code]))
+
+
+def _held(state: GroupState) -> dict[str, tuple[tuple, list[tuple]]]:
+    """Per source of a group its status, the time of it and if it is known, and its pending updates."""
+    if not state.exists:
+        return {}
+    sources, status, since, known, of, *lists = state.get
+    pending: list[list[tuple]] = [[] for _ in sources]
+    for i, update in zip(of, zip(*lists)):
+        pending[i].append(update)
+    return dict(zip(sources, zip(zip(status, since, known), pending)))
+
+
+def _keep(state: GroupState, held: dict[str, tuple[tuple, list[tuple]]], expire: int | None) -> None:
+    """Write a group's sources, with a timer at what comes first of their updates and expiries."""
+    flat = [(i, *update) for i, (_, pending) in enumerate(held.values()) for update in pending]
+    nows = zip(*(now for now, _ in held.values()))
+    state.update((list(held), *map(list, nows), *(map(list, zip(*flat)) if flat else [[]] * 5)))
+    timers = [-(-min(u[1] for u in flat) // 1000) + 1] if flat else []
+    if expire is not None:
+        timers += [(now[1] + expire) // 1000 + 1 for now, pending in held.values() if not pending]
+    if timers:
+        state.setTimeoutTimestamp(min(timers))
+
+
+def _change_frame(changes: list[tuple]) -> pd.DataFrame:
+    source, at, status, error, code = zip(*changes)
+    return pd.DataFrame({
+        "source_id": np.array(source, object), "status": np.array(status, object), "error": np.array(error, object),
+        "http_status_code": pd.array(code, "Int32"), "ts": np.array(at, "int64").view("datetime64[us]"),
+    })
 
 
 def _status_processor(expire: int | None):
+    """Settles the sources of a group one by one; a pandas frame is made of all their changes only."""
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         until = max(state.getCurrentWatermarkMs(), 0) * 1000
-        now, pending = (None, 0, False), pd.DataFrame(columns=_PENDING)
-        if state.exists:
-            status, since, known, *lists = state.get
-            now, pending = (status, since, known), pd.DataFrame(dict(zip(_PENDING, map(list, lists))))
+        held = _held(state)
         if not state.hasTimedOut:
             for part in parts:
-                at = part["ts"].astype("datetime64[us]").astype("int64")
-                new = pd.DataFrame({"at": at, "status": part["status"], "error": part["error"], "code": part["http_status_code"]})
-                new = new[new["at"] >= until]  # others were settled without them
-                pending = new if pending.empty else pd.concat([pending, new], ignore_index=True)
-        changes, now, pending = _settle(key[0], now, pending, until, expire)
-        if pending.empty and expire is not None and now[1] + expire < until:
+                for source, update in _updates(part):
+                    if update[0] >= until:  # others were settled without them
+                        held.setdefault(source, ((None, 0, False), []))[1].append(update)
+        changes, kept = [], {}
+        for source, (now, pending) in held.items():
+            changed, now, pending = _settle(now, pending, until, expire)
+            changes += [(source, *update) for update in changed]
+            if pending or expire is None or now[1] + expire >= until:
+                kept[source] = now, pending
+        if kept:
+            _keep(state, kept, expire)
+        elif state.exists:
             state.remove()
-        elif now[2] or not pending.empty:
-            codes = [None if pd.isna(c) else int(c) for c in pending["code"]]
-            errors = [None if pd.isna(e) else e for e in pending["error"]]
-            state.update((*now, [int(a) for a in pending["at"]], list(pending["status"]), errors, codes))
-            if not pending.empty:
-                state.setTimeoutTimestamp(-(-int(pending["at"].min()) // 1000) + 1)
-            elif expire is not None:
-                state.setTimeoutTimestamp((now[1] + expire) // 1000 + 1)
-        if len(changes):
-            yield changes
+        if changes:
+            yield _change_frame(changes)
 
     return run
 
 
-def status_changes(updates: DataFrame, delay: str = "1 hour", expire_seconds: int | None = None) -> DataFrame:
+def status_changes(
+    updates: DataFrame, delay: str = "1 hour", expire_seconds: int | None = None, groups: int = SOURCE_GROUPS
+) -> DataFrame:
     """Changes (source_id, status, error, http_status_code, ts) of a stream of source updates.
 
     The state store holds per source its status, the time of it, and the updates that the watermark
@@ -115,12 +154,15 @@ def status_changes(updates: DataFrame, delay: str = "1 hour", expire_seconds: in
     order of time, then status, so updates may come out of order, over batches and restarts too.
     Updates later than the watermark are left out. With ``expire_seconds``, a source silent for
     longer is forgotten - a timer drops its state - and its next update counts as a change.
-    What a batch writes to the state store follows the sources of the batch, not all sources.
+    Sources share a state by their hash, ``groups`` of them (as many as at the first start, for the whole
+    life of a checkpoint), so calls do not grow with the sources beyond that. What a batch writes to
+    the state store follows the groups of its sources, not all sources.
     """
     expire = None if expire_seconds is None else expire_seconds * 1_000_000
+    group = F.pmod(F.xxhash64("source_id"), F.lit(groups)).alias("source_group")
     return (
-        updates.select("source_id", "status", "error", "http_status_code", "ts").withWatermark("ts", delay)
-        .groupBy("source_id").applyInPandasWithState(
+        updates.select("source_id", "status", "error", "http_status_code", "ts", group).withWatermark("ts", delay)
+        .groupBy("source_group").applyInPandasWithState(
             _status_processor(expire), _STATUS_CHANGE, _STATUS_STATE, "append", GroupStateTimeout.EventTimeTimeout
         )
     )

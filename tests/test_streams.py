@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from kbcurate.session import scratch_path
@@ -136,6 +137,46 @@ def test_status_changes_of_one_hot_source_in_any_order(spark, folder):
     assert got.count("hot") == 40 and got.count("cold") == 1
 
 
+def test_sources_share_a_state_and_a_frame(monkeypatch):
+    """A group of many sources is settled in one call; the only pandas frame is that of its changes."""
+    class State:
+        exists = hasTimedOut = False
+
+        def getCurrentWatermarkMs(self):
+            return self.passed
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutTimestamp(self, at):
+            self.timer = at
+
+        def remove(self):
+            self.exists = False
+
+    part = pd.DataFrame({
+        "source_id": ["s", "t", "s", "t"], "status": ["B", "A", None, "A"], "error": [None, "e", None, None],
+        "http_status_code": [None, 504, None, 200], "ts": [pd.Timestamp(T0) + pd.Timedelta(microseconds=n) for n in (2, 1, 3, 5001)],
+    })
+    frame, made = pd.DataFrame, []
+    monkeypatch.setattr(streams.pd, "DataFrame", lambda *args, **named: made.append(1) or frame(*args, **named))
+    run, state, first = streams._status_processor(1_000_000), State(), pd.Timestamp(T0).value // 1_000_000
+    state.passed = first
+    assert list(run((7,), iter([part]), state)) == [] and not made
+    assert state.timer == first + 2
+    state.passed, state.hasTimedOut = first + 3, True
+    (got,) = run((7,), iter([]), state)
+    assert len(made) == 1
+    rows = [[None if pd.isna(v) else v for v in r] for r in got.drop(columns="ts").itertuples(index=False)]
+    assert rows == [["s", "B", None, None], ["s", None, None, None], ["t", "A", "e", 504]]
+    assert state.get[0] == ["s", "t"] and state.get[4:] == ([1], [first * 1000 + 5001], ["A"], [None], [200])
+    assert state.timer == first + 7  # before the second in which "s" is forgotten is over
+    state.passed = first + 1001
+    assert list(run((7,), iter([]), state)) == [] and state.get[0] == ["t"]
+    state.passed = first + 1007
+    assert list(run((7,), iter([]), state)) == [] and not state.exists
+
+
 def test_status_state_follows_the_batch(spark, folder):
     """Many sources once, then one source again and again: a batch writes the state of its sources."""
     many = [(f"s{i}", "DONE", None, None, T0) for i in range(2000)]
