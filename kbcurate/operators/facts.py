@@ -154,14 +154,15 @@ def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """(cand_id, fact_id): the first live fact, by creation time and id, that equals a candidate
     or is more precise than it.
 
-    Facts are cut to the candidates' blocks before their dates are parsed; distinct values of both
-    are written first, as each is read once per kind of key. Office terms meet in bins of
+    Facts are cut to the candidates' blocks before their dates are parsed. Candidates with their parsed
+    dates are written first, then distinct values of both, as each is read several times. Office terms meet in bins of
     their start, and their ends and precisions are compared there; pairs are made only of
     distinct terms of one politician, office and bin.
     """
-    cands = fact_view(candidates).withColumn("vkey", value_key())
+    view = fact_view(candidates).select("cand_id", "entity_id", *BLOCK, "date", "start", "end")
+    cands = written(view, "candidates").withColumn("vkey", value_key())
     values = written(_candidate_values(cands), "values")
-    stored = fact_view(_in_blocks(facts, candidates)).withColumn("vkey", value_key())
+    stored = fact_view(_in_blocks(facts, cands)).withColumn("vkey", value_key())
     filed = written(
         stored.groupBy(*BLOCK, "vkey").agg(
             F.first("date").alias("date"), F.first("start").alias("start"), F.first("end").alias("end"),

@@ -84,6 +84,13 @@ def test_matching_agrees_with_all_pairs(spark):
         assert got.get(i) == want, (c, want)
 
 
+def test_candidates_are_parsed_once(spark):
+    """What is matched joins written candidates; their texts are not parsed again for it."""
+    facts, cands = world(1, 20, 20)
+    out = R.match_facts(candidate_table(spark, cands), fact_table(spark, facts))
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_subsumption_agrees_with_walking_the_terms(spark):
     rng = random.Random(3)
     facts = [(f"p{i % 25}", "P39", "E1", ((9, 2000 + k, None, None), (9, 2001 + k, None, None) if k < 2 or i % 2 else None))
