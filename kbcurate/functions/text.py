@@ -43,9 +43,10 @@ def _decoded(name: Column, table: Column) -> Column:
     ).otherwise(F.try_element_at(table, name))
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, bare: bool = True) -> Column:
     """Character references decoded in one pass, inside the JVM: the text is split at ``&`` and
-    each piece's reference looked up. Frequent names skip the table."""
+    each piece's reference looked up. Frequent names skip the table. As in HTML, some references need no
+    semicolon; without ``bare`` those are left as they stand."""
     fast = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), FREQUENT.items(), text)
     table = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
     pieces = F.split(fast, "&")
@@ -54,13 +55,12 @@ def unescape(text: Column) -> Column:
         name = F.regexp_extract(p, "^(#?[0-9A-Za-z]{1,32});", 1)
         rest = F.substr(p, F.length(name) + 2)
         decoded = F.when(name != "", _decoded(name, table))
-        bare = F.regexp_extract(p, f"^(#[xX][0-9A-Fa-f]{{1,6}}|#[0-9]{{1,7}}|{_BARE})", 1)
-        short = F.when(bare != "", _decoded(bare, table))
-        return (
-            F.when(i == 0, p).when(decoded.isNotNull(), F.concat(decoded, rest))
-            .when(short.isNotNull(), F.concat(short, F.substr(p, F.length(bare) + 1)))
-            .otherwise(F.concat(F.lit("&"), p))
-        )
+        out = F.when(i == 0, p).when(decoded.isNotNull(), F.concat(decoded, rest))
+        if bare:
+            begin = F.regexp_extract(p, f"^(#[xX][0-9A-Fa-f]{{1,6}}|#[0-9]{{1,7}}|{_BARE})", 1)
+            short = F.when(begin != "", _decoded(begin, table))
+            out = out.when(short.isNotNull(), F.concat(short, F.substr(p, F.length(begin) + 1)))
+        return out.otherwise(F.concat(F.lit("&"), p))
 
     return F.when(
         fast.contains("&"), F.array_join(F.transform(pieces, piece), "")
@@ -79,11 +79,11 @@ def _without(markup: Column, elements: list[str], mark: str) -> Column:
 TAG = r"""(?s)</?[A-Za-z](?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>"""
 
 
-def page_text(markup: Column) -> Column:
-    """Readable text of a page: tags become spaces, references are decoded, whitespace is
-    collapsed."""
+def page_text(markup: Column, bare: bool = True) -> Column:
+    """Readable text of a page: tags become spaces, references are decoded (see :func:`unescape` for
+    ``bare``), whitespace is collapsed."""
     body = F.regexp_replace(_without(markup, UNREAD_ELEMENTS, " "), TAG, " ")
-    return collapse(unescape(body))
+    return collapse(unescape(body, bare))
 
 
 BOUNDARY = "\u0001"

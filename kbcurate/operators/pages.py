@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from kbcurate.functions import text as X
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, error): readable text, INVALID_CONTENT where there is none."""
-    return pages.select("page_id", "url", X.page_text(F.col("html")).alias("text")).withColumn(
+def page_texts(pages: DataFrame, bare: bool = True) -> DataFrame:
+    """(page_id, url, text, error): readable text, INVALID_CONTENT where there is none. References
+    without a semicolon are decoded where HTML does, unless ``bare`` is off."""
+    return pages.select("page_id", "url", X.page_text(F.col("html"), bare).alias("text")).withColumn(
         "error", F.when(F.coalesce("text", F.lit("")) == "", "INVALID_CONTENT")
     )
 

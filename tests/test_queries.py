@@ -39,3 +39,13 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         order = [names.index(c) for c in columns]
         assert got == sorted(repr(tuple(r[i] for i in order)) for r in result.fetchall())
+
+
+def test_page_text_leaves_references_without_semicolon(spark, tmp_path):
+    rows = [(0, "u", "<title>a&amp;&lt;b&amp</title><p>&copy;&nbsp;&quot;c&quot; &#39;&copy</p>"), (1, "u", "<p>&amp")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["page_text"]).fetchall())
+    assert want == [(0, "a&<b&amp © \"c\" '&copy"), (1, "&amp")]
+    assert sorted(map(tuple, entry.queries()["page_text"](spark, str(tmp_path)).collect())) == want
