@@ -349,3 +349,24 @@ def test_lines_are_cut_at_their_ends(spark):
     lines = ["[", "]", " ", "", "\t[\r", "a,", " a, ", "a,,", ",", "a , b", "\u00a0a,", "a\r\n", None]
     got = [r[0] for r in clean_lines(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)).collect()]
     assert got == ["a", "a", "a,", "", "a , b", "\u00a0a", "a"]
+
+
+def test_politicians_are_found_without_a_broadcast(spark):
+    def line(qid, job, offices=(), human="Q5"):
+        held = ",".join(item(o) for o in offices)
+        return f'{{"id":"{qid}","labels":[],"sitelinks":{{"w1wiki":{{"title":"{qid}"}}}},"claims":{{"P31":[{item(human)}],"P106":[{item(job)}],"P39":[{held}]}}}}'
+
+    people = parse_entities(lines(spark, line("Q1", "Q82955"), line("Q2", "Q1", ["Q70", "Q71", "Q71"]), line("Q3", "Q1", ["Q72"]),
+                                  line("Q4", "Q1"), line("Q5", "Q82955", ["Q70"], human="Q6"), line("Q6", "Q82955", ["Q70", "Q72"])))
+    positions = spark.createDataFrame([("Q70",), ("Q71",), ("Q71",)], "wikidata_id string")
+    chosen = I.is_politician(people, positions).select("id")
+    assert sorted(r.id for r in chosen.collect()) == ["Q1", "Q2", "Q6"]
+    stored = spark.createDataFrame([("own", "Q2")], "id string, wikidata_id string")
+    projects = spark.createDataFrame([("W1", "https://w1.wikipedia.org/")], "wikidata_id string, official_website string")
+    none = positions.limit(0)
+    links = I.import_politicians(people, F.lit("2024-01-31").cast("timestamp"), positions, none, none, projects, stored).links
+    ids = {r.url[-2:]: r.politician_id for r in links.collect()}
+    assert sorted(ids) == ["Q1", "Q2", "Q6"] and ids["Q2"] == "own"
+    assert "BroadcastHashJoin" not in chosen._jdf.queryExecution().executedPlan().toString()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin [prefix") == plan.count("BroadcastHashJoin")
