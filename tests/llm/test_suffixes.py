@@ -122,3 +122,20 @@ def test_query(spark):
             len(t), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept + t[at:]).hexdigest()
         )
     assert removed > 0
+
+
+def broadcasts(spark):
+    """Broadcasts of all queries that the session has run."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    graphs = [store.planGraph(runs.apply(i).executionId()).allNodes() for i in range(runs.size())]
+    return sum(g.apply(i).name() == "BroadcastExchange" for g in graphs for i in range(g.size()))
+
+
+def test_nothing_that_grows_with_the_texts_is_broadcast(spark):
+    rng = random.Random(8)
+    shared = [noise(rng, 450) for _ in range(3)]
+    texts = [noise(rng, 600) + rng.choice(shared)[rng.randrange(60):] + noise(rng, 300) for _ in range(12)]
+    before = broadcasts(spark)
+    check(spark, texts + texts[:2])
+    assert broadcasts(spark) == before
