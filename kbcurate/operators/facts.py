@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbcurate.functions import dates as D
 from kbcurate.schemas import BIRTHPLACE, CITIZENSHIP, DATE_TYPES, POSITION
-from kbcurate.session import written
+from kbcurate.session import discard, shuffled, written, written_once
 
 NO_MATCH, SELF_FINER, OTHER_FINER, EQUAL = (
     "NO_MATCH", "SELF_MORE_PRECISE", "OTHER_MORE_PRECISE", "EQUAL",
@@ -108,14 +108,27 @@ def value_key() -> Column:
     )
 
 
-def _start_bins(view: DataFrame, keep: list[str], stored: bool, coarser_too: bool = True) -> DataFrame:
+def _start_levels(view: DataFrame) -> list[int]:
+    """Precisions that starts of terms have: a handful, whatever the rows."""
+    rows = view.where(_is_term()).select(F.col("start.precision").alias("p")).where("p IS NOT NULL").distinct().collect()
+    return sorted(r.p for r in rows)
+
+
+def _start_bins(
+    view: DataFrame, keep: list[str], stored: bool, coarser_too: bool = True, others: list[int] | None = None
+) -> DataFrame:
     """Rows of ``view`` under the bins of their start: two terms whose starts may name the same time
     meet in one. Terms on file lie in their own bin and those of coarser dates (``a``), candidates look
-    in their own and in those of finer ones; with ``coarser_too`` also the other way around (``b``)."""
-    near, far = (_same_or_finer, D.container_keys) if stored else (_same_or_coarser, D.ancestor_keys)
-    bins = F.transform(near("start"), lambda k: F.concat(F.lit("a"), k))
+    in their own and in those of finer ones; with ``coarser_too`` also the other way around (``b``).
+    Bins that no start of the ``others``' precisions (see :func:`_start_levels`) can share are left out."""
+    up, down = D.ancestor_keys("start"), D.container_keys("start")
+    if others is not None:
+        up = F.filter(up, lambda k: F.regexp_extract(k, "^<([0-9]+)", 1).isin([str(p) for p in others]))
+        down = F.when(F.col("start.precision") < max(others, default=0), down).otherwise(F.array().cast("array<string>"))
+    near, far = (up, down) if stored else (down, up)
+    bins = F.transform(F.concat(F.array(D.own_key("start")), near), lambda k: F.concat(F.lit("a"), k))
     if coarser_too:
-        bins = F.concat(bins, F.transform(far("start"), lambda k: F.concat(F.lit("b"), k)))
+        bins = F.concat(bins, F.transform(far, lambda k: F.concat(F.lit("b"), k)))
     return view.select(*keep, F.explode(bins).alias("key"))
 
 
@@ -147,7 +160,7 @@ def _candidate_values(view: DataFrame) -> DataFrame:
 def _in_blocks(facts: DataFrame, candidates: DataFrame) -> DataFrame:
     """Live facts of the blocks that candidates ask for; nothing of either is parsed."""
     live = placed(facts.where(F.col("deleted_at").isNull()))
-    return live.join(placed(candidates).select(*BLOCK).distinct(), BLOCK, "left_semi")
+    return live.join(shuffled(placed(candidates).select(*BLOCK).distinct()), BLOCK, "left_semi")
 
 
 def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
@@ -161,9 +174,15 @@ def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """
     view = fact_view(candidates).select("cand_id", "entity_id", *BLOCK, "date", "start", "end")
     cands = written(view, "candidates").withColumn("vkey", value_key())
-    values = written(_candidate_values(cands), "values")
+    found, _ = _matched_values(cands, facts)
+    return cands.join(shuffled(found), [*BLOCK, "vkey"]).select("cand_id", F.col("fact.id").alias("fact_id"))
+
+
+def _matched_values(cands: DataFrame, facts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The fact of each distinct value of parsed candidates that has one, and the tables written for it."""
+    values = written_once(_candidate_values(cands), "values")
     stored = fact_view(_in_blocks(facts, cands)).withColumn("vkey", value_key())
-    filed = written(
+    filed = written_once(
         stored.groupBy(*BLOCK, "vkey").agg(
             F.first("date").alias("date"), F.first("start").alias("start"), F.first("end").alias("end"),
             F.min(F.struct("created_at", "id")).alias("fact"),
@@ -173,16 +192,20 @@ def match_facts(candidates: DataFrame, facts: DataFrame) -> DataFrame:
         _match_keys(filed, [*BLOCK, "fact"], stored=True)
         .groupBy(*BLOCK, "key").agg(F.min("fact").alias("fact"))
     )
-    plain = _match_keys(values, [*BLOCK, "vkey"], stored=False).join(index, [*BLOCK, "key"]).select(*BLOCK, "vkey", "fact")
-    theirs = _start_bins(filed.where(_is_term()), [*BLOCK, "fact", "start", "end"], stored=True)
-    ours = _start_bins(values.where(_is_term()), [*BLOCK, "vkey", F.col("start").alias("s"), F.col("end").alias("e")], stored=False)
+    plain = _match_keys(values, [*BLOCK, "vkey"], stored=False).join(shuffled(index), [*BLOCK, "key"]).select(*BLOCK, "vkey", "fact")
+    levels = [_start_levels(view) for view in (values, filed)]
+    theirs = _start_bins(filed.where(_is_term()), [*BLOCK, "fact", "start", "end"], stored=True, others=levels[0])
+    ours = _start_bins(
+        values.where(_is_term()), [*BLOCK, "vkey", F.col("start").alias("s"), F.col("end").alias("e")],
+        stored=False, others=levels[1],
+    )
     start, end, s, e = F.col("start"), F.col("end"), F.col("s"), F.col("e")
     finer = (D.finer(s, start) | D.finer(e, end)) & ~(D.finer(start, s) | D.finer(end, e))
-    terms = ours.join(theirs, [*BLOCK, "key"]).where(
+    terms = ours.join(shuffled(theirs), [*BLOCK, "key"]).where(
         D.could_be_same(s, start) & D.could_be_same(e, end) & ~finer
     ).select(*BLOCK, "vkey", "fact")
     found = plain.unionByName(terms).groupBy(*BLOCK, "vkey").agg(F.min("fact").alias("fact"))
-    return cands.join(found, [*BLOCK, "vkey"]).select("cand_id", F.col("fact.id").alias("fact_id"))
+    return found, [values, filed]
 
 
 # --- subsumption by consecutive terms -------------------------------------------------------
@@ -416,10 +439,10 @@ def _first_claims(rest: DataFrame) -> DataFrame:
     )
     owners = (
         values.select(*BLOCK, "vkey", F.explode(_same_or_coarser("date")).alias("key"))
-        .join(subtree, [*BLOCK, "key"])
+        .join(shuffled(subtree), [*BLOCK, "key"])
         .groupBy(*BLOCK, "vkey").agg(F.min("first").alias("owner"))
     )
-    return cands.join(owners, [*BLOCK, "vkey"]).select(
+    return cands.join(shuffled(owners), [*BLOCK, "vkey"]).select(
         "cand_id", F.col("owner.cand_id").alias("owner")
     )
 
@@ -619,32 +642,35 @@ def _settle_terms(rest: DataFrame, facts: DataFrame) -> DataFrame:
     owner). Copies from ``seq`` on refer to the fact of candidate ``owner``; earlier copies, and
     all of a dropped term, are dropped."""
     office = ["politician_id", "place"]
-    values = (
+    values = written_once(
         rest.groupBy(*office, "vkey")
-        .agg(F.min(F.struct("seq", "cand_id")).alias("first"),
-             F.first("start").alias("start"), F.first("end").alias("end"))
-    )
-    copies = Window.partitionBy(*office, "vkey").orderBy("seq", "cand_id")  # limited before the shuffle
-    lists = (
-        rest.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= COPIES + 1)
-        .groupBy(*office, "vkey").agg(F.array_sort(F.collect_list(F.struct("seq", "cand_id"))).alias("first_copies"))
-        .select(*office, "vkey", F.slice("first_copies", 1, COPIES).alias("c"), (F.size("first_copies") > COPIES).alias("more"))
-        .select(*office, "vkey", F.col("c.seq").cast("array<long>").alias("seqs"), F.col("c.cand_id").alias("cand_ids"), "more")
+        .agg(F.min(F.struct("seq", "cand_id")).alias("first"), F.count(F.lit(1)).alias("times"),
+             F.first("start").alias("start"), F.first("end").alias("end")), "asked",
     )
     blocks = values.groupBy(*office).agg(F.count(F.lit(1)).alias("distinct_terms"))
-    known = (
-        fact_view(facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull()))
-        .join(blocks, office, "left_semi")
+    live = placed(facts.where((F.col("type") == POSITION) & F.col("deleted_at").isNull()))
+    stored = (
+        live.select(*office).join(shuffled(blocks.select(*office)), office, "left_semi")
+        .groupBy(*office).agg(F.count(F.lit(1)).alias("known"))
     )
-    stored = known.groupBy(*office).agg(F.count(F.lit(1)).alias("known"))
-    sized = blocks.join(stored, office, "left")
     # a single distinct term of an office with fewer than two known terms is simply new
-    simple = sized.where((F.col("distinct_terms") == 1) & (F.coalesce("known", F.lit(0)) < 2))
-    plain = values.join(simple, office, "left_semi").select(
+    simple = (F.col("distinct_terms") == 1) & (F.coalesce("known", F.lit(0)) < 2)
+    offices = written_once(
+        blocks.join(shuffled(stored), office, "left").select(*office, simple.alias("simple")), "offices"
+    )
+    plain = values.join(shuffled(offices.where("simple")), office, "left_semi").select(
         *office, "vkey", F.lit("new").alias("outcome"),
         F.col("first.seq").cast("long").alias("seq"), F.col("first.cand_id").alias("owner"),
     )
-    hard = sized.join(simple, office, "left_anti").select(*office)
+    hard = shuffled(offices.where("NOT simple").select(*office))
+    open_values = values.join(hard, office, "left_semi")
+    copies = Window.partitionBy(*office, "vkey").orderBy("seq", "cand_id")  # limited before the shuffle
+    lists = (
+        rest.join(shuffled(open_values.where("times > 1").select(*office, "vkey")), [*office, "vkey"], "left_semi")
+        .withColumn("n", F.row_number().over(copies)).where(F.col("n") <= COPIES + 1)
+        .groupBy(*office, "vkey").agg(F.array_sort(F.collect_list(F.struct("seq", "cand_id"))).alias("first_copies"))
+        .select(*office, "vkey", F.slice("first_copies", 1, COPIES).alias("c"), (F.size("first_copies") > COPIES).alias("more"))
+    )
     null_long, null_text = F.lit(None).cast("long"), F.lit(None).cast("string")
 
     no_seqs, no_ids = F.array().cast("array<long>"), F.array().cast("array<string>")
@@ -657,26 +683,28 @@ def _settle_terms(rest: DataFrame, facts: DataFrame) -> DataFrame:
             cand_id.alias("cand_id"), seqs.alias("seqs"), ids.alias("cand_ids"), more.alias("more"),
         )
 
-    terms = _distinct_terms(known.join(hard, office, "left_semi"))
+    terms = _distinct_terms(fact_view(live.join(hard, office, "left_semi")))
+    listed = F.coalesce("c", F.array("first"))  # a value that stands once is its own list
     rows = shaped(terms, "term", null_text, null_long, null_long, F.col("copies"), null_text).union(
         shaped(
-            values.join(hard, office, "left_semi").join(lists, [*office, "vkey"]), "value", F.col("vkey"), F.col("first.seq"),
-            null_long, null_long, F.col("first.cand_id"), F.col("seqs"), F.col("cand_ids"), F.col("more"),
+            open_values.join(shuffled(lists), [*office, "vkey"], "left"), "value", F.col("vkey"), F.col("first.seq"),
+            null_long, null_long, F.col("first.cand_id"), listed["seq"].cast("array<long>"), listed["cand_id"],
+            F.coalesce("more", F.lit(False)),
         )
     )
-    rows = written(rows, "terms")
+    rows = written_once(rows, "terms")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = None
     while True:
         together = rows.repartition(tasks, *office).sortWithinPartitions(*office)
-        outcome = written(together.mapInPandas(_settle_offices, _OUTCOME), "settled")
+        outcome = written_once(together.mapInPandas(_settle_offices, _OUTCOME), "settled")
         questions = outcome.where(F.col("outcome") == "ask")
         if questions.isEmpty():
             return plain.unionByName(outcome)
         asks = questions.select(*office, "vkey", F.col("seq").alias("after"))
         asked = asks if asked is None else asked.union(asks)
         nxt = (
-            asked.join(rest.select(*office, "vkey", "seq", "cand_id"), [*office, "vkey"], "left")
+            asked.join(shuffled(rest.select(*office, "vkey", "seq", "cand_id")), [*office, "vkey"], "left")
             .groupBy(*office, "vkey", "after")
             .agg(F.min(F.when(F.col("seq") > F.col("after"), F.struct("seq", "cand_id"))).alias("n"))
             .withColumn("start", D.no_date()).withColumn("end", D.no_date())
@@ -699,32 +727,41 @@ def merge_extractions(facts: DataFrame, references: DataFrame, candidates: DataF
     Known facts come before new ones, so matching them first settles most candidates in one
     join. The order only matters among the rest: dates and places have a closed form
     (:func:`_first_claims`), office terms are replayed per office on their distinct timeframes.
+    Candidates are written with their parsed dates, then once more with the fact they match or else what the rest needs
+    of them; tables and shuffle files of a finished step are removed.
     """
-    candidates = written(candidates, "candidates")
-    matched = match_facts(candidates, facts)
-    rest = written(
-        fact_view(candidates.join(matched, "cand_id", "left_anti")).withColumn("vkey", value_key()),
-        "unmatched",
-    )
+    candidates = written_once(fact_view(candidates), "candidates")
+    cands = candidates.withColumn("vkey", value_key())
+    found, used = _matched_values(cands, facts)
+    matched = F.col("fact").isNotNull()
+    judged = written_once(
+        cands.join(shuffled(found), [*BLOCK, "vkey"], "left").select(
+            "cand_id", matched.alias("matched"), F.col("fact.id").alias("fact_id"),
+            *[F.when(~matched, F.col(c)).alias(c) for c in ("seq", *BLOCK, "vkey", "date", "start", "end")],
+        ), "judged",
+    )
+    discard(*used)
+    rest = judged.where("NOT matched")
     simple = _first_claims(rest.where(F.col("type") != POSITION).drop("vkey"))
     positions = rest.where(F.col("type") == POSITION)
     settled = _settle_terms(positions, facts)
     placed = positions.join(
-        settled.withColumnRenamed("seq", "from_seq"), ["politician_id", "place", "vkey"]
+        shuffled(settled.withColumnRenamed("seq", "from_seq")), ["politician_id", "place", "vkey"]
     )
     kept = F.col("owner").isNotNull() & (F.col("seq") >= F.col("from_seq"))
-    owned = simple.unionByName(placed.where(kept).select("cand_id", "owner"))
-    assigned = matched.select("cand_id", F.col("fact_id").alias("property_id")).unionByName(
+    placed = written_once(placed.select("cand_id", F.when(kept, F.col("owner")).alias("owner")), "placed")
+    owned = simple.unionByName(placed.where("owner IS NOT NULL"))
+    assigned = judged.where("matched").select("cand_id", F.col("fact_id").alias("property_id")).unionByName(
         owned.select("cand_id", new_fact_id(F.col("owner")).alias("property_id"))
     )
     founders = owned.where(F.col("cand_id") == F.col("owner"))
-    new_facts = candidates.join(founders, "cand_id", "left_semi").select(
+    new_facts = candidates.join(shuffled(founders), "cand_id", "left_semi").select(
         new_fact_id(F.col("cand_id")).alias("id"), "politician_id", "type", "value",
         "value_precision", "entity_id", "qualifiers_json",
         F.lit(None).cast("string").alias("statement_id"),
     )
-    new_refs = candidates.join(assigned, "cand_id").select(
+    new_refs = candidates.join(shuffled(assigned), "cand_id").select(
         "property_id", "source_id", "supporting_quotes"
     )
-    dropped = placed.where(~F.coalesce(kept, F.lit(False))).select("cand_id")
+    dropped = placed.where("owner IS NULL").select("cand_id")
     return Merge(assigned, new_facts, merge_references(references, new_refs), dropped)

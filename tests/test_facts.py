@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 import replay
 from kbcurate.functions import dates as D
 from kbcurate.operators import facts as R
+from kbcurate.session import shared_dir
 
 FACT = ("id string, politician_id string, type string, value string, value_precision int, entity_id string, "
         "st string, sp int, et string, ep int, created_at long, deleted_at long")
@@ -206,3 +208,26 @@ def test_all_pairs_of_facts_are_compared(spark):
     bce = {r["k"] for r in pairs.where("asign = '-'").select("k").collect()}
     got = [r["k"] for r in QUERIES["compare_all_facts"](spark, folder).collect()]
     assert bce and bce <= set(got) and len(got) == pairs.count()
+
+
+def test_a_merge_reads_each_step_once_and_keeps_no_finished_one(spark):
+    facts, cands = world(5, 40, 60)
+    folder = Path(shared_dir(spark)) / spark.sparkContext.applicationId
+    before = set(folder.glob("*"))
+    refs = spark.createDataFrame([], "property_id string, source_id string, supporting_quotes array<string>")
+    merged = R.merge_extractions(fact_table(spark, facts), refs, candidate_table(spark, cands))
+    steps = {p.name.split("-")[0] for p in set(folder.glob("*")) - before}
+    assert "judged" in steps and not steps & {"values", "filed"}
+    assert {Path(f).parent.name.split("-")[0] for f in merged.assigned.inputFiles()} == {"judged", "placed"}
+
+
+def test_bins_that_no_start_can_share_are_left_out(spark):
+    facts = [("p0", "P39", "E1", ((11, 2000, 5, 7), None)), ("p1", "P39", "E1", ((9, 2000, None, None), None))]
+    view = R.fact_view(fact_table(spark, facts))
+
+    def bins(others):
+        return sorted(map(tuple, R._start_bins(view, ["politician_id"], stored=True, others=others).collect()))
+
+    assert [k for _, k in bins([11])] == ["a=11:20000507", "a=9:2000", "b<9:2000"]
+    assert [k for _, k in bins([9])] == ["a<9:2000", "a=11:20000507", "a=9:2000"]
+    assert len(bins(None)) > 6 and set(bins([9, 10, 11])) < set(bins(None))
